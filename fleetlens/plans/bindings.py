@@ -11,6 +11,7 @@ from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from fleetlens.operators import counters, lag, probes, profiles, records, series, servers, usage, users
 from fleetlens.plans import health_check as hc
@@ -70,8 +71,15 @@ ORDER_TIME = (
 )
 
 
+_SCHEMAS: dict[str, StructType] = {}
+
+
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    """A test table; its schema is read from the file once per process."""
+    path = f"{folder}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 def _with_day(df: DataFrame) -> DataFrame:

@@ -53,21 +53,32 @@ def with_keys(machines: DataFrame) -> DataFrame:
     return machines.select(name, F.lower(name).alias("key"), host_name(name).alias("host"))
 
 
-def _points(rows: DataFrame, x: str, panels: Sequence[tuple[int, Column, Column]]) -> DataFrame:
+def _points(
+    rows: DataFrame, x: str, panels: Sequence[tuple[int, Column, Column]], *kept: str
+) -> DataFrame:
     """One row per panel and series from one row with several measures: a single pass."""
     each = F.array(
         *[
-            F.struct(F.lit(n).alias("panel_no"), s.alias("series"), y.cast("double").alias("y"))
+            F.struct(
+                F.lit(n).alias("panel_no"),
+                s.alias("series"),
+                F.col(x).alias("x"),
+                y.cast("double").alias("y"),
+            )
             for n, s, y in panels
         ]
     )
-    return rows.select("machine", F.col(x).alias("x"), F.inline(each))
+    return rows.select("machine", *kept, F.inline(each))
 
 
 def _fixed_series(panel: int, names: Mapping[str, str]) -> list[tuple[int, Column, Column]]:
     return [(panel, F.lit(shown), F.col(c)) for c, shown in names.items()]
 
 
+def _by_series(series: str, measures: Mapping[int, str]) -> list[tuple[int, Column, Column]]:
+    return [(panel, F.col(series), F.col(c)) for panel, c in measures.items()]
+
+
 def _pivot_cells(points: DataFrame) -> DataFrame:
     """What a pivot would show: no null keys, and 0 for a cell without any value."""
     return points.filter(F.col("x").isNotNull() & F.col("series").isNotNull()).withColumn(
@@ -75,7 +86,15 @@ def _pivot_cells(points: DataFrame) -> DataFrame:
     )
 
 
-def health_check_points(
+def _titled(points: DataFrame) -> DataFrame:
+    """Adds the panel title; the lag panel names the database it shows."""
+    titles = F.create_map(*[F.lit(v) for pair in fixed.PANELS.items() for v in pair])
+    title = titles[F.col("panel_no")]
+    lag = F.concat(title, F.coalesce("database", F.lit("")))
+    return points.withColumn("panel", F.when(F.col("panel_no") == 12, lag).otherwise(title))
+
+
+def health_check_panels(
     sources: Sources,
     machines: DataFrame,
     as_of: datetime,
@@ -83,140 +102,111 @@ def health_check_points(
     days: int = 14,
     performance_days: int = 7,
     max_machines: int | None = None,
-) -> tuple[DataFrame, DataFrame]:
-    """Series points (machine, panel_no, series, x, y) and the biggest database per machine.
+) -> DataFrame:
+    """All panels of all listed machines: machine, panel_no, panel, kind, series, x, y.
 
     ``machines`` comes from :func:`machine_list` or :func:`with_keys`; ``max_machines`` is the
     length of the list if known, and lets the list be broadcast.
-    """
-    by_key = machines.select("key", "machine")
-    by_host = machines.select(F.col("host").alias("server"), "machine").filter(F.col("server").isNotNull())
-
-    def listed(df: DataFrame, spread: str = "ts") -> DataFrame:
-        """Rows of listed machines, by name in any case."""
-        keyed = df.withColumn("key", F.lower("machine"))
-        keys = by_key.select("key").distinct()
-        kept = lookup_join(keyed, keys, ["key"], "left_semi", spread=[spread], max_rows=max_machines)
-        return kept.drop("key")
-
-    def hosted(df: DataFrame) -> DataFrame:
-        """Rows of the hosts of listed machines."""
-        hosts = by_host.select("server").distinct()
-        return lookup_join(df, hosts, ["server"], "left_semi", spread=["ts"], max_rows=max_machines)
-
-    def named(df: DataFrame) -> DataFrame:
-        """Lower-case machine keys replaced by the names in the list."""
-        rows = df.withColumnRenamed("machine", "key")
-        return lookup_join(rows, by_key, ["key"], spread=["x", "series"], max_rows=max_machines).drop("key")
 
-    def named_host(df: DataFrame) -> DataFrame:
-        return lookup_join(df, by_host, ["server"], spread=["ts"], max_rows=max_machines)
+    A panel without data gives no rows. Every other panel has two marker rows, the lower and
+    the upper end of a line at the time of the last version change, named after the version.
+    The points feed both the result and the markers; each panel ends in an aggregate whose
+    shuffle Spark runs once for the two.
+    """
+    machines = machines.filter(F.col("machine").isNotNull())
+    keys = machines.select("key", "machine")
+    hosts = machines.select(F.col("host").alias("server"), "machine")
+    hosts = hosts.filter(F.col("server").isNotNull())
 
     def window(df: DataFrame, value: int = days) -> DataFrame:
         return trailing_shards(df, as_of, value)
 
-    performance = listed(window(sources.performance))
+    def among(df: DataFrame, listed: DataFrame, column: str, spread: str = "ts") -> DataFrame:
+        listed = listed.select(column)
+        return lookup_join(df, listed, [column], "left_semi", spread=[spread], max_rows=max_machines)
+
+    def by_machine(df: DataFrame, name: str = "machine", spread: str = "ts") -> DataFrame:
+        """Rows of listed machines; names are compared in lower case."""
+        return among(df.withColumn("key", F.lower(name)), keys, "key", spread).drop("key")
+
+    def named(points: DataFrame) -> DataFrame:
+        """Lower-case machine keys replaced by the names in the list."""
+        rows, spread = points.withColumnRenamed("machine", "key"), ["x", "series"]
+        return lookup_join(rows, keys, ["key"], spread=spread, max_rows=max_machines).drop("key")
+
+    performance = by_machine(window(sources.performance))
     cpu = cpu_usage_buckets(performance, window(sources.installed_applications))
     memory = memory_usage(performance)
 
-    names = active_name_map(single_shard(sources.performance_time, as_of))
-    entries = names.withColumn("key", F.lower("entry"))
-    entries = lookup_join(
-        entries, by_key.select("key").distinct(), ["key"], "left_semi",
-        spread=["machine"], max_rows=max_machines,
-    ).drop("key")
+    today = active_name_map(single_shard(sources.performance_time, as_of))
+    entries = by_machine(today, "entry", spread="machine")
     seconds = performance_seconds(window(sources.performance_time, performance_days), entries)
     calls = api_usage_top_calls(window(sources.api_usage), entries)
 
-    queries = query_profile(listed(window(sources.query_statistics)))
-    by_label = queries.groupBy("machine", "hour", "short_query").agg(
+    queries = query_profile(by_machine(window(sources.query_statistics)))
+    queries = queries.groupBy("machine", "hour", "short_query").agg(
         *[F.sum(c).alias(c) for c in ("total_calls", "sec_per_call", "total_time_ms")]
     )
 
-    bad_files = bad_file_count(hosted(window(sources.database_info)))
-    biggest = biggest_database(hosted(single_shard(sources.database_info, as_of)))
-    biggest = named_host(biggest.withColumn("ts", F.lit(None))).select("machine", "database")
+    bad_files = bad_file_count(among(window(sources.database_info), hosts, "server"))
+    bad_files = lookup_join(bad_files, hosts, ["server"], spread=["ts"], max_rows=max_machines)
+
+    databases = among(single_shard(sources.database_info, as_of), hosts, "server")
+    biggest = hosts.join(biggest_database(databases), "server").select("machine", "database")
     lag = lag_of_biggest_database(
         window(sources.performance_value),
         biggest.withColumnRenamed("machine", "server"),
         max_machines,
     )
-    lag = lag.groupBy(F.col("server").alias("machine"), "ts", "action").agg(
+    lag = lag.groupBy(F.col("server").alias("machine"), "database", "ts", "action").agg(
         F.sum("average_value").alias("average_value")
     )
 
-    source, call, query = F.col("source"), F.col("call"), F.col("short_query")
-    pivoted = [
-        named(_points(seconds, "ts", [(3, source, F.col("cpu_seconds")), (4, source, F.col("actual_seconds"))])),
-        named(_points(calls, "minute", [(5, call, F.col("calls")), (6, call, F.col("total_size")), (7, call, F.col("total_secs"))])),
-        named(_points(by_label, "hour", [(8, query, F.col("total_calls")), (9, query, F.col("sec_per_call")), (10, query, F.col("total_time_ms"))])),
-        _points(lag, "ts", [(12, F.col("action"), F.col("average_value"))]),
-    ]
+    c = F.col
     plain = [
         named(_points(cpu, "bucket", _fixed_series(1, fixed.CPU_SERIES))),
         named(_points(memory, "ts", _fixed_series(2, fixed.MEMORY_SERIES))),
-        _points(
-            named_host(bad_files), "ts", [(11, F.lit(fixed.BAD_FILES_SERIES), F.col("total_bad_files"))]
+        _points(bad_files, "ts", [(11, F.lit(fixed.BAD_FILES_SERIES), c("total_bad_files"))]),
+    ]
+    pivoted = [
+        named(_points(seconds, "ts", _by_series("source", {3: "cpu_seconds", 4: "actual_seconds"}))),
+        named(_points(calls, "minute", _by_series("call", {5: "calls", 6: "total_size", 7: "total_secs"}))),
+        named(
+            _points(
+                queries,
+                "hour",
+                _by_series("short_query", {8: "total_calls", 9: "sec_per_call", 10: "total_time_ms"}),
+            )
         ),
+        _points(lag, "ts", _by_series("action", {12: "average_value"}), "database"),
     ]
-    points = plain[0]
-    for part in [*plain[1:], *[_pivot_cells(p) for p in pivoted]]:
-        points = points.unionByName(part)
-    return points, biggest
-
+    parts = [*plain, *[_pivot_cells(p) for p in pivoted]]
+    points = parts[0]
+    for part in parts[1:]:
+        points = points.unionByName(part, allowMissingColumns=True)
 
-def health_check_panels(
-    sources: Sources,
-    machines: DataFrame,
-    as_of: datetime,
-    *,
-    days: int = 14,
-    performance_days: int = 7,
-    max_machines: int | None = None,
-) -> DataFrame:
-    """All panels of all listed machines: machine, panel_no, panel, kind, series, x, y.
-
-    A panel without data gives no rows. Every other panel has two marker rows, the lower and
-    the upper end of a line at the time of the last version change, named after the version.
-    """
-    points, biggest = health_check_points(
-        sources, machines, as_of,
-        days=days, performance_days=performance_days, max_machines=max_machines,
-    )
-    info = trailing_shards(sources.server_info, as_of, days)
-    hosts = machines.select("machine", F.col("host").alias("server"))
-    info = lookup_join(
-        info, hosts.select("server").distinct(), ["server"], "left_semi",
-        spread=["ts"], max_rows=max_machines,
-    )
-    versions = latest_version_marker(hosts.filter(F.col("server").isNotNull()), first_seen_versions(info))
+    info = among(window(sources.server_info), hosts, "server")
+    versions = latest_version_marker(hosts, first_seen_versions(info))
     about = (
-        hosts.join(versions, "server", "left")
+        machines.select("machine", c("host").alias("server"))
+        .join(versions, "server", "left")
         .join(biggest, "machine", "left")
         .select(
             "machine",
-            F.coalesce("version", F.lit(fixed.UNKNOWN_VERSION)).alias("version"),
-            "last_upgrade",
-            F.coalesce("database", F.lit("")).alias("database"),
+            "database",
+            F.coalesce("version", F.lit(fixed.UNKNOWN_VERSION)).alias("series"),
+            c("last_upgrade").alias("x"),
         )
     )
-    ends = marker_bounds(points).join(about, "machine")
-    markers = ends.select(
-        "machine",
-        "panel_no",
-        F.lit("marker").alias("kind"),
-        F.col("version").alias("series"),
-        F.col("last_upgrade").alias("x"),
-        F.explode(F.array("lo", "hi")).alias("y"),
-    )
-    title = F.create_map(*[F.lit(v) for pair in fixed.PANELS.items() for v in pair])[F.col("panel_no")]
-    titled = points.withColumn("kind", F.lit("series")).unionByName(markers)
-    lag_title = about.select("machine", "database")
-    titled = lookup_join(
-        titled, lag_title, ["machine"], "left", spread=["x", "series"], max_rows=max_machines
+    markers = (
+        marker_bounds(points)
+        .join(about, "machine")
+        .select(
+            "machine", "panel_no", "series", "x", "database", F.explode(F.array("lo", "hi")).alias("y")
+        )
     )
-    panel = F.when(F.col("panel_no") == 12, F.concat(title, F.col("database"))).otherwise(title)
-    return titled.withColumn("panel", panel).select(*POINT)
+    rows = points.withColumn("kind", F.lit("series"))
+    return _titled(rows.unionByName(markers.withColumn("kind", F.lit("marker")))).select(*POINT)
 
 
 def panel_report_write(
