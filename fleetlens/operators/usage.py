@@ -68,8 +68,9 @@ def api_usage_top_calls(
     )
     order = [F.desc("calls"), F.asc("call"), F.asc("size_kb"), F.asc("seconds")]
     top = top_per_group(by_call, ["machine"], order, k).select("machine", "call")
-    # A (machine, call) group has at most one row per minute here, so the join needs no salt.
-    return by_minute.join(top, ["machine", "call"], "left_semi").select(
+    # A (machine, call) pair has at most one row per minute here, so the join needs no salt. The
+    # pairs are distinct, so it is a semi-join that cannot be moved below the aggregate.
+    return by_minute.join(top, ["machine", "call"]).select(
         "machine",
         "minute",
         "call",

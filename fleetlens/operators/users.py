@@ -42,17 +42,25 @@ def _created(commands: DataFrame, token: str) -> DataFrame:
     )
 
 
-def _lives(commands: DataFrame, created: DataFrame, token: str) -> DataFrame:
-    """Life of every user ever created: user_id, created, deleted (null while it lives)."""
+def _changes(commands: DataFrame, created: DataFrame, token: str) -> DataFrame:
+    """First deletion and last update of the users that have any: user_id, deleted, new.
+
+    Only commands after the creation of the user count. An update after the deletion may be
+    the last one, which does not matter since a deleted user has no values.
+    """
+    delete, update = F.col("op") == "delete", (F.col("op") == "update") & _named()
+    later = commands.filter(_authorized(token) & (delete | update))
+    later = later.select("seq", "op", "user_id", "username", "password")
     born = created.select("user_id", "created")
-    deletes = commands.filter(_authorized(token) & (F.col("op") == "delete")).select("seq", "user_id")
-    first = (
-        lookup_join(deletes, born, ["user_id"], spread=["seq"])
+    return (
+        lookup_join(later, born, ["user_id"], spread=["seq"])
         .filter(F.col("seq") > F.col("created"))
         .groupBy("user_id")
-        .agg(F.min("seq").alias("deleted"))
+        .agg(
+            F.min(F.when(delete, F.col("seq"))).alias("deleted"),
+            F.max_by(F.struct("username", "password"), F.when(update, F.col("seq"))).alias("new"),
+        )
     )
-    return born.join(first, "user_id", "left")
 
 
 def user_state(commands: DataFrame, token: str) -> DataFrame:
@@ -61,19 +69,10 @@ def user_state(commands: DataFrame, token: str) -> DataFrame:
     Commands with a wrong token, without a needed value, or for an unknown id change nothing.
     """
     created = _created(commands, token)
-    alive = _lives(commands, created, token).filter(F.col("deleted").isNull())
-    updates = commands.filter(_authorized(token) & (F.col("op") == "update") & _named())
-    updates = updates.select("seq", "user_id", "username", "password")
-    last = (
-        lookup_join(updates, alive.select("user_id", "created"), ["user_id"], spread=["seq"])
-        .filter(F.col("seq") > F.col("created"))
-        .groupBy("user_id")
-        .agg(F.max_by(F.struct("username", "password"), "seq").alias("new"))
-    )
     new_digest = digest(F.col("new.username"), F.col("new.password"))
     return (
-        created.join(alive.select("user_id"), "user_id", "left_semi")
-        .join(last, "user_id", "left")
+        created.join(_changes(commands, created, token), "user_id", "left")
+        .filter(F.col("deleted").isNull())
         .select(
             "user_id",
             F.coalesce("new.username", "username").alias("username"),
@@ -124,7 +123,9 @@ def command_responses(commands: DataFrame, token: str) -> DataFrame:
     )
     seq, op = F.col("seq"), F.col("op")
     applied = F.coalesce(_authorized(token) & (op == "create") & _named(), F.lit(False))
-    lives = _lives(commands, created, token)
+    lives = created.select("user_id", "created").join(
+        _changes(commands, created, token).select("user_id", "deleted"), "user_id", "left"
+    )
     rest = lookup_join(commands.filter(~applied), lives, ["user_id"], "left", spread=["seq"])
     known = (seq > F.col("created")) & (F.col("deleted").isNull() | (seq < F.col("deleted")))
     known = F.coalesce(known, F.lit(False))

@@ -19,10 +19,15 @@ CSV_OPTIONS = {
 
 
 def _strict_fields(record: Column, columns: Sequence[str]) -> list[Column]:
-    """The named fields of a JSON object as text; an object with any other key is an error."""
-    extra = F.array_except(F.json_object_keys(record), F.array(*[F.lit(c) for c in columns]))
+    """The named fields of a JSON object as text; any other key, or no object, is an error."""
+    keys = F.json_object_keys(record)
+    extra = F.array_except(keys, F.array(*[F.lit(c) for c in columns]))
     found = F.concat(F.lit("record has fields not in the list: "), F.array_join(extra, ", "))
-    checked = F.when(F.size(extra) > 0, F.raise_error(found)).otherwise(record)
+    checked = (
+        F.when(keys.isNull(), F.raise_error(F.lit("record is not a JSON object")))
+        .when(F.size(extra) > 0, F.raise_error(found))
+        .otherwise(record)
+    )
     return [F.coalesce(F.get_json_object(checked, f"$.{c}"), F.lit("")).alias(c) for c in columns]
 
 
@@ -39,7 +44,7 @@ def read_records(
     """
     if array:
         whole = spark.read.text(path, wholetext=True)
-        record = F.explode(F.from_json("value", "array<string>"))
+        record = F.explode(F.from_json("value", "array<string>", {"mode": "FAILFAST"}))
         lines = whole.select(record.alias("value"))
     else:
         lines = spark.read.text(path).filter(F.trim("value") != "")
