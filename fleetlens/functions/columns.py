@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 from pyspark.sql import Column, functions as F, types as T
@@ -32,11 +33,18 @@ def not_negative(x: Column) -> Column:
 
 
 def none_like(text: Column, patterns: Iterable[str]) -> Column:
-    """True when the text matches none of the patterns; null text gives null."""
-    kept = F.lit(True)
-    for pattern in patterns:
-        kept = kept & ~text.like(pattern)
-    return kept
+    """True when the text matches none of the LIKE patterns; null text gives null.
+
+    One expression, so that long texts are lower-cased and searched once, not per pattern.
+    """
+    wild = {"%": ".*", "_": "."}
+    forms = ("".join(wild.get(c, re.escape(c)) for c in p) for p in patterns)
+    # A search needs no leading or trailing ".*".
+    parts = [f"^{f}$".removeprefix("^.*").removesuffix(".*$") for f in forms]
+    heads = {p[0] for p in parts}
+    # Most places in a text start none of the patterns; one test of the character rules them out.
+    guard = f"(?=[{''.join(sorted(heads))}])" if all(h.isalnum() for h in heads) else ""
+    return ~text.rlike(f"(?s){guard}(?:{'|'.join(parts)})")
 
 
 def host_name(machine: Column) -> Column:

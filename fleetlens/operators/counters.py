@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from fleetlens.functions import fixed
 from fleetlens.functions.columns import ratio
-from fleetlens.operators.joins import lookup_join
+from fleetlens.operators.joins import lookup_join, measured
 
 CPU_MEASURES = ("checkmate", "maintenance", "nodejs", "total", "postgres")
 
@@ -72,7 +72,8 @@ def counter_pivot(
     null in the columns that are divided by it.
     """
     samples = counter_sums(performance, counters)
-    joined = lookup_join(samples, _core_rows(cores), ["machine"], "left", spread=["ts"])
+    lookup, size = measured(_core_rows(cores))
+    joined = lookup_join(samples, lookup, ["machine"], "left", spread=["ts"], max_rows=size)
     return _scaled(joined).select("machine", "ts", "cores", *CPU_MEASURES)
 
 
@@ -100,10 +101,9 @@ def bucket_avg(
 ) -> DataFrame:
     """Means per cell of ``minutes`` minutes, counted from the first sample of each key."""
     samples = samples.filter(F.col(key).isNotNull())
-    origin = samples.groupBy(key).agg(F.min("ts").alias("origin"))
-    return _bucket_means(
-        lookup_join(samples, origin, [key], spread=["ts"]), key, measures, minutes
-    )
+    origin, size = measured(samples.groupBy(key).agg(F.min("ts").alias("origin")))
+    placed = lookup_join(samples, origin, [key], spread=["ts"], max_rows=size)
+    return _bucket_means(placed, key, measures, minutes)
 
 
 def cpu_usage_buckets(
@@ -125,10 +125,10 @@ def cpu_usage_buckets(
         key.alias("key"),
         F.min("first").over(Window.partitionBy(key)).alias("origin"),
     )
-    lookup = origin.join(_core_rows(latest_cores(applications)), "machine", "left")
-    samples = lookup_join(
-        counter_sums(performance, counters), lookup, ["machine"], spread=["ts"]
-    )
+    cores = _core_rows(latest_cores(applications))
+    lookup, size = measured(origin.join(cores, "machine", "left"))
+    sums = counter_sums(performance, counters)
+    samples = lookup_join(sums, lookup, ["machine"], spread=["ts"], max_rows=size)
     means = _bucket_means(_scaled(samples), "key", CPU_MEASURES, minutes)
     return means.withColumnRenamed("key", "machine")
 

@@ -6,10 +6,22 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+from fleetlens.session import written
+
 BROADCAST_ROWS = 50_000
 SALTS = 32
 
 
+def measured(lookup: DataFrame) -> tuple[DataFrame, int]:
+    """A lookup, computed once and written to the shared folder, and its number of rows.
+
+    Lookups here have a few rows per machine, name or user. Computing them costs a pass over
+    few columns of the facts, and knowing that they are small saves a shuffle of all facts.
+    """
+    kept = written(lookup)
+    return kept, kept.count()
+
+
 def lookup_join(
     facts: DataFrame,
     lookup: DataFrame,
@@ -22,12 +34,12 @@ def lookup_join(
 ) -> DataFrame:
     """Join many rows to a lookup with few rows per key (``inner``, ``left`` or ``left_semi``).
 
-    ``max_rows`` is a proven upper bound of the lookup's rows, such as the length of a machine
-    list times k. Within ``BROADCAST_ROWS`` the lookup is broadcast and the facts stay where
-    they are. Without a bound, or beyond it, each key is split in ``salts`` parts by a hash of
-    the ``spread`` columns and the lookup is repeated once per part, so a key with a third of
-    all rows is worked on by ``salts`` tasks; the measured sizes then let AQE still choose a
-    broadcast. The hash makes a repeated task give the same split.
+    ``max_rows`` is a proven upper bound of the lookup's rows: the length of a machine list, or
+    the count from :func:`measured`. Within ``BROADCAST_ROWS`` the lookup is broadcast and the
+    facts stay where they are. Without a bound, or beyond it, each key is split in ``salts``
+    parts by a hash of the ``spread`` columns and the lookup is repeated once per part, so a
+    key with a third of all rows is worked on by ``salts`` tasks. The hash makes a repeated
+    task give the same split.
     """
     if max_rows is not None and max_rows <= BROADCAST_ROWS:
         return facts.join(F.broadcast(lookup), list(on), how)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from fleetlens.functions import fixed
-from fleetlens.operators.joins import lookup_join
+from fleetlens.operators.joins import lookup_join, measured
 
 
 def lag_by_action(performance_value: DataFrame) -> DataFrame:
@@ -26,10 +26,13 @@ def lag_of_biggest_database(
 ) -> DataFrame:
     """Lag rows of each server's biggest database (server, database in lower case).
 
-    ``max_rows`` bounds ``biggest``: one row per server, so the length of a server list.
+    ``max_rows`` bounds ``biggest`` (one row per server, so the length of a server list);
+    without it the rows are counted.
     """
     lag = lag_by_action(performance_value).withColumn("database", F.lower("database"))
     chosen = biggest.select("server", "database")
+    if max_rows is None:
+        chosen, max_rows = measured(chosen)
     return lookup_join(
         lag, chosen, ["database"], spread=["ts", "action"], max_rows=max_rows
     ).select("server", "database", "ts", "action", "average_value")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from fleetlens.functions import fixed
 from fleetlens.functions.columns import entry_name, not_negative, truncate
-from fleetlens.operators.joins import lookup_join
+from fleetlens.operators.joins import lookup_join, measured
 from fleetlens.operators.ranking import top_per_group
 
 
@@ -18,26 +18,28 @@ def active_name_map(performance_time_today: DataFrame) -> DataFrame:
     return names.withColumn("entry", entry_name(F.col("machine")))
 
 
-def _name_keys(names: DataFrame) -> DataFrame:
+def _named(rows: DataFrame, names: DataFrame, *spread: str) -> DataFrame:
+    """Rows of the named machines, ``machine`` being the lower-case name each stands for."""
     keys = names.select(F.lower("machine").alias("reported"), F.lower("entry").alias("machine"))
-    return keys.filter(F.col("machine").isNotNull()).distinct()
+    keys, size = measured(keys.filter(F.col("machine").isNotNull()).distinct())
+    reported = rows.withColumn("reported", F.lower("machine")).drop("machine")
+    return lookup_join(reported, keys, ["reported"], spread=spread, max_rows=size)
 
 
 def performance_seconds(performance_time: DataFrame, names: DataFrame) -> DataFrame:
     """CPU and elapsed seconds per (machine, ts, source); negative sums become 0.
 
-    Rows without an action do not count. Sums are formed per reporting name first, so the join
-    with the names sees one row per (name, ts, source).
+    Rows without an action do not count.
     """
-    reported = (
-        performance_time.filter(F.col("action").isNotNull() & (F.col("action") != ""))
-        .groupBy(F.lower("machine").alias("reported"), "ts", "source")
-        .agg(F.sum("cpu_seconds").alias("cpu"), F.sum("seconds").alias("elapsed"))
-    )
-    named = lookup_join(reported, _name_keys(names), ["reported"], spread=["ts", "source"])
-    return named.groupBy("machine", "ts", "source").agg(
-        not_negative(F.sum("cpu").cast("double")).alias("cpu_seconds"),
-        not_negative(F.sum("elapsed").cast("double")).alias("actual_seconds"),
+    acting = performance_time.filter(F.col("action").isNotNull() & (F.col("action") != ""))
+    acting = acting.select("machine", "ts", "source", "cpu_seconds", "seconds")
+    return (
+        _named(acting, names, "ts", "source")
+        .groupBy("machine", "ts", "source")
+        .agg(
+            not_negative(F.sum("cpu_seconds").cast("double")).alias("cpu_seconds"),
+            not_negative(F.sum("seconds").cast("double")).alias("actual_seconds"),
+        )
     )
 
 
@@ -53,19 +55,17 @@ def api_usage_top_calls(
     it carries as well (after the unique name, so without effect), hence both uses read the
     same columns and Spark runs that aggregate's shuffle once.
     """
-    sums = {"size_kb": F.sum("size_kb"), "seconds": F.sum("seconds")}
-    reported = (
-        api_usage.filter(F.col("call").isNotNull() & ~F.col("call").isin(list(excluded)))
-        .groupBy(F.lower("machine").alias("reported"), truncate(F.col("ts"), "minute").alias("minute"), "call")
-        .agg(*[s.alias(n) for n, s in sums.items()], F.count(F.lit(1)).alias("calls"))
-    )
-    named = lookup_join(reported, _name_keys(names), ["reported"], spread=["minute", "call"])
-    by_minute = named.groupBy("machine", "minute", "call").agg(
-        *[s.alias(n) for n, s in sums.items()], F.sum("calls").alias("calls")
+    kept = api_usage.filter(F.col("call").isNotNull() & ~F.col("call").isin(list(excluded)))
+    kept = kept.select(
+        "machine", truncate(F.col("ts"), "minute").alias("minute"), "call", "size_kb", "seconds"
     )
-    by_call = by_minute.groupBy("machine", "call").agg(
-        *[s.alias(n) for n, s in sums.items()], F.sum("calls").alias("calls")
+    sums = [F.sum("size_kb").alias("size_kb"), F.sum("seconds").alias("seconds")]
+    by_minute = (
+        _named(kept, names, "minute", "call", "size_kb")
+        .groupBy("machine", "minute", "call")
+        .agg(*sums, F.count(F.lit(1)).alias("calls"))
     )
+    by_call = by_minute.groupBy("machine", "call").agg(*sums, F.sum("calls").alias("calls"))
     order = [F.desc("calls"), F.asc("call"), F.asc("size_kb"), F.asc("seconds")]
     top = top_per_group(by_call, ["machine"], order, k).select("machine", "call")
     # A (machine, call) pair has at most one row per minute here, so the join needs no salt. The

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from fleetlens.functions import fixed
-from fleetlens.operators.joins import lookup_join
+from fleetlens.operators.joins import lookup_join, measured
 from fleetlens.operators.ranking import consecutive
 
 OPS = ("create", "update", "delete")
@@ -30,19 +30,24 @@ def _named() -> Column:
     return F.col("username").isNotNull() & F.col("password").isNotNull()
 
 
-def _created(commands: DataFrame, token: str) -> DataFrame:
-    """Applied creates: user_id, created, username, password (the digest)."""
+def _created(commands: DataFrame, token: str) -> tuple[DataFrame, int]:
+    """Applied creates (user_id, created, username, password being the digest), their number.
+
+    Numbering takes several steps and its result is used more than once, so it is kept.
+    """
     applied = commands.filter(_authorized(token) & (F.col("op") == "create") & _named())
     numbered = consecutive(applied.select("seq", "username", "password"), "seq", "user_id")
-    return numbered.select(
-        "user_id",
-        F.col("seq").alias("created"),
-        "username",
-        digest(F.col("username"), F.col("password")).alias("password"),
+    return measured(
+        numbered.select(
+            "user_id",
+            F.col("seq").alias("created"),
+            "username",
+            digest(F.col("username"), F.col("password")).alias("password"),
+        )
     )
 
 
-def _changes(commands: DataFrame, created: DataFrame, token: str) -> DataFrame:
+def _changes(commands: DataFrame, created: DataFrame, n_created: int, token: str) -> DataFrame:
     """First deletion and last update of the users that have any: user_id, deleted, new.
 
     Only commands after the creation of the user count. An update after the deletion may be
@@ -53,7 +58,7 @@ def _changes(commands: DataFrame, created: DataFrame, token: str) -> DataFrame:
     later = later.select("seq", "op", "user_id", "username", "password")
     born = created.select("user_id", "created")
     return (
-        lookup_join(later, born, ["user_id"], spread=["seq"])
+        lookup_join(later, born, ["user_id"], spread=["seq"], max_rows=n_created)
         .filter(F.col("seq") > F.col("created"))
         .groupBy("user_id")
         .agg(
@@ -68,10 +73,10 @@ def user_state(commands: DataFrame, token: str) -> DataFrame:
 
     Commands with a wrong token, without a needed value, or for an unknown id change nothing.
     """
-    created = _created(commands, token)
+    created, n_created = _created(commands, token)
     new_digest = digest(F.col("new.username"), F.col("new.password"))
     return (
-        created.join(_changes(commands, created, token), "user_id", "left")
+        created.join(_changes(commands, created, n_created, token), "user_id", "left")
         .filter(F.col("deleted").isNull())
         .select(
             "user_id",
@@ -111,7 +116,7 @@ def command_responses(commands: DataFrame, token: str) -> DataFrame:
     401 for a wrong token; 500 for a missing value and 405 for an unknown command, neither of
     which is applied; an update of an unknown id answers with an error; a delete always works.
     """
-    created = _created(commands, token)
+    created, n_created = _created(commands, token)
     answers = created.select(
         F.col("created").alias("seq"),
         F.lit("create").alias("op"),
@@ -123,10 +128,10 @@ def command_responses(commands: DataFrame, token: str) -> DataFrame:
     )
     seq, op = F.col("seq"), F.col("op")
     applied = F.coalesce(_authorized(token) & (op == "create") & _named(), F.lit(False))
-    lives = created.select("user_id", "created").join(
-        _changes(commands, created, token).select("user_id", "deleted"), "user_id", "left"
-    )
-    rest = lookup_join(commands.filter(~applied), lives, ["user_id"], "left", spread=["seq"])
+    deleted = _changes(commands, created, n_created, token).select("user_id", "deleted")
+    lives = created.select("user_id", "created").join(deleted, "user_id", "left")
+    rest = commands.filter(~applied)
+    rest = lookup_join(rest, lives, ["user_id"], "left", spread=["seq"], max_rows=n_created)
     known = (seq > F.col("created")) & (F.col("deleted").isNull() | (seq < F.col("deleted")))
     known = F.coalesce(known, F.lit(False))
     missing = (op != "create") & F.col("user_id").isNull()

@@ -82,108 +82,88 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
-def _with_day(df: DataFrame) -> DataFrame:
-    return df.withColumn(shards.DAY, shards.day_of(F.col("ts")))
-
-
 def performance(spark: SparkSession, folder: str) -> DataFrame:
     machine = _pick(MACHINES, "user_id")
-    return _with_day(
-        _table(spark, folder, "events").selectExpr(
-            "cast(date_trunc('hour', ts) as timestamp_ntz) as ts",
-            f"case when event_id % 5 = 0 then lower({machine}) else {machine} end as machine",
-            f"{_pick(COUNTERS, 'event_id + user_id')} as counter",
-            "cast(value as decimal(18,4)) as value",
-        )
+    return _table(spark, folder, "events").selectExpr(
+        "cast(date_trunc('hour', ts) as timestamp_ntz) as ts",
+        f"case when event_id % 5 = 0 then lower({machine}) else {machine} end as machine",
+        f"{_pick(COUNTERS, 'event_id + user_id')} as counter",
+        "cast(value as decimal(18,4)) as value",
     )
 
 
 def installed_applications(spark: SparkSession, folder: str) -> DataFrame:
     # A name unknown elsewhere stands in for the first machine, which so has no cores; the
     # second machine changes its count.
-    return _with_day(
-        _table(spark, folder, "events").selectExpr(
-            "ts",
-            f"case when user_id % 8 = 0 then 'GCEMYGEOTP98' else {_pick(MACHINES, 'user_id')} end as machine",
-            "cast(case when user_id % 8 = 1 then 2 * (1 + event_id % 2) else 1 + user_id % 8 end as string) as cores",
-        )
+    return _table(spark, folder, "events").selectExpr(
+        "ts",
+        f"case when user_id % 8 = 0 then 'GCEMYGEOTP98' else {_pick(MACHINES, 'user_id')} end as machine",
+        "cast(case when user_id % 8 = 1 then 2 * (1 + event_id % 2) else 1 + user_id % 8 end as string) as cores",
     )
 
 
 def server_info(spark: SparkSession, folder: str) -> DataFrame:
-    return _with_day(
-        _table(spark, folder, "orders").selectExpr(
-            f"{_pick(HOSTS, 'o_custkey')} as server",
-            "concat(o_orderpriority, '.', o_orderstatus) as version",
-            f"{ORDER_TIME} as ts",
-        )
+    return _table(spark, folder, "orders").selectExpr(
+        f"{_pick(HOSTS, 'o_custkey')} as server",
+        "concat(o_orderpriority, '.', o_orderstatus) as version",
+        f"{ORDER_TIME} as ts",
     )
 
 
 def performance_time(spark: SparkSession, folder: str) -> DataFrame:
-    return _with_day(
-        _table(spark, folder, "lineitem").selectExpr(
-            f"case when l_orderkey % 2 = 0 then {_pick(REPORTED, 'l_suppkey')} else {_pick(MACHINES, 'l_suppkey')} end as machine",
-            f"{LINE_TIME} as ts",
-            "l_returnflag as source",
-            "case when l_linenumber = 1 then null when l_linenumber = 2 then '' else l_linestatus end as action",
-            "cast(l_extendedprice as decimal(14,2)) * (cast(l_discount as decimal(4,2)) - 0.05) as cpu_seconds",
-            "cast(l_quantity as decimal(14,2)) * (cast(l_tax as decimal(4,2)) - 0.04) as seconds",
-        )
+    return _table(spark, folder, "lineitem").selectExpr(
+        f"case when l_orderkey % 2 = 0 then {_pick(REPORTED, 'l_suppkey')} else {_pick(MACHINES, 'l_suppkey')} end as machine",
+        f"{LINE_TIME} as ts",
+        "l_returnflag as source",
+        "case when l_linenumber = 1 then null when l_linenumber = 2 then '' else l_linestatus end as action",
+        "cast(l_extendedprice as decimal(14,2)) * (cast(l_discount as decimal(4,2)) - 0.05) as cpu_seconds",
+        "cast(l_quantity as decimal(14,2)) * (cast(l_tax as decimal(4,2)) - 0.04) as seconds",
     )
 
 
 def api_usage(spark: SparkSession, folder: str) -> DataFrame:
     part = _table(spark, folder, "part").select("p_partkey", "p_brand")
     lines = _table(spark, folder, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey"))
-    return _with_day(
-        lines.selectExpr(
-            f"{_pick(REPORTED, 'l_suppkey')} as machine",
-            f"{LINE_TIME} as ts",
-            "case p_brand when 'Brand#1' then 'Authenticate' when 'Brand#2' then 'GetVersion' "
-            "when 'Brand#3' then 'Get<SystemSettings>' else p_brand end as call",
-            "cast(l_quantity as decimal(18,4)) as size_kb",
-            "cast(l_extendedprice as decimal(18,4)) as seconds",
-        )
+    return lines.selectExpr(
+        f"{_pick(REPORTED, 'l_suppkey')} as machine",
+        f"{LINE_TIME} as ts",
+        "case p_brand when 'Brand#1' then 'Authenticate' when 'Brand#2' then 'GetVersion' "
+        "when 'Brand#3' then 'Get<SystemSettings>' else p_brand end as call",
+        "cast(l_quantity as decimal(18,4)) as size_kb",
+        "cast(l_extendedprice as decimal(18,4)) as seconds",
     )
 
 
 def query_statistics(spark: SparkSession, folder: str) -> DataFrame:
-    return _with_day(
-        _table(spark, folder, "events").selectExpr(
-            "ts",
-            f"{_pick(MACHINES, 'user_id')} as machine",
-            "case event_id % 5 when 0 then 'gu' when 1 then 'pg_user' else concat('gu_', user_id) end as user_name",
-            "concat(case event_id % 13 when 0 then 'COMMIT ' when 1 then 'Vacuum ' else 'SELECT ' end, "
-            "event_type, ' FROM ', props, repeat(' x', 120), event_id) as query",
-            "cast(value as decimal(18,4)) as time_ms",
-            "1 + event_id % 7 as calls",
-        )
+    return _table(spark, folder, "events").selectExpr(
+        "ts",
+        f"{_pick(MACHINES, 'user_id')} as machine",
+        "case event_id % 5 when 0 then 'gu' when 1 then 'pg_user' else concat('gu_', user_id) end as user_name",
+        "concat(case event_id % 13 when 0 then 'COMMIT ' when 1 then 'Vacuum ' else 'SELECT ' end, "
+        "event_type, ' FROM ', props, repeat(' x', 120), event_id) as query",
+        "cast(value as decimal(18,4)) as time_ms",
+        "1 + event_id % 7 as calls",
     )
 
 
 def database_info(spark: SparkSession, folder: str) -> DataFrame:
-    return _with_day(
-        _table(spark, folder, "lineitem").selectExpr(
-            f"{_pick(HOSTS, 'l_suppkey')} as server",
-            "concat('DB', l_partkey % 50) as name",
-            f"{LINE_TIME} as ts",
-            "cast(l_quantity as bigint) as devices",
-            "cast(l_linenumber as bigint) as bad_files",
-        )
+    return _table(spark, folder, "lineitem").selectExpr(
+        f"{_pick(HOSTS, 'l_suppkey')} as server",
+        "concat('DB', l_partkey % 50) as name",
+        f"{LINE_TIME} as ts",
+        "cast(l_quantity as bigint) as devices",
+        "cast(l_linenumber as bigint) as bad_files",
     )
 
 
 def performance_value(spark: SparkSession, folder: str) -> DataFrame:
-    return _with_day(
-        _table(spark, folder, "events").selectExpr(
-            "ts",
-            "concat('dB', user_id % 50) as database",
-            "case event_type when 'click' then 'UploaderLagTime' when 'view' then 'UploaderFileLengthKB' "
-            "when 'purchase' then 'UploaderFileCount' when 'signup' then concat('DDIS.LagTime.DDIS.', event_id % 3) "
-            "else 'Other' end as action",
-            "cast(value as decimal(18,4)) as average_value",
-        )
+    return _table(spark, folder, "events").selectExpr(
+        "ts",
+        "concat('dB', user_id % 50) as database",
+        "case event_type when 'click' then 'UploaderLagTime' when 'view' then 'UploaderFileLengthKB' "
+        "when 'purchase' then 'UploaderFileCount' when 'signup' then concat('DDIS.LagTime.DDIS.', event_id % 3) "
+        "else 'Other' end as action",
+        "cast(value as decimal(18,4)) as average_value",
     )
 
 
@@ -393,8 +373,8 @@ def panel_report_write(spark, folder):
 
 
 def trailing_shards(spark, folder):
-    events = _with_day(_table(spark, folder, "events"))
-    return shards.trailing_shards(events, AS_OF, 14, ts="ts").select("event_id", "ts", "dt", "value")
+    kept = shards.trailing_shards(_table(spark, folder, "events"), AS_OF, 14)
+    return kept.select("event_id", "ts", shards.day_of(F.col("ts")).alias("dt"), "value")
 
 
 def records_to_csv(spark, folder):

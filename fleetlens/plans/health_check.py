@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from fleetlens.functions import fixed
 from fleetlens.functions.columns import host_name
 from fleetlens.operators.counters import cpu_usage_buckets, memory_usage
-from fleetlens.operators.joins import lookup_join
+from fleetlens.operators.joins import lookup_join, measured
 from fleetlens.operators.lag import lag_of_biggest_database
 from fleetlens.operators.profiles import query_profile
 from fleetlens.operators.series import marker_bounds
@@ -22,6 +22,7 @@ from fleetlens.operators.servers import (
     latest_version_marker,
 )
 from fleetlens.operators.usage import active_name_map, api_usage_top_calls, performance_seconds
+from fleetlens.session import written
 from fleetlens.sources.shards import single_shard, trailing_shards
 
 POINT = ("machine", "panel_no", "panel", "kind", "series", "x", "y")
@@ -29,7 +30,7 @@ POINT = ("machine", "panel_no", "panel", "kind", "series", "x", "y")
 
 @dataclass(frozen=True)
 class Sources:
-    """Input tables with the columns of ``fixed.TABLE_COLUMNS`` and the day column ``dt``."""
+    """Input tables with the columns of ``fixed.TABLE_COLUMNS``, by day shard if there is ``dt``."""
 
     performance: DataFrame
     installed_applications: DataFrame
@@ -106,7 +107,8 @@ def health_check_panels(
     """All panels of all listed machines: machine, panel_no, panel, kind, series, x, y.
 
     ``machines`` comes from :func:`machine_list` or :func:`with_keys`; ``max_machines`` is the
-    length of the list if known, and lets the list be broadcast.
+    length of the list if known, otherwise the list is counted. A list of usual size is
+    broadcast, so facts of other machines are dropped where they are read.
 
     A panel without data gives no rows. Every other panel has two marker rows, the lower and
     the upper end of a line at the time of the last version change, named after the version.
@@ -114,6 +116,8 @@ def health_check_panels(
     shuffle Spark runs once for the two.
     """
     machines = machines.filter(F.col("machine").isNotNull())
+    if max_machines is None:
+        machines, max_machines = measured(machines)
     keys = machines.select("key", "machine")
     hosts = machines.select(F.col("host").alias("server"), "machine")
     hosts = hosts.filter(F.col("server").isNotNull())
@@ -139,7 +143,7 @@ def health_check_panels(
     memory = memory_usage(performance)
 
     today = active_name_map(single_shard(sources.performance_time, as_of))
-    entries = by_machine(today, "entry", spread="machine")
+    entries = written(by_machine(today, "entry", spread="machine"))
     seconds = performance_seconds(window(sources.performance_time, performance_days), entries)
     calls = api_usage_top_calls(window(sources.api_usage), entries)
 

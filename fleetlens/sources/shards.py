@@ -33,31 +33,32 @@ def write_shards(df: DataFrame, path: str, files_per_day: int = 8, spread: Seque
     df.repartition(F.col(DAY), part).write.partitionBy(DAY).parquet(path)
 
 
+def _days(df: DataFrame, first: datetime, last: datetime, ts: str) -> DataFrame:
+    if DAY in df.columns:
+        return df.filter(F.col(DAY).between(day_key(first), day_key(last)))
+    begin = _literal(datetime(first.year, first.month, first.day))
+    end = _literal(datetime(last.year, last.month, last.day) + timedelta(days=1))
+    return df.filter((F.col(ts) >= begin) & (F.col(ts) < end))
+
+
 def trailing_shards(
     df: DataFrame,
     as_of: datetime,
     value: int = 14,
     unit: str = "DAY",
-    ts: str | None = None,
+    ts: str = "ts",
 ) -> DataFrame:
     """Shards from ``value`` units before ``as_of`` up to its day, both ends included.
 
-    The bounds are literals, so whole day folders are skipped. For a table without day folders
-    name its time column as ``ts``: the same days are then also cut by time, which reaches the
-    file scan and skips row groups.
+    The bounds are literals. A table with the day column skips whole folders; any other is cut
+    to the same days by its time column ``ts``, which reaches the file scan and skips row groups.
     """
-    start = as_of - timedelta(**{UNITS[unit.upper()]: value})
-    kept = df
-    if ts is not None:
-        after = datetime(as_of.year, as_of.month, as_of.day) + timedelta(days=1)
-        begin = datetime(start.year, start.month, start.day)
-        kept = kept.filter((F.col(ts) >= _literal(begin)) & (F.col(ts) < _literal(after)))
-    return kept.filter(F.col(DAY).between(day_key(start), day_key(as_of)))
+    return _days(df, as_of - timedelta(**{UNITS[unit.upper()]: value}), as_of, ts)
 
 
-def single_shard(df: DataFrame, as_of: datetime) -> DataFrame:
+def single_shard(df: DataFrame, as_of: datetime, ts: str = "ts") -> DataFrame:
     """The shard of one day."""
-    return df.filter(F.col(DAY) == day_key(as_of))
+    return _days(df, as_of, as_of, ts)
 
 
 def _literal(when: datetime) -> Column:

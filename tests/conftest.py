@@ -6,6 +6,7 @@ import pytest
 ROOT = Path(__file__).resolve().parents[1]
 sys.path.insert(0, str(ROOT))
 
+from fleetlens.operators import joins  # noqa: E402
 from fleetlens.session import session  # noqa: E402
 
 
@@ -20,8 +21,9 @@ def spark():
 
 
 @pytest.fixture
-def no_broadcast(spark):
-    """Joins without automatic broadcasts, as with lookups too large for one."""
+def no_broadcast(spark, monkeypatch):
+    """Joins without broadcasts, as with lookups too large for one."""
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", 0)
     names = ["spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"]
     for name in names:
         spark.conf.set(name, "-1")

@@ -1,9 +1,10 @@
 from datetime import datetime
 
-from conftest import final_plan, rows
+from conftest import final_plan, plan, rows
 from pyspark.sql import functions as F
 
 from fleetlens.functions import fixed
+from fleetlens.operators.servers import stage_one_servers
 from fleetlens.plans import bindings, health_check as hc
 from fleetlens.sources import shards
 
@@ -94,6 +95,20 @@ def test_panels_by_hand(frame, spark):
     assert titles[12] == "Lag Time Plot - big" and titles[1] == "CPU Plot"
 
 
+def test_panels_without_any_broadcast(frame, spark, no_broadcast):
+    df = check(frame, spark, ["GCEMYGEOTP1", "GCEMYGEOTP5"], 2)
+    assert "Broadcast" not in plan(df)
+    assert rows(df, "panel_no", "kind", "series", "x", "y") == expected()
+
+
+def test_machines_found_by_release_stage(frame, spark):
+    metadata = "{u'releaseChannel', u'value': u'stageOne7.1'}"
+    instances = frame("name string, project string, metadata string", ("my1-a", "geotab-myfed", metadata))
+    machines = hc.with_keys(stage_one_servers(instances, "7"))
+    df = hc.health_check_panels(sources(frame), machines, AS_OF)
+    assert rows(df, "panel_no", "kind", "series", "x", "y") == expected()
+
+
 def test_a_machine_without_version_and_lower_case_entry(frame, spark):
     df = check(frame, spark, ["gcemygeotp1"], 1).filter("kind = 'marker' and panel_no = 1")
     assert rows(df, "machine", "series", "x", "y") == [
@@ -129,7 +144,7 @@ def test_shards(spark, tmp_path):
     assert days == [f"202401{d:02d}" for d in range(6, 21)]
     text = trailing._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(dt" in text and "20240106" in text
-    by_time = shards.trailing_shards(dated, AS_OF, ts="ts")
+    by_time = shards.trailing_shards(events, AS_OF)
     assert by_time.count() == trailing.count()
     assert "GreaterThanOrEqual(ts,2024-01-06" in by_time._jdf.queryExecution().executedPlan().toString()
     assert shards.single_shard(table, AS_OF).select("dt").distinct().count() == 1

@@ -3,7 +3,7 @@ from datetime import datetime
 from conftest import final_plan, plan, rows
 
 from fleetlens.operators import lag, profiles, ranking, series, servers, usage
-from fleetlens.functions.columns import host_name
+from fleetlens.functions.columns import host_name, none_like
 from pyspark.sql import functions as F
 
 DAY = "2024-01-0{} 00:00:00".format
@@ -175,3 +175,14 @@ def test_consecutive_numbers(spark):
     got = rows(ranking.consecutive(df, "seq", "n"), "n", "seq")
     assert [v for _, v in sorted(got)] == sorted(values)
     assert sorted(n for n, _ in got) == list(range(1, len(values) + 1))
+
+
+def test_excluded_patterns_follow_like(frame):
+    patterns = ["%ab_d%", "x%", "%.z", "q"]
+    texts = ["1abcd", "ab\nd2", "abd", "x", "ax", "a.z", "az", "a.zz", "q", "qq", "", None]
+    df = frame("t string", *[(t,) for t in texts])
+    likes = F.lit(True)
+    for pattern in patterns:
+        likes = likes & ~F.col("t").like(pattern)
+    for chosen, expected in ((patterns, likes), (patterns[:1], ~F.col("t").like(patterns[0]))):
+        assert df.filter(~none_like(F.col("t"), chosen).eqNullSafe(expected)).count() == 0
