@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from fleetlens.session import written
 
-BROADCAST_ROWS = 50_000
-SALTS = 32
+BROADCAST_ROWS = 200_000
+PART_ROWS = 1_000_000
+HEAVY_KEYS = 50_000
+NULL_PARTS = 1_000
 
 
 def measured(lookup: DataFrame) -> tuple[DataFrame, int]:
@@ -22,6 +24,12 @@ def measured(lookup: DataFrame) -> tuple[DataFrame, int]:
     return kept, kept.count()
 
 
+def small(lookup: DataFrame, max_rows: int | None) -> DataFrame:
+    """The lookup, marked for broadcast if ``max_rows``, a proven bound of its rows, allows."""
+    fits = max_rows is not None and max_rows <= BROADCAST_ROWS
+    return F.broadcast(lookup) if fits else lookup
+
+
 def lookup_join(
     facts: DataFrame,
     lookup: DataFrame,
@@ -29,27 +37,48 @@ def lookup_join(
     how: str = "inner",
     *,
     spread: Sequence[str],
-    max_rows: int | None = None,
-    salts: int = SALTS,
+    max_rows: int,
 ) -> DataFrame:
     """Join many rows to a lookup with few rows per key (``inner``, ``left`` or ``left_semi``).
 
     ``max_rows`` is a proven upper bound of the lookup's rows: the length of a machine list, or
     the count from :func:`measured`. Within ``BROADCAST_ROWS`` the lookup is broadcast and the
-    facts stay where they are. Without a bound, or beyond it, each key is split in ``salts``
-    parts by a hash of the ``spread`` columns and the lookup is repeated once per part, so a
-    key with a third of all rows is worked on by ``salts`` tasks. The hash makes a repeated
-    task give the same split.
+    facts stay where they are.
+
+    Beyond it both sides are shuffled, and keys with more than ``PART_ROWS`` facts are split: one
+    pass counts the facts per key, a hash of the ``spread`` columns deals the facts of a heavy
+    key to parts of about that size, and the lookup rows of that key are repeated once per part.
+    All other rows are sent once. Facts without a key, which find nothing, are dealt out too.
+    The hash makes a repeated task give the same split.
     """
-    if max_rows is not None and max_rows <= BROADCAST_ROWS:
-        return facts.join(F.broadcast(lookup), list(on), how)
-    part = F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")
-    parts = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
-    left = facts.withColumn("_part", part)
-    right = lookup.withColumn("_part", parts)
+    on = list(on)
+    if max_rows <= BROADCAST_ROWS:
+        return facts.join(F.broadcast(lookup), on, how)
+    parts = F.broadcast(_heavy(facts, on))
+    no_key = F.greatest(*[F.col(c).isNull() for c in on], F.lit(False))
+    dealt = F.when(no_key, NULL_PARTS).otherwise(F.coalesce("_parts", F.lit(1)))
+    part = F.pmod(F.xxhash64(*spread), dealt).cast("int")
+    left = facts.join(parts, on, "left").withColumn("_part", part).drop("_parts")
+    each = F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))
+    right = lookup.join(parts, on, "left").withColumn("_part", each).drop("_parts")
     return left.join(right, [*on, "_part"], how).drop("_part")
 
 
+def _heavy(facts: DataFrame, on: list[str]) -> DataFrame:
+    """Keys with many facts and the number of parts for each, at most ``HEAVY_KEYS`` keys.
+
+    No more than total / n keys can have n rows, so a higher limit always ends the search.
+    """
+    counts = facts.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
+    limit = PART_ROWS
+    heavy, size = measured(counts.filter(F.col("_n") > limit))
+    while size > HEAVY_KEYS:
+        limit *= 4
+        heavy = heavy.filter(F.col("_n") > limit)
+        size = heavy.count()
+    return heavy.select(*on, F.ceil(F.col("_n") / limit).cast("int").alias("_parts"))
+
+
 def all_pairs(
     left: DataFrame,
     right: DataFrame,

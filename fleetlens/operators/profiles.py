@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from fleetlens.functions import fixed
 from fleetlens.functions.columns import none_like, ratio, truncate
+from fleetlens.operators.joins import small
 from fleetlens.operators.ranking import top_per_group
 
 
@@ -54,23 +55,31 @@ def _labelled(rows: DataFrame) -> DataFrame:
     )
 
 
-def query_profile(statistics: DataFrame, k: int = fixed.TOP_QUERIES) -> DataFrame:
+def query_profile(
+    statistics: DataFrame, k: int = fixed.TOP_QUERIES, max_machines: int | None = None
+) -> DataFrame:
     """All hours of the top query keys, a row once for every top row that has its key.
 
     The top list is one row per (hour, key), so a key that is slow in many hours repeats the
-    key's rows. It is counted before the join and the rows are repeated after it.
+    key's rows. It is counted before the join and the rows are repeated after it. The top keys
+    come from the same totals, so an outer join would add nothing; an inner join lets the top
+    keys be broadcast where ``max_machines`` bounds them.
     """
     totals = query_totals(statistics)
-    joined = totals.join(_top_keys(totals, k), ["machine", "key"], "right")
+    top = small(_top_keys(totals, k), max_machines and max_machines * k)
+    joined = totals.join(top, ["machine", "key"])
     repeated = joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     return _labelled(repeated)
 
 
-def query_profile_dedup(statistics: DataFrame, k: int = fixed.TOP_QUERIES) -> DataFrame:
+def query_profile_dedup(
+    statistics: DataFrame, k: int = fixed.TOP_QUERIES, max_machines: int | None = None
+) -> DataFrame:
     """All hours of the top query keys, each row once.
 
     The keys are distinct, so an inner join is the semi-join; unlike that it is never moved
     below the totals, which would read the statistics twice.
     """
     totals = query_totals(statistics)
-    return _labelled(totals.join(_top_keys(totals, k), ["machine", "key"]))
+    top = small(_top_keys(totals, k), max_machines and max_machines * k)
+    return _labelled(totals.join(top, ["machine", "key"]))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from fleetlens.functions import fixed
 from fleetlens.functions.columns import entry_name, not_negative, truncate
-from fleetlens.operators.joins import lookup_join, measured
+from fleetlens.operators.joins import lookup_join, measured, small
 from fleetlens.operators.ranking import top_per_group
 
 
@@ -48,9 +48,12 @@ def api_usage_top_calls(
     names: DataFrame,
     k: int = fixed.TOP_CALLS,
     excluded: Sequence[str] = fixed.EXCLUDED_CALLS,
+    max_machines: int | None = None,
 ) -> DataFrame:
     """Size, seconds and calls per (machine, minute, call) for each machine's ``k`` top calls.
 
+    ``max_machines`` bounds the machines in ``names``, if known, and so the top calls.
+
     One aggregate per minute serves the ranking and the result. The ranking orders by the sums
     it carries as well (after the unique name, so without effect), hence both uses read the
     same columns and Spark runs that aggregate's shuffle once.
@@ -70,6 +73,7 @@ def api_usage_top_calls(
     top = top_per_group(by_call, ["machine"], order, k).select("machine", "call")
     # A (machine, call) pair has at most one row per minute here, so the join needs no salt. The
     # pairs are distinct, so it is a semi-join that cannot be moved below the aggregate.
+    top = small(top, max_machines and max_machines * k)
     return by_minute.join(top, ["machine", "call"]).select(
         "machine",
         "minute",

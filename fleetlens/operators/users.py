@@ -47,14 +47,17 @@ def _created(commands: DataFrame, token: str) -> tuple[DataFrame, int]:
     )
 
 
-def _changes(commands: DataFrame, created: DataFrame, n_created: int, token: str) -> DataFrame:
+def _changes(
+    commands: DataFrame, created: DataFrame, n_created: int, token: str, updates: bool = True
+) -> DataFrame:
     """First deletion and last update of the users that have any: user_id, deleted, new.
 
     Only commands after the creation of the user count. An update after the deletion may be
     the last one, which does not matter since a deleted user has no values.
     """
     delete, update = F.col("op") == "delete", (F.col("op") == "update") & _named()
-    later = commands.filter(_authorized(token) & (delete | update))
+    later = commands.filter(_authorized(token) & ((delete | update) if updates else delete))
+    later = later.filter(F.col("user_id").isNotNull())
     later = later.select("seq", "op", "user_id", "username", "password")
     born = created.select("user_id", "created")
     return (
@@ -128,7 +131,8 @@ def command_responses(commands: DataFrame, token: str) -> DataFrame:
     )
     seq, op = F.col("seq"), F.col("op")
     applied = F.coalesce(_authorized(token) & (op == "create") & _named(), F.lit(False))
-    deleted = _changes(commands, created, n_created, token).select("user_id", "deleted")
+    deleted = _changes(commands, created, n_created, token, updates=False)
+    deleted = deleted.select("user_id", "deleted")
     lives = created.select("user_id", "created").join(deleted, "user_id", "left")
     rest = commands.filter(~applied)
     rest = lookup_join(rest, lives, ["user_id"], "left", spread=["seq"], max_rows=n_created)

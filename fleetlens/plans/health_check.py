@@ -145,9 +145,10 @@ def health_check_panels(
     today = active_name_map(single_shard(sources.performance_time, as_of))
     entries = written(by_machine(today, "entry", spread="machine"))
     seconds = performance_seconds(window(sources.performance_time, performance_days), entries)
-    calls = api_usage_top_calls(window(sources.api_usage), entries)
+    calls = api_usage_top_calls(window(sources.api_usage), entries, max_machines=max_machines)
 
-    queries = query_profile(by_machine(window(sources.query_statistics)))
+    queries = by_machine(window(sources.query_statistics))
+    queries = query_profile(queries, max_machines=max_machines)
     queries = queries.groupBy("machine", "hour", "short_query").agg(
         *[F.sum(c).alias(c) for c in ("total_calls", "sec_per_call", "total_time_ms")]
     )

@@ -22,8 +22,9 @@ def spark():
 
 @pytest.fixture
 def no_broadcast(spark, monkeypatch):
-    """Joins without broadcasts, as with lookups too large for one."""
+    """Joins without broadcasts of lookups, and with nearly every key split in parts."""
     monkeypatch.setattr(joins, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(joins, "PART_ROWS", 3)
     names = ["spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"]
     for name in names:
         spark.conf.set(name, "-1")
