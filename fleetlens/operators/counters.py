@@ -9,13 +9,14 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from fleetlens.functions import fixed
 from fleetlens.functions.columns import ratio
 from fleetlens.operators.joins import lookup_join, measured
+from fleetlens.session import written
 
 CPU_MEASURES = ("checkmate", "maintenance", "nodejs", "total", "postgres")
 
 
 def _sum_of(counter: str) -> Column:
     """Sum of one counter in a sample; a counter that is absent counts as 0, not null."""
-    return F.sum(F.when(F.col("counter") == counter, F.col("value")).otherwise(0)).cast("double")
+    return F.sum(F.when(F.col("counter") == counter, F.col("value")).otherwise(0))
 
 
 def counter_sums(performance: DataFrame, counters: Mapping[str, str] = fixed.CPU_COUNTERS) -> DataFrame:
@@ -45,18 +46,18 @@ def _core_rows(cores: DataFrame) -> DataFrame:
 
 def _scaled(samples: DataFrame) -> DataFrame:
     """CPU measures of samples that carry ``cores`` and ``copies``."""
-    copies = F.coalesce(F.col("copies"), F.lit(1))
-    windows, linux, node = (F.col(c) * copies for c in ("checkmate_windows", "checkmate_linux", "nodejs"))
+    copies, cores = F.coalesce("copies", F.lit(1)), F.col("cores")
+
+    def total(counter: str) -> Column:
+        return F.col(counter).cast("double") * copies
+
     return samples.select(
-        "*",
-        (ratio(windows, F.col("cores")) + linux).alias("_checkmate"),
-        ratio(node, F.col("cores")).alias("_nodejs"),
-    ).withColumns(
-        {
-            "checkmate": F.col("_checkmate"),
-            "nodejs": F.col("_nodejs"),
-            **{c: F.col(c) * copies for c in ("maintenance", "total", "postgres")},
-        }
+        *[c for c in samples.columns if c not in fixed.CPU_COUNTERS],
+        (ratio(total("checkmate_windows"), cores) + total("checkmate_linux")).alias("checkmate"),
+        total("maintenance").alias("maintenance"),
+        ratio(total("nodejs"), cores).alias("nodejs"),
+        total("total").alias("total"),
+        total("postgres").alias("postgres"),
     )
 
 
@@ -106,20 +107,15 @@ def bucket_avg(
     return _bucket_means(placed, key, measures, minutes)
 
 
-def cpu_usage_buckets(
-    performance: DataFrame,
-    applications: DataFrame,
-    counters: Mapping[str, str] = fixed.CPU_COUNTERS,
-    minutes: int = 5,
-) -> DataFrame:
+def cpu_buckets(samples: DataFrame, applications: DataFrame, minutes: int = 5) -> DataFrame:
     """CPU measures per machine and bucket; machine names are compared in lower case.
 
-    Cores belong to one spelling of a machine name, the grid to all spellings together. Both
-    are small (rows per machine, not per sample) and are joined to the samples in one step.
+    ``samples`` come from :func:`counter_sums` and are read twice. Cores belong to one spelling
+    of a machine name, the grid to all spellings together. Both are small (rows per machine,
+    not per sample) and are joined to the samples in one step.
     """
     key = F.lower("machine")
-    seen = performance.filter(F.col("machine").isNotNull())
-    origin = seen.groupBy("machine").agg(F.min("ts").alias("first"))
+    origin = samples.groupBy("machine").agg(F.min("ts").alias("first"))
     origin = origin.select(
         "machine",
         key.alias("key"),
@@ -127,22 +123,50 @@ def cpu_usage_buckets(
     )
     cores = _core_rows(latest_cores(applications))
     lookup, size = measured(origin.join(cores, "machine", "left"))
-    sums = counter_sums(performance, counters)
-    samples = lookup_join(sums, lookup, ["machine"], spread=["ts"], max_rows=size)
-    means = _bucket_means(_scaled(samples), "key", CPU_MEASURES, minutes)
+    placed = lookup_join(samples, lookup, ["machine"], spread=["ts"], max_rows=size)
+    means = _bucket_means(_scaled(placed), "key", CPU_MEASURES, minutes)
     return means.withColumnRenamed("key", "machine")
 
 
-def memory_usage(
+def cpu_usage_buckets(
     performance: DataFrame,
-    counters: Mapping[str, Mapping[str, int]] = fixed.MEMORY_COUNTERS,
+    applications: DataFrame,
+    counters: Mapping[str, str] = fixed.CPU_COUNTERS,
+    minutes: int = 5,
+) -> DataFrame:
+    """:func:`cpu_buckets` of counter rows, which are read once."""
+    samples = written(counter_sums(performance, counters), "samples")
+    return cpu_buckets(samples, applications, minutes)
+
+
+def memory_counters(counters: Mapping[str, Mapping[str, int]] = fixed.MEMORY_COUNTERS) -> dict[str, str]:
+    """Columns that :func:`memory_gb` needs from :func:`counter_sums`."""
+    return {f"{name}_{n}": c for name, parts in counters.items() for n, c in enumerate(parts)}
+
+
+def memory_gb(
+    samples: DataFrame, counters: Mapping[str, Mapping[str, int]] = fixed.MEMORY_COUNTERS
 ) -> DataFrame:
     """Memory in GB per (machine, ts); two counters of unlike unit may feed one column."""
     columns = []
     for name, parts in counters.items():
         total = F.lit(0.0)
-        for counter, divisor in parts.items():
-            total = total + _sum_of(counter) / F.lit(float(divisor))
+        for n, divisor in enumerate(parts.values()):
+            total = total + F.col(f"{name}_{n}").cast("double") / F.lit(float(divisor))
         columns.append(total.alias(name))
-    key = F.lower("machine").alias("machine")
-    return performance.filter(F.col("machine").isNotNull()).groupBy(key, "ts").agg(*columns)
+    return samples.select("machine", "ts", *columns)
+
+
+def memory_usage(
+    performance: DataFrame,
+    counters: Mapping[str, Mapping[str, int]] = fixed.MEMORY_COUNTERS,
+) -> DataFrame:
+    """:func:`memory_gb` of counter rows; machine names are compared in lower case."""
+    lower = performance.withColumn("machine", F.lower("machine"))
+    return memory_gb(counter_sums(lower, memory_counters(counters)), counters)
+
+
+def merged_spellings(samples: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Samples of all spellings of a machine name added up under the lower-case name."""
+    sums = [F.sum(c).alias(c) for c in columns]
+    return samples.groupBy(F.lower("machine").alias("machine"), "ts").agg(*sums)

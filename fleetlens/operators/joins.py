@@ -20,7 +20,7 @@ def measured(lookup: DataFrame) -> tuple[DataFrame, int]:
     Lookups here have a few rows per machine, name or user. Computing them costs a pass over
     few columns of the facts, and knowing that they are small saves a shuffle of all facts.
     """
-    kept = written(lookup)
+    kept = written(lookup, "lookup")
     return kept, kept.count()
 
 

@@ -90,12 +90,19 @@ def user_state(commands: DataFrame, token: str) -> DataFrame:
 
 
 def user_lookup(users: DataFrame, keys: DataFrame | None = None) -> DataFrame:
-    """Users asked for by ``user_id``, with an error for ids nobody has; without keys all users."""
+    """Users asked for by ``user_id``, with an error for ids nobody has; without keys all users.
+
+    Other columns of ``keys``, such as a request number, are passed on; they also serve to
+    split an id that very many rows ask for.
+    """
     if keys is None:
         return users.withColumn("error", F.lit(None).cast("string"))
-    found = users.withColumn("_found", F.lit(True))
+    known, size = measured(users)
+    spread = [c for c in keys.columns if c != "user_id"] or ["user_id"]
+    found = known.withColumn("_found", F.lit(True))
+    asked = lookup_join(keys, found, ["user_id"], "left", spread=spread, max_rows=size)
     error = F.when(F.col("_found").isNull(), F.lit(fixed.USER_NOT_FOUND))
-    return keys.select("user_id").join(found, "user_id", "left").withColumn("error", error).drop("_found")
+    return asked.withColumn("error", error).drop("_found")
 
 
 def as_envelope(responses: DataFrame) -> DataFrame:

@@ -219,8 +219,8 @@ def probe_outputs(spark: SparkSession, folder: str) -> DataFrame:
     matrix = probes.probe_matrix(supplier, nation, PORTS)
     return matrix.selectExpr(
         "*",
-        "cast(substring(src, 10, 20) as bigint) as s_suppkey",
-        "cast(substring(dst, 8, 20) as bigint) as n_nationkey",
+        "cast(substr(src, 10) as bigint) as s_suppkey",
+        "cast(substr(dst, 8) as bigint) as n_nationkey",
     ).selectExpr(
         "src", "dst", "port_order", "port",
         f"case {n} % 5 when 0 then 'bash: connect: Connection refused\\n1' "
@@ -411,7 +411,7 @@ def _json_items(spark: SparkSession, folder: str) -> DataFrame:
         "concat('{\"id\": \"', event_id, '\", \"value\": ', user_id, '.5, \"kind\": ', "
         "case event_id % 3 when 0 then 'true' when 1 then 'null' else '[1]' end, "
         "case when event_id % 10 = 0 then concat(', \"name\": \"', event_type, '\"') else ', \"extra\": {}' end, "
-        "', ', substring(props, 2, 1000000)) as item"
+        "', ', substr(props, 2)) as item"
     )
 
 

@@ -10,7 +10,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from fleetlens.functions import fixed
 from fleetlens.functions.columns import host_name
-from fleetlens.operators.counters import cpu_usage_buckets, memory_usage
+from fleetlens.operators.counters import (
+    cpu_buckets,
+    counter_sums,
+    memory_counters,
+    memory_gb,
+    merged_spellings,
+)
 from fleetlens.operators.joins import lookup_join, measured
 from fleetlens.operators.lag import lag_of_biggest_database
 from fleetlens.operators.profiles import query_profile
@@ -138,12 +144,15 @@ def health_check_panels(
         rows, spread = points.withColumnRenamed("machine", "key"), ["x", "series"]
         return lookup_join(rows, keys, ["key"], spread=spread, max_rows=max_machines).drop("key")
 
+    # The largest table is read once: its samples, one row for all counters, serve two panels.
     performance = by_machine(window(sources.performance))
-    cpu = cpu_usage_buckets(performance, window(sources.installed_applications))
-    memory = memory_usage(performance)
+    samples = counter_sums(performance, fixed.CPU_COUNTERS | memory_counters())
+    samples = written(samples, "samples")
+    cpu = cpu_buckets(samples, window(sources.installed_applications))
+    memory = memory_gb(merged_spellings(samples, list(memory_counters())))
 
     today = active_name_map(single_shard(sources.performance_time, as_of))
-    entries = written(by_machine(today, "entry", spread="machine"))
+    entries = written(by_machine(today, "entry", spread="machine"), "names")
     seconds = performance_seconds(window(sources.performance_time, performance_days), entries)
     calls = api_usage_top_calls(window(sources.api_usage), entries, max_machines=max_machines)
 
@@ -222,15 +231,13 @@ def panel_report_write(
     *,
     kind: str = "ServerPerformance",
     extension: str = "html",
-    parts: int = 8,
 ) -> DataFrame:
     """Write the panels to one folder per machine and return the links: machine, file_name, url.
 
-    A machine's rows are spread over ``parts`` tasks by row hash, so a machine with many rows
-    is not written by one task and a small one does not leave a file per task.
+    Rows are gathered by machine in parts of even size, so a machine with many rows is written
+    by many tasks and a small one does not leave a file per task.
     """
-    part = F.pmod(F.xxhash64("panel_no", "series", "x"), F.lit(parts))
-    panels.repartition(F.col("machine"), part).write.partitionBy("machine").parquet(path)
+    panels.hint("rebalance", "machine").write.partitionBy("machine").parquet(path)
     written = panels.sparkSession.read.schema(panels.schema).parquet(path)
     file_name = F.concat(
         F.col("machine"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,31 +29,32 @@ def session(app: str = "fleetlens", master: str | None = None, **settings: str)
     return builder.getOrCreate()
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``; every executor must see it.
-
-    Only where the setting is absent (tests on one machine) a temporary folder is made.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+@cache
+def _temporary_root() -> str:
     return tempfile.mkdtemp(prefix="fleetlens-")
 
 
 def shared_folder(spark: SparkSession, purpose: str) -> str:
-    """A new folder below the shared one."""
-    return f"{shared_root(spark)}/{purpose}-{uuid.uuid4().hex}"
+    """A new folder below the one the cluster names in ``spark.checkpoint.dir``.
+
+    Every executor must see it. Only where the setting is absent (tests on one machine) a
+    temporary folder is used.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        root = _temporary_root()
+    return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame) -> DataFrame:
-    """The rows of ``df``, computed now and kept in the shared folder.
+def written(df: DataFrame, purpose: str = "step") -> DataFrame:
+    """The rows of ``df``, computed now and kept as a table in the shared folder.
 
     For results that are used several times or whose size is to be measured. They survive the
-    loss of executors, and later jobs neither compute them again nor carry their plan.
+    loss of executors; later jobs do not compute them again, read only the columns they need
+    and know their size.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_root(df.sparkSession))
-    return df.checkpoint()
+    path = shared_folder(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

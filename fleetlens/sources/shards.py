@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
 from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
@@ -27,10 +26,9 @@ def read_shards(spark: SparkSession, path: str, schema: T.StructType) -> DataFra
     return spark.read.schema(T.StructType([*fields, T.StructField(DAY, T.StringType())])).parquet(path)
 
 
-def write_shards(df: DataFrame, path: str, files_per_day: int = 8, spread: Sequence[str] = ()) -> None:
-    """Write one folder per day. A day's rows are spread over several tasks by row hash."""
-    part = F.pmod(F.xxhash64(*(spread or df.columns)), F.lit(files_per_day))
-    df.repartition(F.col(DAY), part).write.partitionBy(DAY).parquet(path)
+def write_shards(df: DataFrame, path: str) -> None:
+    """Write one folder per day; a day's rows are spread over files of even size."""
+    df.hint("rebalance", DAY).write.partitionBy(DAY).parquet(path)
 
 
 def _days(df: DataFrame, first: datetime, last: datetime, ts: str) -> DataFrame:

@@ -136,7 +136,8 @@ def test_shards(spark, tmp_path):
     events = spark.read.parquet(f"{SF}/events.parquet")
     dated = events.withColumn("dt", shards.day_of(F.col("ts")))
     path = str(tmp_path / "events")
-    shards.write_shards(dated, path, files_per_day=2)
+    shards.write_shards(dated, path)
+    assert len(list(tmp_path.glob("events/dt=*/*.parquet"))) == 30
     table = shards.read_shards(spark, path, dated.schema)
     assert dict(table.dtypes)["dt"] == "string"
     trailing = shards.trailing_shards(table, AS_OF)
