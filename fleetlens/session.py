@@ -20,6 +20,8 @@ def session(app: str = "fleetlens", master: str | None = None, **settings: str)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # The health check generates more code stages than the default cache of 100 holds.
+        .config("spark.sql.codegen.cache.maxEntries", "2000")
         .config("spark.ui.enabled", "false")
     )
     if master:
