@@ -238,13 +238,13 @@ def panel_report_write(
     by many tasks and a small one does not leave a file per task.
     """
     panels.hint("rebalance", "machine").write.partitionBy("machine").parquet(path)
-    written = panels.sparkSession.read.schema(panels.schema).parquet(path)
+    stored = panels.sparkSession.read.schema(panels.schema).parquet(path)
     file_name = F.concat(
         F.col("machine"),
         F.lit("-" + as_of.strftime("%Y%m%d-%H%M") + f"-{kind}.{extension}"),
     )
     return (
-        written.groupBy("machine")
+        stored.groupBy("machine")
         .agg(F.count(F.lit(1)).alias("n_rows"))
         .select(
             "machine",
