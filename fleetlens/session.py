@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,22 +29,13 @@ def session(app: str = "fleetlens", master: str | None = None, **settings: str)
     return builder.getOrCreate()
 
 
-@cache
-def _temporary_root() -> str:
-    return tempfile.mkdtemp(prefix="fleetlens-")
-
-
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A new folder below the one the cluster names in ``spark.checkpoint.dir``.
 
-    Every executor must see it. Only where the setting is absent (tests on one machine) a
-    temporary folder is used.
+    Where that is unset, as in tests, it lies below the warehouse, which executors share too.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        root = _temporary_root()
+    root = root or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_steps"
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
