@@ -6,13 +6,16 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fleetlens.llm import packing, token_files
-from fleetlens.llm.common import table
+from fleetlens.llm import (
+    chat, decontamination, language_id, packing, quality, secrets, token_files, toxicity,
+)
+from fleetlens.llm.common import bucket, table
 from fleetlens.session import shared_folder
 
 SEQUENCE_IDS = 4096
+TOXIC_SCORE = 0.7
 
 
 def tokenizer_path(name: str) -> str:
@@ -21,6 +24,40 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def held_out(buckets: int, rest: int):
+    return F.coalesce(bucket("doc_id", buckets) == rest, F.lit(False)).alias("held_out")
+
+
+def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    model = toxicity.learn(docs, labels, bucket("doc_id", 3) != 1)
+    scored = toxicity.score(docs, model)
+    predicted = (F.col("score") >= TOXIC_SCORE).cast("int").alias("predicted")
+    return scored.select("doc_id", held_out(3, 1), "score", predicted, "evidence")
+
+
+def learned_language(docs: DataFrame):
+    return language_id.learn_dictionaries(docs, bucket("doc_id", 4) != 2)
+
+
+def op2_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    found = language_id.identify(docs.select("doc_id", "text"), learned_language(docs))
+    return found.select("doc_id", held_out(4, 2), "lang_pred", "score", "margin", "rejected")
+
+
+def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    base = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    judged = quality.judge(table(spark, folder, "documents"))
+    return judged.select("doc_id", *base, "base_failed", "kept", "posterior")
+
+
+def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontamination.contaminated(
+        table(spark, folder, "documents"), table(spark, folder, "benchmark")
+    )
+
+
 def op6_token_files(spark: SparkSession, folder: str) -> DataFrame:
     out = shared_folder(spark, "token-files")
     token_files.write_token_files(
@@ -47,8 +84,23 @@ def op7_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.token_packing(docs, tokenizer_path("word_bpe_49k.json"), 1, SEQUENCE_IDS)
 
 
+def op8_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    columns = ["doc_id", "start", "n_chars", "secret_sha256", "probability", "is_secret"]
+    return secrets.scan(table(spark, folder, "documents")).select(columns)
+
+
+def op9_chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    return chat.repair(table(spark, folder, "conversations"))
+
+
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
+    "op2_language_id": op2_language_id,
+    "op3_quality_rules": op3_quality_rules,
+    "op4_decontamination": op4_decontamination,
     "op6_token_files": op6_token_files,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op8_secret_scan": op8_secret_scan,
+    "op9_chat_format": op9_chat_format,
 }
 SQL: dict[str, str] = {}
