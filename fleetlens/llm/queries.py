@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fleetlens.llm import (
-    chat, decontamination, language_id, packing, quality, secrets, token_files, toxicity,
+    chat, decontamination, jaccard, language_id, packing, quality, secrets, token_files, toxicity,
 )
 from fleetlens.llm.common import bucket, table
 from fleetlens.session import shared_folder
@@ -58,6 +58,10 @@ def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op5_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.near_components(table(spark, folder, "documents"))
+
+
 def op6_token_files(spark: SparkSession, folder: str) -> DataFrame:
     out = shared_folder(spark, "token-files")
     token_files.write_token_files(
@@ -98,6 +102,7 @@ QUERIES = {
     "op2_language_id": op2_language_id,
     "op3_quality_rules": op3_quality_rules,
     "op4_decontamination": op4_decontamination,
+    "op5_jaccard_join": op5_jaccard_join,
     "op6_token_files": op6_token_files,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_secret_scan": op8_secret_scan,
