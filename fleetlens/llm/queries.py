@@ -9,7 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fleetlens.llm import (
-    chat, decontamination, jaccard, language_id, packing, quality, secrets, token_files, toxicity,
+    chat, decontamination, jaccard, language_id, packing, quality, secrets,
+    substring_dedup, token_files, toxicity,
 )
 from fleetlens.llm.common import bucket, table
 from fleetlens.session import shared_folder
@@ -97,6 +98,12 @@ def op9_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     return chat.repair(table(spark, folder, "conversations"))
 
 
+def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    kept = substring_dedup.dedup(table(spark, folder, "documents"))
+    digest = F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256")
+    return kept.select("doc_id", "n_words", "n_removed", digest)
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_language_id": op2_language_id,
@@ -107,5 +114,6 @@ QUERIES = {
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_secret_scan": op8_secret_scan,
     "op9_chat_format": op9_chat_format,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 SQL: dict[str, str] = {}
