@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column, functions as F, types as T
 
@@ -47,21 +47,27 @@ def none_like(text: Column, patterns: Iterable[str]) -> Column:
     return ~text.rlike(f"(?s){guard}(?:{'|'.join(parts)})")
 
 
-def host_name(machine: Column) -> Column:
-    """Host a machine serves. The number starts after ten characters whatever the prefix is."""
-    number = F.substring(machine, fixed.MACHINE_PREFIX_LENGTH + 1, 2**31 - 1)
+def host_name(
+    machine: Column,
+    forms: Mapping[str, tuple[str, str]] = fixed.HOST_FORMS,
+    prefix_length: int = fixed.MACHINE_PREFIX_LENGTH,
+) -> Column:
+    """Host a machine serves. The number starts after ``prefix_length`` characters in every form."""
+    number = F.substring(machine, prefix_length + 1, 2**31 - 1)
     host = F.lit(None).cast("string")
-    for part, (before, after) in reversed(fixed.HOST_FORMS.items()):
+    for part, (before, after) in reversed(forms.items()):
         named = F.concat(F.lit(before), number, F.lit(after))
         host = F.when(machine.contains(part), named).otherwise(host)
     return host
 
 
-def entry_name(machine: Column) -> Column:
+def entry_name(
+    machine: Column, alias: str = fixed.ALIAS_PATTERN, prefix: str = fixed.PRODUCTION_PREFIX
+) -> Column:
     """Machine name under which a reporting name is listed."""
     digits = F.regexp_replace(machine, "[^0-9]+", "")
-    production = F.concat(F.lit(fixed.PRODUCTION_PREFIX), digits)
-    return F.when(machine.like(fixed.ALIAS_PATTERN), production).otherwise(machine)
+    production = F.concat(F.lit(prefix), digits)
+    return F.when(machine.like(alias), production).otherwise(machine)
 
 
 def is_missing(field: T.StructField) -> Column:

@@ -26,18 +26,18 @@ MEMORY_COUNTERS = {
 
 # Machine name contains -> (host prefix, host suffix), first match counts.
 HOST_FORMS = {
-    "GCEMYGEOTP": ("my", ".geotab.com"),
-    "GCEMYGATT": ("afmfe", ".att.com"),
-    "GOV": ("gov", ".geotab.com"),
-    "GCEMYGMIRT": ("mirror", ".geotab.com"),
-    "GCEMYGEOTT": ("support", ".geotab.com"),
-    "GCEMYGEOTB": ("preview", ".geotab.com"),
+    "CLOUDHOSTP": ("my", ".example.com"),
+    "CLOUDHATT": ("afmfe", ".example.net"),
+    "GOV": ("gov", ".example.com"),
+    "CLOUDHMIRT": ("mirror", ".example.com"),
+    "CLOUDHOSTT": ("support", ".example.com"),
+    "CLOUDHOSTB": ("preview", ".example.com"),
 }
 MACHINE_PREFIX_LENGTH = 10
 
 # Reporting names that stand for a production machine.
-ALIAS_PATTERN = "my%_mygeotab"
-PRODUCTION_PREFIX = "GCEMYGEOTP"
+ALIAS_PATTERN = "my%_alias"
+PRODUCTION_PREFIX = "CLOUDHOSTP"
 
 # API calls left out of the ranking.
 EXCLUDED_CALLS = (
@@ -78,7 +78,7 @@ LAG_RENAMED = {"UploaderLagTime": "Processing Time"}
 LAG_DROPPED_TEXT = "DDIS."
 
 # Release stage lookup.
-STAGE_PROJECT_PATTERN = "geotab-myfed%"
+STAGE_PROJECT_PATTERN = "example-fleet%"
 STAGE_METADATA_PATTERN = "%u'releasechannel', u'value': u'stageone{major}%"
 
 # Shown when a server has no version row.

@@ -4,12 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from fleetlens.functions import fixed
 from fleetlens.functions.columns import ratio
-from fleetlens.operators.joins import lookup_join, measured
-from fleetlens.session import written
 
 CPU_MEASURES = ("checkmate", "maintenance", "nodejs", "total", "postgres")
 
@@ -26,13 +24,14 @@ def counter_sums(performance: DataFrame, counters: Mapping[str, str] = fixed.CPU
 
 
 def latest_cores(applications: DataFrame) -> DataFrame:
-    """Latest time of each (machine, core count): machine, cores, ts.
+    """Newest row of each (machine in any spelling, core count): machine, cores, ts.
 
-    The newest row per group has nothing but the group key and its time, so ``max`` serves.
-    Groups are formed before the cast: "4" and "4.0" stay two rows.
+    ``machine`` is the newest row's spelling, of equal times the greater one. Groups are formed
+    before the cast: "4" and "4.0" stay two rows.
     """
-    newest = applications.groupBy("machine", "cores").agg(F.max("ts").alias("ts"))
-    return newest.withColumn("cores", F.col("cores").cast("double"))
+    newest = F.max(F.struct("ts", "machine")).alias("newest")
+    rows = applications.groupBy(F.lower("machine").alias("key"), "cores").agg(newest)
+    return rows.select("newest.machine", F.col("cores").cast("double").alias("cores"), "newest.ts")
 
 
 def _core_rows(cores: DataFrame) -> DataFrame:
@@ -73,9 +72,7 @@ def counter_pivot(
     null in the columns that are divided by it.
     """
     samples = counter_sums(performance, counters)
-    lookup, size = measured(_core_rows(cores))
-    joined = lookup_join(samples, lookup, ["machine"], "left", spread=["ts"], max_rows=size)
-    return _scaled(joined).select("machine", "ts", "cores", *CPU_MEASURES)
+    return _scaled(samples.join(_core_rows(cores), "machine", "left")).select("machine", "ts", "cores", *CPU_MEASURES)
 
 
 def _bucket_means(samples: DataFrame, key: str, measures: Sequence[str], minutes: int) -> DataFrame:
@@ -102,28 +99,24 @@ def bucket_avg(
 ) -> DataFrame:
     """Means per cell of ``minutes`` minutes, counted from the first sample of each key."""
     samples = samples.filter(F.col(key).isNotNull())
-    origin, size = measured(samples.groupBy(key).agg(F.min("ts").alias("origin")))
-    placed = lookup_join(samples, origin, [key], spread=["ts"], max_rows=size)
-    return _bucket_means(placed, key, measures, minutes)
+    origin = samples.groupBy(key).agg(F.min("ts").alias("origin"))
+    return _bucket_means(samples.join(origin, key), key, measures, minutes)
 
 
-def cpu_buckets(samples: DataFrame, applications: DataFrame, minutes: int = 5) -> DataFrame:
+def cpu_buckets(
+    samples: DataFrame, times: DataFrame, applications: DataFrame, minutes: int = 5
+) -> DataFrame:
     """CPU measures per machine and bucket; machine names are compared in lower case.
 
-    ``samples`` come from :func:`counter_sums` and are read twice. Cores belong to one spelling
-    of a machine name, the grid to all spellings together. Both are small (rows per machine,
-    not per sample) and are joined to the samples in one step.
+    ``samples`` come from :func:`counter_sums`; ``times`` (machine, ts) are the rows they were made
+    of, of which only the first time per machine is needed. Cores belong to one spelling of a
+    machine name, the grid to all spellings together.
     """
-    key = F.lower("machine")
-    origin = samples.groupBy("machine").agg(F.min("ts").alias("first"))
-    origin = origin.select(
-        "machine",
-        key.alias("key"),
-        F.min("first").over(Window.partitionBy(key)).alias("origin"),
-    )
+    key = F.lower("machine").alias("key")
+    origin = times.filter(F.col("machine").isNotNull()).groupBy(key)
+    origin = origin.agg(F.min("ts").alias("origin"))
     cores = _core_rows(latest_cores(applications))
-    lookup, size = measured(origin.join(cores, "machine", "left"))
-    placed = lookup_join(samples, lookup, ["machine"], spread=["ts"], max_rows=size)
+    placed = samples.withColumn("key", key).join(origin, "key").join(cores, "machine", "left")
     means = _bucket_means(_scaled(placed), "key", CPU_MEASURES, minutes)
     return means.withColumnRenamed("key", "machine")
 
@@ -134,9 +127,8 @@ def cpu_usage_buckets(
     counters: Mapping[str, str] = fixed.CPU_COUNTERS,
     minutes: int = 5,
 ) -> DataFrame:
-    """:func:`cpu_buckets` of counter rows, which are read once."""
-    samples = written(counter_sums(performance, counters), "samples")
-    return cpu_buckets(samples, applications, minutes)
+    """:func:`cpu_buckets` of counter rows."""
+    return cpu_buckets(counter_sums(performance, counters), performance, applications, minutes)
 
 
 def memory_counters(counters: Mapping[str, Mapping[str, int]] = fixed.MEMORY_COUNTERS) -> dict[str, str]:

@@ -1,104 +1,54 @@
-"""Joins that hold when one key has a large share of the rows."""
+"""Joins that a plain join cannot say well.
+
+Lookups are joined plainly: Spark broadcasts one whose bytes it knows to be few, from the plan
+(a list made by the program) or at run time, and else splits partitions that are too large.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
 
 from pyspark.sql import DataFrame, functions as F
 
-from fleetlens.session import written
-
-BROADCAST_ROWS = 200_000
-PART_ROWS = 1_000_000
-HEAVY_KEYS = 50_000
-NULL_PARTS = 1_000
-
-
-def measured(lookup: DataFrame) -> tuple[DataFrame, int]:
-    """A lookup, computed once and written to the shared folder, and its number of rows.
-
-    Lookups here have a few rows per machine, name or user. Computing them costs a pass over
-    few columns of the facts, and knowing that they are small saves a shuffle of all facts.
-    """
-    kept = written(lookup, "lookup")
-    return kept, kept.count()
-
-
-def small(lookup: DataFrame, max_rows: int | None) -> DataFrame:
-    """The lookup, marked for broadcast if ``max_rows``, a proven bound of its rows, allows."""
-    fits = max_rows is not None and max_rows <= BROADCAST_ROWS
-    return F.broadcast(lookup) if fits else lookup
+COPIES_AT_ONCE = 1_000
 
 
-def lookup_join(
-    facts: DataFrame,
-    lookup: DataFrame,
-    on: Sequence[str],
-    how: str = "inner",
-    *,
-    spread: Sequence[str],
-    max_rows: int,
-) -> DataFrame:
-    """Join many rows to a lookup with few rows per key (``inner``, ``left`` or ``left_semi``).
+def repeated(rows: DataFrame) -> DataFrame:
+    """Distinct rows with the number of times each occurs, ``_n``."""
+    return rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("_n"))
 
-    ``max_rows`` is a proven upper bound of the lookup's rows: the length of a machine list, or
-    the count from :func:`measured`. Within ``BROADCAST_ROWS`` the lookup is broadcast and the
-    facts stay where they are.
 
-    Beyond it both sides are shuffled, and keys with more than ``PART_ROWS`` facts are split: one
-    pass counts the facts per key, a hash of the ``spread`` columns deals the facts of a heavy
-    key to parts of about that size, and the lookup rows of that key are repeated once per part.
-    All other rows are sent once. Facts without a key, which find nothing, are dealt out too.
-    The hash makes a repeated task give the same split.
-    """
-    on = list(on)
-    if max_rows <= BROADCAST_ROWS:
-        return facts.join(F.broadcast(lookup), on, how)
-    parts = F.broadcast(_heavy(facts, on))
-    no_key = F.greatest(*[F.col(c).isNull() for c in on], F.lit(False))
-    dealt = F.when(no_key, NULL_PARTS).otherwise(F.coalesce("_parts", F.lit(1)))
-    part = F.pmod(F.xxhash64(*spread), dealt).cast("int")
-    left = facts.join(parts, on, "left").withColumn("_part", part).drop("_parts")
-    each = F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))
-    right = lookup.join(parts, on, "left").withColumn("_part", each).drop("_parts")
-    return left.join(right, [*on, "_part"], how).drop("_part")
-
-
-def _heavy(facts: DataFrame, on: list[str]) -> DataFrame:
-    """Keys with many facts and the number of parts for each, at most ``HEAVY_KEYS`` keys.
-
-    No more than total / n keys can have n rows, so a higher limit always ends the search.
-    """
-    counts = facts.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
-    limit = PART_ROWS
-    heavy, size = measured(counts.filter(F.col("_n") > limit))
-    while size > HEAVY_KEYS:
-        limit *= 4
-        heavy = heavy.filter(F.col("_n") > limit)
-        size = heavy.count()
-    return heavy.select(*on, F.ceil(F.col("_n") / limit).cast("int").alias("_parts"))
+def copied(rows: DataFrame, *counts: str) -> DataFrame:
+    """Each row as often as the product of its ``counts`` says."""
+    n = F.lit(1).cast("long")
+    for c in counts:
+        n = n * F.col(c)
+    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), n))).drop(
+        "_copy", *counts
+    )
 
 
-def all_pairs(
-    left: DataFrame,
-    right: DataFrame,
-    *,
-    left_parts: int = 64,
-    right_parts: int = 4,
-) -> DataFrame:
+def all_pairs(left: DataFrame, right: DataFrame, parts: int | None = None) -> DataFrame:
     """Every left row with every right row, for results that are a product by definition.
 
-    Both sides are cut into parts by row hash and each pair of parts is one join key: a left
-    row goes to ``right_parts`` keys and a right row to ``left_parts`` keys. No task holds a
-    whole side, unlike a cartesian or a nested-loop join.
+    Both sides are cut into about the square root of ``parts`` (default: four per shuffle
+    partition) by row hash, and each pair of cuts is one join key. No task holds a whole side,
+    unlike a cartesian or a nested-loop join. Equal rows are counted before and dealt out in
+    lots of ``COPIES_AT_ONCE``, so a row that is repeated very often spreads as well.
     """
-
-    def cut(df: DataFrame, parts: int):
-        return F.pmod(F.xxhash64(*df.columns), F.lit(parts)).cast("int")
-
-    def each(parts: int):
-        return F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
-
-    lefts = left.withColumn("_l", cut(left, left_parts)).withColumn("_r", each(right_parts))
-    rights = right.withColumn("_r", cut(right, right_parts)).withColumn("_l", each(left_parts))
-    return lefts.join(rights, ["_l", "_r"]).drop("_l", "_r")
+    if parts is None:
+        parts = 4 * int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    side = max(1, math.isqrt(parts))
+
+    def lots(df: DataFrame, own: str, other: str) -> DataFrame:
+        n = F.col("_n")
+        lot = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((n - 1) / COPIES_AT_ONCE)))
+        rows = repeated(df).withColumn("_lot", lot)
+        size = F.least(F.lit(COPIES_AT_ONCE).cast("long"), n - F.col("_lot") * COPIES_AT_ONCE)
+        hashed = F.pmod(F.xxhash64(*df.columns, "_lot"), F.lit(side)).cast("int")
+        each = F.explode(F.sequence(F.lit(0), F.lit(side - 1)))
+        rows = rows.withColumns({own: hashed, f"_n{own}": size}).withColumn(other, each)
+        return rows.drop("_n", "_lot")
+
+    pairs = lots(left, "_l", "_r").join(lots(right, "_r", "_l"), ["_l", "_r"])
+    return copied(pairs, "_n_l", "_n_r").drop("_l", "_r")

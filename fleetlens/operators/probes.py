@@ -9,14 +9,16 @@ from fleetlens.functions.columns import strip
 from fleetlens.operators.joins import all_pairs
 
 
-def probe_matrix(sources: DataFrame, destinations: DataFrame, ports: str) -> DataFrame:
+def probe_matrix(
+    sources: DataFrame, destinations: DataFrame, ports: str, parts: int | None = None
+) -> DataFrame:
     """Every (src, dst, port) with the place of the port in the list.
 
     ``sources`` has a column src, ``destinations`` a column dst, ``ports`` is a text with any
-    white space between the ports. The result is a product by definition.
+    white space between the ports. The result is a product by definition, made in ``parts`` parts.
     """
     listed = F.split(strip(F.lit(ports)), r"\s+")
-    pairs = all_pairs(sources.select("src"), destinations.select("dst"))
+    pairs = all_pairs(sources.select("src"), destinations.select("dst"), parts)
     return pairs.select("src", "dst", F.posexplode(listed).alias("port_order", "port"))
 
 
@@ -59,13 +61,13 @@ def probe_status(outputs: DataFrame) -> DataFrame:
     )
 
 
-def probe_report(statuses: DataFrame, compact: bool = False) -> DataFrame:
-    """One line per status row, as fields between ``#`` or as a sentence."""
-    if compact:
-        line = F.concat_ws("#", "src", "dst", "port", "status")
-    else:
-        line = F.format_string(
-            "Source host %s Dest host %s Port %s - %s",
-            F.col("src"), F.col("dst"), F.col("port"), F.col("status"),
-        )
-    return statuses.select("src", "dst", "port_order", line.alias("line"))
+def probe_report(statuses: DataFrame) -> DataFrame:
+    """Each status row as fields between ``#`` (line) and as a sentence."""
+    sentence = F.format_string(
+        "Source host %s Dest host %s Port %s - %s",
+        F.col("src"), F.col("dst"), F.col("port"), F.col("status"),
+    )
+    line = F.concat_ws("#", "src", "dst", "port", "status")
+    return statuses.select(
+        "src", "dst", "port_order", line.alias("line"), sentence.alias("sentence")
+    )

@@ -91,7 +91,8 @@ def scanned_schema(items: DataFrame, text: str) -> DataFrame:
     """(name, type, n) of the attributes found in a column of JSON objects.
 
     For items without a declared schema: every object is read, and counted per attribute and
-    type before anything is shuffled.
+    type before anything is shuffled. Items that are no object (malformed, null, an array, a
+    number) are counted in a row of their own, with a null name and the type ``rejected``.
     """
     kind = F.split_part(F.schema_of_variant(F.col("value")), F.lit("<"), F.lit(1))
     kind = F.split_part(kind, F.lit("("), F.lit(1))
@@ -103,10 +104,16 @@ def scanned_schema(items: DataFrame, text: str) -> DataFrame:
         .when(kind == "ARRAY", "L")
         .when(kind == "OBJECT", "M")
     )
-    parsed = items.select(F.parse_json(text).alias("_item"))
+    parsed = items.select(F.try_parse_json(text).alias("_item"))
+    is_object = F.coalesce(F.schema_of_variant(F.col("_item")).startswith("OBJECT"), F.lit(False))
+    parsed = parsed.select(F.when(is_object, F.col("_item")).alias("_item"))
     attributes = parsed.lateralJoin(
-        items.sparkSession.tvf.variant_explode(F.col("_item").outer())
+        items.sparkSession.tvf.variant_explode_outer(F.col("_item").outer())
     )
+    rejected = F.col("_item").isNull()
+    # An empty object has no attribute, and is not rejected either.
+    attributes = attributes.filter(F.col("key").isNotNull() | rejected)
+    letter = F.when(rejected, "rejected").otherwise(letter)
     return (
         attributes.select(F.col("key").alias("name"), letter.alias("type"))
         .groupBy("name", "type")

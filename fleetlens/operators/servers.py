@@ -13,7 +13,9 @@ def first_seen_versions(server_info: DataFrame) -> DataFrame:
     return server_info.groupBy("server", "version").agg(F.min("ts").alias("first_seen"))
 
 
-def latest_version_marker(servers: DataFrame, first_seen: DataFrame) -> DataFrame:
+def latest_version_marker(
+    servers: DataFrame, first_seen: DataFrame, unknown: str = fixed.UNKNOWN_VERSION
+) -> DataFrame:
     """Per listed server the version that appeared last; a default where none is known.
 
     Versions that appeared at the same time are ordered by name.
@@ -27,7 +29,7 @@ def latest_version_marker(servers: DataFrame, first_seen: DataFrame) -> DataFram
         .select(
             "server",
             F.when(F.col("_known"), F.col("version"))
-            .otherwise(fixed.UNKNOWN_VERSION)
+            .otherwise(unknown)
             .alias("version"),
             F.col("first_seen").alias("last_upgrade"),
         )
@@ -55,11 +57,17 @@ def biggest_database(database_info_today: DataFrame) -> DataFrame:
     return top_per_group(named, ["server"], order, 1)
 
 
-def stage_one_servers(instances_today: DataFrame, major: str) -> DataFrame:
+def stage_one_servers(
+    instances_today: DataFrame,
+    major: str,
+    project: str = fixed.STAGE_PROJECT_PATTERN,
+    metadata: str = fixed.STAGE_METADATA_PATTERN,
+    prefix: str = fixed.PRODUCTION_PREFIX,
+) -> DataFrame:
     """Machines whose metadata text names the release stage of a major version."""
-    wanted = fixed.STAGE_METADATA_PATTERN.format(major=major)
+    wanted = metadata.format(major=major)
     host = F.split_part("name", F.lit("-"), F.lit(1))
     number = F.substring(host, 3, 2**31 - 1)
     return instances_today.filter(
-        F.lower("project").like(fixed.STAGE_PROJECT_PATTERN) & F.lower("metadata").like(wanted)
-    ).select(F.concat(F.lit(fixed.PRODUCTION_PREFIX), number).alias("machine"))
+        F.lower("project").like(project) & F.lower("metadata").like(wanted)
+    ).select(F.concat(F.lit(prefix), number).alias("machine"))

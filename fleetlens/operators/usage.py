@@ -8,33 +8,36 @@ from pyspark.sql import DataFrame, functions as F
 
 from fleetlens.functions import fixed
 from fleetlens.functions.columns import entry_name, not_negative, truncate
-from fleetlens.operators.joins import lookup_join, measured, small
 from fleetlens.operators.ranking import top_per_group
 
 
-def active_name_map(performance_time_today: DataFrame) -> DataFrame:
+def active_name_map(
+    performance_time_today: DataFrame,
+    alias: str = fixed.ALIAS_PATTERN,
+    prefix: str = fixed.PRODUCTION_PREFIX,
+) -> DataFrame:
     """Names reporting in the newest shard and the machine each stands for."""
     names = performance_time_today.select("machine").distinct()
-    return names.withColumn("entry", entry_name(F.col("machine")))
+    return names.withColumn("entry", entry_name(F.col("machine"), alias, prefix))
 
 
-def _named(rows: DataFrame, names: DataFrame, *spread: str) -> DataFrame:
-    """Rows of the named machines, ``machine`` being the lower-case name each stands for."""
+def _keys(names: DataFrame) -> DataFrame:
+    """Lower-case name that reports, and the lower-case machine it stands for."""
     keys = names.select(F.lower("machine").alias("reported"), F.lower("entry").alias("machine"))
-    keys, size = measured(keys.filter(F.col("machine").isNotNull()).distinct())
-    reported = rows.withColumn("reported", F.lower("machine")).drop("machine")
-    return lookup_join(reported, keys, ["reported"], spread=spread, max_rows=size)
+    return keys.filter(F.col("reported").isNotNull() & F.col("machine").isNotNull()).distinct()
 
 
 def performance_seconds(performance_time: DataFrame, names: DataFrame) -> DataFrame:
     """CPU and elapsed seconds per (machine, ts, source); negative sums become 0.
 
-    Rows without an action do not count.
+    Rows without an action do not count. Facts are summed per reporting name before the names
+    are joined, so a name with very many rows shrinks where it is read.
     """
     acting = performance_time.filter(F.col("action").isNotNull() & (F.col("action") != ""))
-    acting = acting.select("machine", "ts", "source", "cpu_seconds", "seconds")
+    sums = [F.sum(c).alias(c) for c in ("cpu_seconds", "seconds")]
+    reported = acting.groupBy(F.lower("machine").alias("reported"), "ts", "source").agg(*sums)
     return (
-        _named(acting, names, "ts", "source")
+        reported.join(_keys(names), "reported")
         .groupBy("machine", "ts", "source")
         .agg(
             not_negative(F.sum("cpu_seconds").cast("double")).alias("cpu_seconds"),
@@ -48,32 +51,26 @@ def api_usage_top_calls(
     names: DataFrame,
     k: int = fixed.TOP_CALLS,
     excluded: Sequence[str] = fixed.EXCLUDED_CALLS,
-    max_machines: int | None = None,
 ) -> DataFrame:
     """Size, seconds and calls per (machine, minute, call) for each machine's ``k`` top calls.
 
-    ``max_machines`` bounds the machines in ``names``, if known, and so the top calls.
-
-    One aggregate per minute serves the ranking and the result. The ranking orders by the sums
-    it carries as well (after the unique name, so without effect), hence both uses read the
-    same columns and Spark runs that aggregate's shuffle once.
+    Calls are summed per reporting name before the names are joined. One aggregate per minute
+    serves the ranking and the result. The ranking orders by the sums it carries as well
+    (after the unique name, so without effect), hence both uses read the same columns and
+    Spark runs that aggregate's shuffle once.
     """
     kept = api_usage.filter(F.col("call").isNotNull() & ~F.col("call").isin(list(excluded)))
-    kept = kept.select(
-        "machine", truncate(F.col("ts"), "minute").alias("minute"), "call", "size_kb", "seconds"
-    )
+    minute = truncate(F.col("ts"), "minute").alias("minute")
     sums = [F.sum("size_kb").alias("size_kb"), F.sum("seconds").alias("seconds")]
-    by_minute = (
-        _named(kept, names, "minute", "call", "size_kb")
-        .groupBy("machine", "minute", "call")
-        .agg(*sums, F.count(F.lit(1)).alias("calls"))
+    reported = kept.groupBy(F.lower("machine").alias("reported"), minute, "call").agg(
+        *sums, F.count(F.lit(1)).alias("calls")
     )
-    by_call = by_minute.groupBy("machine", "call").agg(*sums, F.sum("calls").alias("calls"))
+    sums = [*sums, F.sum("calls").alias("calls")]
+    by_minute = reported.join(_keys(names), "reported").groupBy("machine", "minute", "call").agg(*sums)
+    by_call = by_minute.groupBy("machine", "call").agg(*sums)
     order = [F.desc("calls"), F.asc("call"), F.asc("size_kb"), F.asc("seconds")]
     top = top_per_group(by_call, ["machine"], order, k).select("machine", "call")
-    # A (machine, call) pair has at most one row per minute here, so the join needs no salt. The
-    # pairs are distinct, so it is a semi-join that cannot be moved below the aggregate.
-    top = small(top, max_machines and max_machines * k)
+    # The pairs are distinct, so it is a semi-join that cannot be moved below the aggregate.
     return by_minute.join(top, ["machine", "call"]).select(
         "machine",
         "minute",

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from fleetlens.functions import fixed
-from fleetlens.operators.joins import lookup_join, measured
+from fleetlens.operators.joins import copied, repeated
 from fleetlens.operators.ranking import consecutive
 
 OPS = ("create", "update", "delete")
@@ -30,25 +30,28 @@ def _named() -> Column:
     return F.col("username").isNotNull() & F.col("password").isNotNull()
 
 
-def _created(commands: DataFrame, token: str) -> tuple[DataFrame, int]:
-    """Applied creates (user_id, created, username, password being the digest), their number.
+def _creates(commands: DataFrame, token: str) -> DataFrame:
+    """Creates that are applied, as commands."""
+    return commands.filter(_authorized(token) & (F.col("op") == "create") & _named())
 
-    Numbering takes several steps and its result is used more than once, so it is kept.
-    """
-    applied = commands.filter(_authorized(token) & (F.col("op") == "create") & _named())
-    numbered = consecutive(applied.select("seq", "username", "password"), "seq", "user_id")
-    return measured(
-        numbered.select(
-            "user_id",
-            F.col("seq").alias("created"),
-            "username",
-            digest(F.col("username"), F.col("password")).alias("password"),
-        )
+
+def _created(commands: DataFrame, token: str) -> DataFrame:
+    """Numbers of the applied creates: user_id, created (their seq). Names are joined at the end."""
+    numbered = consecutive(_creates(commands, token).select("seq"), "seq", "user_id")
+    return numbered.select("user_id", F.col("seq").alias("created"))
+
+
+def _names(commands: DataFrame, token: str) -> DataFrame:
+    """Name and digest that each applied create gives: created, username, password."""
+    return _creates(commands, token).select(
+        F.col("seq").alias("created"),
+        "username",
+        digest(F.col("username"), F.col("password")).alias("password"),
     )
 
 
 def _changes(
-    commands: DataFrame, created: DataFrame, n_created: int, token: str, updates: bool = True
+    commands: DataFrame, created: DataFrame, token: str, updates: bool = True
 ) -> DataFrame:
     """First deletion and last update of the users that have any: user_id, deleted, new.
 
@@ -59,9 +62,8 @@ def _changes(
     later = commands.filter(_authorized(token) & ((delete | update) if updates else delete))
     later = later.filter(F.col("user_id").isNotNull())
     later = later.select("seq", "op", "user_id", "username", "password")
-    born = created.select("user_id", "created")
     return (
-        lookup_join(later, born, ["user_id"], spread=["seq"], max_rows=n_created)
+        later.join(created, "user_id")
         .filter(F.col("seq") > F.col("created"))
         .groupBy("user_id")
         .agg(
@@ -76,11 +78,12 @@ def user_state(commands: DataFrame, token: str) -> DataFrame:
 
     Commands with a wrong token, without a needed value, or for an unknown id change nothing.
     """
-    created, n_created = _created(commands, token)
+    created = _created(commands, token)
     new_digest = digest(F.col("new.username"), F.col("new.password"))
     return (
-        created.join(_changes(commands, created, n_created, token), "user_id", "left")
+        created.join(_changes(commands, created, token), "user_id", "left")
         .filter(F.col("deleted").isNull())
+        .join(_names(commands, token), "created")
         .select(
             "user_id",
             F.coalesce("new.username", "username").alias("username"),
@@ -92,17 +95,18 @@ def user_state(commands: DataFrame, token: str) -> DataFrame:
 def user_lookup(users: DataFrame, keys: DataFrame | None = None) -> DataFrame:
     """Users asked for by ``user_id``, with an error for ids nobody has; without keys all users.
 
-    Other columns of ``keys``, such as a request number, are passed on; they also serve to
-    split an id that very many rows ask for.
+    Other columns of ``keys``, such as a request number, are passed on. Users nobody asks for
+    are dropped first. Equal requests are counted, looked up once and repeated afterwards, so
+    an id that very many rows ask for is a short row in the join.
     """
     if keys is None:
         return users.withColumn("error", F.lit(None).cast("string"))
-    known, size = measured(users)
-    spread = [c for c in keys.columns if c != "user_id"] or ["user_id"]
-    found = known.withColumn("_found", F.lit(True))
-    asked = lookup_join(keys, found, ["user_id"], "left", spread=spread, max_rows=size)
+    asked = repeated(keys)
+    wanted = keys.select("user_id").distinct()
+    found = users.join(wanted, "user_id", "left_semi").withColumn("_found", F.lit(True))
+    answers = copied(asked.join(found, "user_id", "left"), "_n")
     error = F.when(F.col("_found").isNull(), F.lit(fixed.USER_NOT_FOUND))
-    return asked.withColumn("error", error).drop("_found")
+    return answers.withColumn("error", error).drop("_found")
 
 
 def as_envelope(responses: DataFrame) -> DataFrame:
@@ -126,8 +130,8 @@ def command_responses(commands: DataFrame, token: str) -> DataFrame:
     401 for a wrong token; 500 for a missing value and 405 for an unknown command, neither of
     which is applied; an update of an unknown id answers with an error; a delete always works.
     """
-    created, n_created = _created(commands, token)
-    answers = created.select(
+    created = _created(commands, token)
+    answers = created.join(_names(commands, token), "created").select(
         F.col("created").alias("seq"),
         F.lit("create").alias("op"),
         F.lit(200).alias("status"),
@@ -138,11 +142,11 @@ def command_responses(commands: DataFrame, token: str) -> DataFrame:
     )
     seq, op = F.col("seq"), F.col("op")
     applied = F.coalesce(_authorized(token) & (op == "create") & _named(), F.lit(False))
-    deleted = _changes(commands, created, n_created, token, updates=False)
+    deleted = _changes(commands, created, token, updates=False)
     deleted = deleted.select("user_id", "deleted")
-    lives = created.select("user_id", "created").join(deleted, "user_id", "left")
+    lives = created.join(deleted, "user_id", "left")
     rest = commands.filter(~applied)
-    rest = lookup_join(rest, lives, ["user_id"], "left", spread=["seq"], max_rows=n_created)
+    rest = rest.join(lives, "user_id", "left")
     known = (seq > F.col("created")) & (F.col("deleted").isNull() | (seq < F.col("deleted")))
     known = F.coalesce(known, F.lit(False))
     missing = (op != "create") & F.col("user_id").isNull()

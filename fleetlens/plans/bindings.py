@@ -27,16 +27,16 @@ EXPECTED_ITEMS = (("id", "S"), ("kind", "S"), ("k", "S"), ("value", "N"), ("name
 EXPECTED_CUSTOMER = (("c_name", "S"), ("c_phone", "S"), ("c_rank", "N"), ("c_active", "BOOL"))
 
 MACHINES = (
-    "GCEMYGEOTP10", "GCEMYGEOTP11", "GCEMYGATT12", "GCEMYGMIRT13",
-    "GCEMYGEOTT14", "GCEMYGEOTB15", "GCEMYGGOV16", "GCEMYGEOTP17",
+    "CLOUDHOSTP10", "CLOUDHOSTP11", "CLOUDHATT12", "CLOUDHMIRT13",
+    "CLOUDHOSTT14", "CLOUDHOSTB15", "CLOUDHGOV16", "CLOUDHOSTP17",
 )
 HOSTS = (
-    "my10.geotab.com", "my11.geotab.com", "afmfe2.att.com", "mirror13.geotab.com",
-    "support14.geotab.com", "preview15.geotab.com", "gov6.geotab.com", "my17.geotab.com",
+    "my10.example.com", "my11.example.com", "afmfe2.example.net", "mirror13.example.com",
+    "support14.example.com", "preview15.example.com", "gov6.example.com", "my17.example.com",
 )
 REPORTED = (
-    "my10_mygeotab", "my11_mygeotab", "gcemygatt12", "GCEMYGMIRT13",
-    "GCEMYGEOTT14", "GCEMYGEOTB15", "GCEMYGGOV16", "my17xmygeotab",
+    "my10_alias", "my11_alias", "cloudhatt12", "CLOUDHMIRT13",
+    "CLOUDHOSTT14", "CLOUDHOSTB15", "CLOUDHGOV16", "my17xalias",
 )
 COUNTERS = (
     "Process_CheckmateServer____Processor_Time",
@@ -97,7 +97,8 @@ def installed_applications(spark: SparkSession, folder: str) -> DataFrame:
     # second machine changes its count.
     return _table(spark, folder, "events").selectExpr(
         "ts",
-        f"case when user_id % 8 = 0 then 'GCEMYGEOTP98' else {_pick(MACHINES, 'user_id')} end as machine",
+        f"case when user_id % 8 = 0 then 'CLOUDHOSTP98' when event_id % 3 = 0 then lower({_pick(MACHINES, 'user_id')}) "
+        f"else {_pick(MACHINES, 'user_id')} end as machine",
         "cast(case when user_id % 8 = 1 then 2 * (1 + event_id % 2) else 1 + user_id % 8 end as string) as cores",
     )
 
@@ -171,7 +172,7 @@ def instances(spark: SparkSession, folder: str) -> DataFrame:
     stage = "case s_suppkey % 3 when 0 then 'StageOne2104' when 1 then 'stageone2105' else 'final' end"
     return _table(spark, folder, "supplier").selectExpr(
         "concat('my', s_suppkey, '-', s_nationkey, '-z') as name",
-        "concat('Geotab-', case s_suppkey % 4 when 0 then 'other' else 'MyFed' end, s_nationkey) as project",
+        "concat('Example-', case s_suppkey % 4 when 0 then 'other' else 'Fleet' end, s_nationkey) as project",
         f"concat('{{u\\'key\\': u\\'ReleaseChannel\\', u\\'value\\': u\\'', {stage}, '.1\\'}}') as metadata",
         "case when s_suppkey % 5 = 4 then '20240129' else '20240130' end as dt",
     )
@@ -287,7 +288,7 @@ def first_seen_versions(spark, folder):
 
 def latest_version_marker(spark, folder):
     # The hosts of the machine list and one that never reports.
-    listed = hc.machine_list(spark, [*MACHINES, "GCEMYGEOTP99"]).selectExpr("host as server")
+    listed = hc.machine_list(spark, [*MACHINES, "CLOUDHOSTP99"]).selectExpr("host as server")
     return servers.latest_version_marker(listed, servers.first_seen_versions(server_info(spark, folder)))
 
 
@@ -353,11 +354,14 @@ def marker_bounds(spark, folder):
     return series.marker_bounds(points)
 
 
+def _machines(spark: SparkSession) -> DataFrame:
+    listed = [m.lower() if m == "CLOUDHMIRT13" else m for m in MACHINES] + ["CLOUDHOSTP99"]
+    return hc.machine_list(spark, listed)
+
+
 def _panels(spark: SparkSession, folder: str) -> DataFrame:
-    listed = [m.lower() if m == "GCEMYGMIRT13" else m for m in MACHINES] + ["GCEMYGEOTP99"]
     return hc.health_check_panels(
-        health_sources(spark, folder), hc.machine_list(spark, listed), AS_OF,
-        days=DAYS, performance_days=DAYS, max_machines=len(listed),
+        health_sources(spark, folder), _machines(spark), AS_OF, days=DAYS, performance_days=DAYS
     )
 
 
@@ -369,7 +373,7 @@ def health_check_panels(spark, folder):
 
 def panel_report_write(spark, folder):
     path = shared_folder(spark, "panel-report")
-    return hc.panel_report_write(_panels(spark, folder), path, AS_OF, BASE_URL)
+    return hc.panel_report_write(_panels(spark, folder), _machines(spark), path, AS_OF, BASE_URL)
 
 
 def trailing_shards(spark, folder):
@@ -408,10 +412,11 @@ def load_outcomes(spark, folder):
 
 def _json_items(spark: SparkSession, folder: str) -> DataFrame:
     return _table(spark, folder, "events").selectExpr(
+        "case event_id % 50 when 7 then '{\"id\": ' when 8 then '[1, 2]' when 9 then null when 10 then '{}' when 11 then '5' else "
         "concat('{\"id\": \"', event_id, '\", \"value\": ', user_id, '.5, \"kind\": ', "
         "case event_id % 3 when 0 then 'true' when 1 then 'null' else '[1]' end, "
         "case when event_id % 10 = 0 then concat(', \"name\": \"', event_type, '\"') else ', \"extra\": {}' end, "
-        "', ', substr(props, 2)) as item"
+        "', ', substr(props, 2)) end as item"
     )
 
 
@@ -460,10 +465,7 @@ def probe_status(spark, folder):
 
 
 def probe_report(spark, folder):
-    statuses = probes.probe_status(probe_outputs(spark, folder))
-    compact = probes.probe_report(statuses, compact=True)
-    sentences = probes.probe_report(statuses).withColumnRenamed("line", "sentence")
-    return compact.join(sentences, ["src", "dst", "port_order"])
+    return probes.probe_report(probes.probe_status(probe_outputs(spark, folder)))
 
 
 JOBS: dict[str, Callable[[SparkSession, str], DataFrame]] = {

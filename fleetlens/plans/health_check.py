@@ -13,11 +13,8 @@ from fleetlens.functions.columns import host_name
 from fleetlens.operators.counters import (
     cpu_buckets,
     counter_sums,
-    memory_counters,
-    memory_gb,
-    merged_spellings,
+    memory_usage,
 )
-from fleetlens.operators.joins import lookup_join, measured
 from fleetlens.operators.lag import lag_of_biggest_database
 from fleetlens.operators.profiles import query_profile
 from fleetlens.operators.series import marker_bounds
@@ -28,7 +25,6 @@ from fleetlens.operators.servers import (
     latest_version_marker,
 )
 from fleetlens.operators.usage import active_name_map, api_usage_top_calls, performance_seconds
-from fleetlens.session import written
 from fleetlens.sources.shards import single_shard, trailing_shards
 
 POINT = ("machine", "panel_no", "panel", "kind", "series", "x", "y")
@@ -48,16 +44,27 @@ class Sources:
     performance_value: DataFrame
 
 
-def machine_list(spark: SparkSession, names: Sequence[str]) -> DataFrame:
+def machine_list(
+    spark: SparkSession,
+    names: Sequence[str],
+    forms: Mapping[str, tuple[str, str]] = fixed.HOST_FORMS,
+    prefix_length: int = fixed.MACHINE_PREFIX_LENGTH,
+) -> DataFrame:
     """Machines to report, with the lower-case key and the host of each."""
-    listed = spark.createDataFrame([(n,) for n in dict.fromkeys(names)], "machine string")
-    return with_keys(listed)
+    # Written as an expression, the list has a size that Spark knows.
+    listed = F.array(*[F.lit(n) for n in dict.fromkeys(names)]).cast("array<string>")
+    return with_keys(spark.range(1).select(F.explode(listed).alias("machine")), forms, prefix_length)
 
 
-def with_keys(machines: DataFrame) -> DataFrame:
+def with_keys(
+    machines: DataFrame,
+    forms: Mapping[str, tuple[str, str]] = fixed.HOST_FORMS,
+    prefix_length: int = fixed.MACHINE_PREFIX_LENGTH,
+) -> DataFrame:
     """Adds key and host to a column ``machine``, e.g. of ``stage_one_servers``."""
     name = F.col("machine")
-    return machines.select(name, F.lower(name).alias("key"), host_name(name).alias("host"))
+    host = host_name(name, forms, prefix_length).alias("host")
+    return machines.select(name, F.lower(name).alias("key"), host)
 
 
 def _points(
@@ -108,13 +115,13 @@ def health_check_panels(
     *,
     days: int = 14,
     performance_days: int = 7,
-    max_machines: int | None = None,
 ) -> DataFrame:
     """All panels of all listed machines: machine, panel_no, panel, kind, series, x, y.
 
-    ``machines`` comes from :func:`machine_list` or :func:`with_keys`; ``max_machines`` is the
-    length of the list if known, otherwise the list is counted. A list of usual size is
-    broadcast, so facts of other machines are dropped where they are read.
+    ``machines`` comes from :func:`machine_list` or :func:`with_keys`. Spark knows the bytes of a
+    list that the program made and broadcasts it if they are few, so facts of other machines are
+    dropped where they are read; the size of any other list shows when it has been computed.
+    Building the plan starts no job.
 
     A panel without data gives no rows. Every other panel has two marker rows, the lower and
     the upper end of a line at the time of the last version change, named after the version.
@@ -122,8 +129,6 @@ def health_check_panels(
     shuffle Spark runs once for the two.
     """
     machines = machines.filter(F.col("machine").isNotNull())
-    if max_machines is None:
-        machines, max_machines = measured(machines)
     keys = machines.select("key", "machine")
     hosts = machines.select(F.col("host").alias("server"), "machine")
     hosts = hosts.filter(F.col("server").isNotNull())
@@ -131,46 +136,41 @@ def health_check_panels(
     def window(df: DataFrame, value: int = days) -> DataFrame:
         return trailing_shards(df, as_of, value)
 
-    def among(df: DataFrame, listed: DataFrame, column: str, spread: str = "ts") -> DataFrame:
-        listed = listed.select(column)
-        return lookup_join(df, listed, [column], "left_semi", spread=[spread], max_rows=max_machines)
+    def among(df: DataFrame, listed: DataFrame, column: str) -> DataFrame:
+        return df.join(listed.select(column), column, "left_semi")
 
-    def by_machine(df: DataFrame, name: str = "machine", spread: str = "ts") -> DataFrame:
+    def by_machine(df: DataFrame, name: str = "machine") -> DataFrame:
         """Rows of listed machines; names are compared in lower case."""
-        return among(df.withColumn("key", F.lower(name)), keys, "key", spread).drop("key")
+        return among(df.withColumn("key", F.lower(name)), keys, "key").drop("key")
 
     def named(points: DataFrame) -> DataFrame:
         """Lower-case machine keys replaced by the names in the list."""
-        rows, spread = points.withColumnRenamed("machine", "key"), ["x", "series"]
-        return lookup_join(rows, keys, ["key"], spread=spread, max_rows=max_machines).drop("key")
+        return points.withColumnRenamed("machine", "key").join(keys, "key").drop("key")
 
-    # The largest table is read once: its samples, one row for all counters, serve two panels.
     performance = by_machine(window(sources.performance))
-    samples = counter_sums(performance, fixed.CPU_COUNTERS | memory_counters())
-    samples = written(samples, "samples")
-    cpu = cpu_buckets(samples, window(sources.installed_applications))
-    memory = memory_gb(merged_spellings(samples, list(memory_counters())))
+    samples = counter_sums(performance, fixed.CPU_COUNTERS)
+    cpu = cpu_buckets(samples, performance, window(sources.installed_applications))
+    memory = memory_usage(performance)
 
     today = active_name_map(single_shard(sources.performance_time, as_of))
-    entries = written(by_machine(today, "entry", spread="machine"), "names")
+    entries = by_machine(today, "entry")
     seconds = performance_seconds(window(sources.performance_time, performance_days), entries)
-    calls = api_usage_top_calls(window(sources.api_usage), entries, max_machines=max_machines)
+    calls = api_usage_top_calls(window(sources.api_usage), entries)
 
     queries = by_machine(window(sources.query_statistics))
-    queries = query_profile(queries, max_machines=max_machines)
+    queries = query_profile(queries)
     queries = queries.groupBy("machine", "hour", "short_query").agg(
         *[F.sum(c).alias(c) for c in ("total_calls", "sec_per_call", "total_time_ms")]
     )
 
     bad_files = bad_file_count(among(window(sources.database_info), hosts, "server"))
-    bad_files = lookup_join(bad_files, hosts, ["server"], spread=["ts"], max_rows=max_machines)
+    bad_files = bad_files.join(hosts, "server")
 
     databases = among(single_shard(sources.database_info, as_of), hosts, "server")
     biggest = hosts.join(biggest_database(databases), "server").select("machine", "database")
     lag = lag_of_biggest_database(
         window(sources.performance_value),
         biggest.withColumnRenamed("machine", "server"),
-        max_machines,
     )
     lag = lag.groupBy(F.col("server").alias("machine"), "database", "ts", "action").agg(
         F.sum("average_value").alias("average_value")
@@ -225,31 +225,33 @@ def health_check_panels(
 
 def panel_report_write(
     panels: DataFrame,
+    machines: DataFrame,
     path: str,
     as_of: datetime,
     base_url: str,
     *,
     kind: str = "ServerPerformance",
-    extension: str = "html",
 ) -> DataFrame:
-    """Write the panels to one folder per machine and return the links: machine, file_name, url.
+    """Write the panels to one folder per machine: machine, folder, url and n_rows of every machine.
 
-    Rows are gathered by machine in parts of even size, so a machine with many rows is written
-    by many tasks and a small one does not leave a file per task.
+    ``machines`` has a column machine; a listed machine without rows has a link and 0 rows, and
+    an empty folder at most. A link leads to the folder that the machine's rows are in, below
+    the name of the report. Rows are gathered by machine in parts of even size, so a machine with
+    many rows is written by many tasks and a small one does not leave a file per task.
     """
-    panels.hint("rebalance", "machine").write.partitionBy("machine").parquet(path)
-    stored = panels.sparkSession.read.schema(panels.schema).parquet(path)
-    file_name = F.concat(
-        F.col("machine"),
-        F.lit("-" + as_of.strftime("%Y%m%d-%H%M") + f"-{kind}.{extension}"),
-    )
+    report = f"{as_of.strftime('%Y%m%d-%H%M')}-{kind}"
+    target = f"{path.rstrip('/')}/{report}"
+    panels.hint("rebalance", "machine").write.partitionBy("machine").parquet(target)
+    stored = panels.sparkSession.read.schema(panels.schema).parquet(target)
+    counts = stored.groupBy("machine").agg(F.count(F.lit(1)).alias("n_rows"))
+    folder = F.concat(F.lit(f"{report}/machine="), "machine")
     return (
-        stored.groupBy("machine")
-        .agg(F.count(F.lit(1)).alias("n_rows"))
+        machines.select("machine").filter(F.col("machine").isNotNull()).distinct()
+        .join(counts, "machine", "left")
         .select(
             "machine",
-            file_name.alias("file_name"),
-            F.concat(F.lit(base_url.rstrip("/") + "/"), "machine", F.lit("/"), file_name).alias("url"),
-            "n_rows",
+            folder.alias("folder"),
+            F.concat(F.lit(base_url.rstrip("/") + "/"), folder).alias("url"),
+            F.coalesce("n_rows", F.lit(0).cast("long")).alias("n_rows"),
         )
-    )
+    )

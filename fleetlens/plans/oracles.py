@@ -40,7 +40,8 @@ INPUTS = {
           {_pick(COUNTERS, 'event_id + user_id')} AS counter, CAST(value AS DECIMAL(18,4)) AS value
         FROM events""",
     "installed_applications": f"""
-        SELECT ts, CASE WHEN user_id % 8 = 0 THEN 'GCEMYGEOTP98' ELSE {_pick(MACHINES, 'user_id')} END AS machine,
+        SELECT ts, CASE WHEN user_id % 8 = 0 THEN 'CLOUDHOSTP98' WHEN event_id % 3 = 0 THEN lower({_pick(MACHINES, 'user_id')})
+            ELSE {_pick(MACHINES, 'user_id')} END AS machine,
           CAST(CASE WHEN user_id % 8 = 1 THEN 2 * (1 + event_id % 2) ELSE 1 + user_id % 8 END AS VARCHAR) AS cores
         FROM events""",
     "server_info": f"""
@@ -79,7 +80,7 @@ INPUTS = {
         FROM events""",
     "instances": """
         SELECT 'my' || s_suppkey || '-' || s_nationkey || '-z' AS name,
-          'Geotab-' || CASE s_suppkey % 4 WHEN 0 THEN 'other' ELSE 'MyFed' END || s_nationkey AS project,
+          'Example-' || CASE s_suppkey % 4 WHEN 0 THEN 'other' ELSE 'Fleet' END || s_nationkey AS project,
           '{u''key'': u''ReleaseChannel'', u''value'': u''' || CASE s_suppkey % 3 WHEN 0 THEN 'StageOne2104'
             WHEN 1 THEN 'stageone2105' ELSE 'final' END || '.1''}' AS metadata,
           CASE WHEN s_suppkey % 5 = 4 THEN '20240129' ELSE '20240130' END AS dt
@@ -103,10 +104,11 @@ INPUTS = {
           CASE WHEN event_id % 29 = 0 THEN NULL ELSE 'pw' || (event_id % 100) END AS password
         FROM events""",
     "json_items": """
-        SELECT '{"id": "' || event_id || '", "value": ' || user_id || '.5, "kind": '
+        SELECT CASE event_id % 50 WHEN 7 THEN '{"id": ' WHEN 8 THEN '[1, 2]' WHEN 9 THEN NULL WHEN 10 THEN '{}' WHEN 11 THEN '5' ELSE
+          '{"id": "' || event_id || '", "value": ' || user_id || '.5, "kind": '
           || CASE event_id % 3 WHEN 0 THEN 'true' WHEN 1 THEN 'null' ELSE '[1]' END
           || CASE WHEN event_id % 10 = 0 THEN ', "name": "' || event_type || '"' ELSE ', "extra": {}' END
-          || ', ' || substr(props, 2) AS item
+          || ', ' || substr(props, 2) END AS item
         FROM events""",
     "probe_outputs": """
         SELECT s_name AS src, n_name AS dst, port_order, port,
@@ -136,7 +138,7 @@ _QUERY_OK = " AND ".join(f"lower(query) NOT LIKE '{p}'" for p in fixed.EXCLUDED_
 STEPS = {
     "latest_cores": """
         SELECT machine, CAST(cores AS DOUBLE) AS cores, ts FROM (
-          SELECT *, row_number() OVER (PARTITION BY machine, cores ORDER BY ts DESC) AS rn FROM installed_applications)
+          SELECT *, row_number() OVER (PARTITION BY lower(machine), cores ORDER BY ts DESC, machine DESC) AS rn FROM installed_applications)
         WHERE rn = 1""",
     "cpu": f"""
         SELECT p.machine, p.ts, c.cores,
@@ -218,9 +220,9 @@ STEPS = {
         FROM lag l JOIN biggest b ON lower(l.database) = b.database""",
     # Panels.
     "machines": "SELECT unnest({listed}) AS machine, unnest({hosts}) AS host".format(
-        listed=_list([*("gcemygmirt13" if m == "GCEMYGMIRT13" else m for m in MACHINES), "GCEMYGEOTP99"]),
+        listed=_list([*("cloudhmirt13" if m == "CLOUDHMIRT13" else m for m in MACHINES), "CLOUDHOSTP99"]),
         # A lower-case name matches no host form.
-        hosts=_list([*HOSTS, "my99.geotab.com"]).replace("'mirror13.geotab.com'", "NULL"),
+        hosts=_list([*HOSTS, "my99.example.com"]).replace("'mirror13.example.com'", "NULL"),
     ),
     "by_label": """
         SELECT machine, hour, short_query, CAST(sum(total_calls) AS DOUBLE) AS total_calls,
@@ -276,7 +278,8 @@ STEPS = {
     "attributes": """
         SELECT k AS name, CASE json_type(item, '$.' || k) WHEN 'VARCHAR' THEN 'S' WHEN 'BOOLEAN' THEN 'BOOL'
           WHEN 'NULL' THEN 'NULL' WHEN 'ARRAY' THEN 'L' WHEN 'OBJECT' THEN 'M' ELSE 'N' END AS type
-        FROM (SELECT item, unnest(json_keys(item)) AS k FROM json_items)""",
+        FROM (SELECT item, unnest(json_keys(item)) AS k FROM (
+          SELECT item FROM json_items WHERE CASE WHEN json_valid(item) THEN json_type(item) = 'OBJECT' ELSE false END))""",
     "expected": "SELECT * FROM (VALUES {}) t(name, type)".format(", ".join(f"('{n}', '{t}')" for n, t in EXPECTED_ITEMS)),
     # Users.
     "created": f"""
@@ -370,7 +373,7 @@ SQL = {
     "latest_version_marker": _with(
         ("newest_version",),
         f"""SELECT h.server, coalesce(v.version, '{fixed.UNKNOWN_VERSION}') AS version, v.first_seen AS last_upgrade
-        FROM (SELECT unnest({_list([*HOSTS, 'my99.geotab.com'])}) AS server) h LEFT JOIN newest_version v USING (server)""",
+        FROM (SELECT unnest({_list([*HOSTS, 'my99.example.com'])}) AS server) h LEFT JOIN newest_version v USING (server)""",
     ),
     "active_name_map": _with(("performance_time", "names"), "SELECT * FROM names"),
     "performance_seconds": _with(("seconds",), "SELECT * FROM seconds"),
@@ -410,9 +413,9 @@ SQL = {
     "health_check_panels": _with(("panels",), "SELECT * FROM panels"),
     "panel_report_write": _with(
         ("panels",),
-        f"""SELECT machine, machine || '-{AS_OF:%Y%m%d-%H%M}-ServerPerformance.html' AS file_name,
-          '{BASE_URL}/' || machine || '/' || machine || '-{AS_OF:%Y%m%d-%H%M}-ServerPerformance.html' AS url,
-          count(*) AS n_rows FROM panels GROUP BY machine""",
+        f"""SELECT m.machine, '{AS_OF:%Y%m%d-%H%M}-ServerPerformance/machine=' || m.machine AS folder,
+          '{BASE_URL}/{AS_OF:%Y%m%d-%H%M}-ServerPerformance/machine=' || m.machine AS url,
+          count(p.machine) AS n_rows FROM machines m LEFT JOIN panels p ON p.machine = m.machine GROUP BY m.machine""",
     ),
     "trailing_shards": f"""
         SELECT event_id, ts, strftime(ts, '%Y%m%d') AS dt, value FROM events
@@ -448,7 +451,9 @@ SQL = {
           CASE WHEN EXISTS (SELECT 1 FROM attributes a WHERE a.name = e.name) THEN 'type_mismatch' ELSE 'missing' END AS status
         FROM expected e WHERE NOT EXISTS (SELECT 1 FROM attributes a WHERE a.name = e.name AND a.type = e.type)""",
     ),
-    "scanned_schema": _with(("attributes",), "SELECT name, type, count(*) AS n FROM attributes GROUP BY 1, 2"),
+    "scanned_schema": _with(("attributes",), """SELECT name, type, count(*) AS n FROM attributes GROUP BY 1, 2
+        UNION ALL SELECT NULL, 'rejected', count(*) FROM json_items
+        WHERE NOT coalesce(CASE WHEN json_valid(item) THEN json_type(item) = 'OBJECT' ELSE false END, false)"""),
     "schema_evolve": "SELECT *, CAST(NULL AS VARCHAR) AS c_phone, CAST(NULL AS DOUBLE) AS c_rank, "
     "CAST(NULL AS BOOLEAN) AS c_active FROM customer",
     "quality_gate": _with(

@@ -28,21 +28,22 @@ def _strict_fields(record: Column, columns: Sequence[str]) -> list[Column]:
         .when(F.size(extra) > 0, F.raise_error(found))
         .otherwise(record)
     )
-    return [F.coalesce(F.get_json_object(checked, f"$.{c}"), F.lit("")).alias(c) for c in columns]
+    return [F.coalesce(F.get_json_object(checked, f"$['{c}']"), F.lit("")).alias(c) for c in columns]
 
 
 def read_records(
     spark: SparkSession,
     path: str,
     columns: Sequence[str] = fixed.RECORD_COLUMNS,
-    array: bool = False,
+    array_per_file: bool = False,
 ) -> DataFrame:
     """Records as text columns in the declared order; missing keys are empty, others an error.
 
-    With ``array`` every file is one JSON array. Such a file cannot be split, so a large export
-    should be lines of objects (the default), which Spark reads in parts of a file.
+    With ``array_per_file`` every file is one JSON array, read whole by one task; it has to be
+    far smaller than 2 GB. A large export should be lines of objects (the default), which Spark
+    reads in parts of a file. Booleans, numbers and lists become their JSON text.
     """
-    if array:
+    if array_per_file:
         whole = spark.read.text(path, wholetext=True)
         record = F.explode(F.from_json("value", "array<string>", {"mode": "FAILFAST"}))
         lines = whole.select(record.alias("value"))
@@ -68,8 +69,8 @@ def records_to_csv(
     source: str,
     target: str,
     columns: Sequence[str] = fixed.RECORD_COLUMNS,
-    array: bool = False,
+    array_per_file: bool = False,
 ) -> DataFrame:
     """Convert JSON records to CSV and return what the CSV holds."""
-    write_csv(read_records(spark, source, columns, array), target)
+    write_csv(read_records(spark, source, columns, array_per_file), target)
     return read_csv(spark, target, columns)

@@ -92,7 +92,7 @@ def main():
     spark.sparkContext.setLogLevel("ERROR")
     con, sqls, bad = oracle(folder), entry.oracle_sql(), 0
     for name, query in entry.queries().items():
-        if chosen and name not in chosen:
+        if name not in sqls or (chosen and name not in chosen):
             continue
         begin = time.time()
         try:

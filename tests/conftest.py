@@ -6,7 +6,6 @@ import pytest
 ROOT = Path(__file__).resolve().parents[1]
 sys.path.insert(0, str(ROOT))
 
-from fleetlens.operators import joins  # noqa: E402
 from fleetlens.session import session  # noqa: E402
 
 
@@ -21,10 +20,8 @@ def spark():
 
 
 @pytest.fixture
-def no_broadcast(spark, monkeypatch):
-    """Joins without broadcasts of lookups, and with nearly every key split in parts."""
-    monkeypatch.setattr(joins, "BROADCAST_ROWS", 0)
-    monkeypatch.setattr(joins, "PART_ROWS", 3)
+def no_broadcast(spark):
+    """Joins without broadcasts of lookups."""
     names = ["spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"]
     for name in names:
         spark.conf.set(name, "-1")

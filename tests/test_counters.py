@@ -48,6 +48,11 @@ def test_two_core_counts_repeat_each_sample_and_spellings_share_a_grid(frame):
     apps = frame(APPS, (t("00:00:00"), "M1", "4"), (t("00:00:01"), "M1", "8"), (t("00:00:02"), "m1", "2"))
     pivot = counters.counter_pivot(performance, counters.latest_cores(apps))
     assert rows(pivot.filter("total = 50"), "cores", "checkmate") == [(4.0, 12.0), (8.0, 7.0)]
+    # The same count in two spellings belongs to the newest one only.
+    both = frame(APPS, ("2024-01-01 00:00:00", "M1", "4"), ("2024-01-02 00:00:00", "m1", "4"))
+    one = t("00:00:30")
+    samples = frame(PERF, (one, "M1", C["checkmate_windows"], 40), (one, "m1", C["checkmate_windows"], 80))
+    assert rows(counters.cpu_usage_buckets(samples, both), "checkmate") == [(20.0,)]
     means = counters.cpu_usage_buckets(performance, apps)
     # The grid starts at 00:00:10 for both spellings: 30, 50 and 50 | 70, 70, 10 and 10.
     assert rows(means, "bucket", "total") == [

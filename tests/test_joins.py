@@ -2,44 +2,41 @@ import pytest
 from conftest import plan, rows
 from pyspark.sql import functions as F
 
-from fleetlens.operators import joins
-
-
-@pytest.fixture
-def sides(frame):
-    facts = [("hot", i) for i in range(500)] + [(f"k{i % 50}", i) for i in range(100)] + [(None, i) for i in range(40)]
-    lookup = [("hot", 1), ("hot", 2), ("k1", 3), ("k2", None), ("other", 5), (None, 6)]
-    return frame("k string, n int", *facts), frame("k string, v int", *lookup)
-
-
-@pytest.mark.parametrize("how", ["inner", "left", "left_semi"])
-@pytest.mark.parametrize("heavy_keys", [50_000, 10])
-def test_split_join_equals_join(sides, monkeypatch, how, heavy_keys):
-    facts, lookup = sides
-    expected = rows(facts.join(lookup, "k", how))
-    broadcast = joins.lookup_join(facts, lookup, ["k"], how, spread=["n"], max_rows=6)
-    assert "BroadcastHashJoin" in plan(broadcast) and rows(broadcast) == expected
-    monkeypatch.setattr(joins, "BROADCAST_ROWS", 0)
-    monkeypatch.setattr(joins, "PART_ROWS", 1)
-    monkeypatch.setattr(joins, "HEAVY_KEYS", heavy_keys)
-    split = joins.lookup_join(facts, lookup, ["k"], how, spread=["n"], max_rows=6)
-    assert rows(split) == expected
-
-
-def test_heavy_keys_are_bounded_and_split_by_weight(sides, monkeypatch):
-    facts, _ = sides
-    monkeypatch.setattr(joins, "PART_ROWS", 100)
-    assert rows(joins._heavy(facts, ["k"])) == [("hot", 5)]
-    monkeypatch.setattr(joins, "PART_ROWS", 1)
-    monkeypatch.setattr(joins, "HEAVY_KEYS", 2)
-    # 52 keys have more than one row, only two more than four.
-    assert rows(joins._heavy(facts, ["k"])) == [("hot", 125), (None, 10)]
-
-
-def test_all_pairs(frame):
-    left, right = frame("a int", *[(i % 7,) for i in range(20)]), frame("b int", *[(i,) for i in range(9)])
+from fleetlens.operators import joins, users
+
+
+@pytest.mark.parametrize("parts", [1, 6, 40, None])
+def test_all_pairs(frame, parts, monkeypatch):
+    monkeypatch.setattr(joins, "COPIES_AT_ONCE", 2)
+    left, right = frame("a int", *[(i % 7,) for i in range(20)]), frame("b int", *[(i,) for i in [*range(9), None]])
     expected = rows(left.crossJoin(right))
-    got = joins.all_pairs(left, right, left_parts=3, right_parts=2)
+    got = joins.all_pairs(left, right, parts)
     assert rows(got, "a", "b") == expected
     assert "NestedLoop" not in plan(got) and "Cartesian" not in plan(got)
     assert rows(joins.all_pairs(left, right.filter(F.lit(False))), "a", "b") == []
+
+
+def test_repeated_hosts_spread_over_parts(spark, frame):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    left, right = frame("a string", *[("same",)] * 5000), frame("b int", *[(i,) for i in range(8)])
+    pairs = joins.all_pairs(left, right, 64)
+    assert pairs.count() == 40_000
+    assert pairs.groupBy(F.spark_partition_id()).count().count() > 1
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_a_lookup_of_unknown_size_is_not_broadcast_unseen(spark, frame):
+    keys = frame("user_id bigint", *[(i % 3,) for i in range(50)])
+    state = frame("user_id bigint, username string, password string", (1, "u", "p"), (9, "v", "q"))
+    assert "Broadcast" not in plan(users.user_lookup(state, keys))
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    split = rows(users.user_lookup(state, keys))
+    spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+    assert split == rows(users.user_lookup(state, keys)) and len(split) == 50
+
+
+def test_a_million_equal_requests_are_one_row_in_the_join(spark):
+    keys = spark.range(1_000_000).selectExpr("bigint(7) as user_id")
+    state = spark.sql("select bigint(7) as user_id, 'u' as username, 'p' as password")
+    assert users.user_lookup(state, keys).filter("username = 'u' and error is null").count() == 1_000_000
+    assert joins.repeated(keys).count() == 1

@@ -5,9 +5,11 @@ from compare import difference, oracle
 
 import __spark_entry__ as entry
 from conftest import plan
+from fleetlens.plans import bindings, oracles
 
 SF = "/root/testdata/sf0.001"
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+QUERIES, SQL = bindings.JOBS, oracles.SQL
+SINKS = {"panel_report_write", "records_to_csv"}
 HEAVY = {"health_check_panels", "panel_report_write"}
 
 
@@ -18,6 +20,21 @@ def con():
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(SQL)
+    assert set(QUERIES) <= set(entry.queries()) and set(SQL) <= set(entry.oracle_sql())
+
+
+def test_building_a_query_starts_no_job(spark):
+    for name, query in QUERIES.items():
+        if name not in SINKS:
+            query(spark, SF)  # the schemas of the tables are read once
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("build", "building only")
+    for name, query in QUERIES.items():
+        if name not in SINKS:
+            query(spark, SF)
+    started = tracker.getJobIdsForGroup("build")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert list(started) == []
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))

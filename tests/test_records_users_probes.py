@@ -64,10 +64,10 @@ def test_schema_checks(frame, spark):
 
 
 def test_scan_of_objects(spark):
-    texts = ['{"a": "x", "b": 1, "c": null}', '{"a": 1.5, "d": [1, "x"], "e": {"f": 1}}', "{}", '{"a": 2e300, "b": false}']
+    texts = [None, "", '{"a": ', "[1, 2]", "7", "null", '{"a": "x", "b": 1, "c": null}', '{"a": 1.5, "d": [1, "x"], "e": {"f": 1}}', "{}", '{"a": 2e300, "b": false}']
     items = spark.createDataFrame([(x,) for x in texts], "item string")
     assert rows(records.scanned_schema(items, "item")) == [
-        ("a", "N", 2), ("a", "S", 1), ("b", "BOOL", 1), ("b", "N", 1), ("c", "NULL", 1), ("d", "L", 1), ("e", "M", 1),
+        ("a", "N", 2), ("a", "S", 1), ("b", "BOOL", 1), ("b", "N", 1), ("c", "NULL", 1), ("d", "L", 1), ("e", "M", 1), (None, "rejected", 6),
     ]
 
 
@@ -96,7 +96,7 @@ def write(tmp_path, name, text):
 def test_json_to_csv(spark, tmp_path):
     array = '[{"account_id": 1, "permissions": ["r"], "user_name": "a,b"},\n {"account_id": 2, "user_name": "q\\"z"}]'
     source = write(tmp_path, "users.json", array)
-    got = records_io.records_to_csv(spark, source, str(tmp_path / "out"), array=True)
+    got = records_io.records_to_csv(spark, source, str(tmp_path / "out"), array_per_file=True)
     assert rows(got) == [("1", '["r"]', "a,b"), ("2", "", 'q"z')]
     text = "".join(p.read_text() for p in sorted((tmp_path / "out").glob("*.csv")))
     assert text == 'account_id,permissions,user_name\n1,"[""r""]","a,b"\n2,,"q""z"\n'
@@ -108,7 +108,7 @@ def test_records_with_other_keys_or_no_object_are_errors(spark, tmp_path):
         with pytest.raises(Exception, match="fields not in the list: other|not a JSON object"):
             records_io.read_records(spark, source).collect()
     with pytest.raises(Exception):
-        records_io.read_records(spark, write(tmp_path, "x.json", '[{"account_id": 1'), array=True).collect()
+        records_io.read_records(spark, write(tmp_path, "x.json", '[{"account_id": 1'), array_per_file=True).collect()
 
 
 LOG = "seq bigint, token string, op string, user_id bigint, username string, password string"
@@ -226,8 +226,8 @@ def test_probe_status(frame):
         ],
         key=repr,
     )
-    assert rows(probes.probe_report(status, compact=True).filter("src = 'a'"), "line") == [("a#x#22#REFUSED",), ("a#x#80#0",)]
-    assert rows(probes.probe_report(status).filter("src = 'c'"), "line") == [
+    assert rows(probes.probe_report(status).filter("src = 'a'"), "line") == [("a#x#22#REFUSED",), ("a#x#80#0",)]
+    assert rows(probes.probe_report(status).filter("src = 'c'"), "sentence") == [
         ("Source host c Dest host x Port 22 - Does not resolve",),
         ("Source host c Dest host x Port N/A - 80 is not reachable",),
     ]
@@ -244,5 +244,5 @@ class ClusterSession:
 def test_shared_folder_follows_the_setting():
     named = ClusterSession("yarn", **{"spark.checkpoint.dir": "hdfs:///shared/"})
     assert shared_folder(named, "x").startswith("hdfs:///shared/x-")
-    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
-        shared_folder(ClusterSession("yarn"), "x")
+    other = ClusterSession("yarn", **{"spark.sql.warehouse.dir": "hdfs:///house"})
+    assert shared_folder(other, "x").startswith("hdfs:///house/_steps/x-")

@@ -42,36 +42,36 @@ def test_bad_files(frame):
 
 def test_host_names(frame):
     machines = frame(
-        "machine string", ("GCEMYGEOTP468",), ("GCEMYGATT12",), ("GCEMYGMIRT7",), ("GCEMYGEOTT5",),
-        ("GCEMYGEOTB6",), ("GCEMYGGOV33",), ("other",), ("gcemygeotp1",),
+        "machine string", ("CLOUDHOSTP468",), ("CLOUDHATT12",), ("CLOUDHMIRT7",), ("CLOUDHOSTT5",),
+        ("CLOUDHOSTB6",), ("CLOUDHGOV33",), ("other",), ("cloudhostp1",),
     )
     assert rows(machines.select("machine", host_name(F.col("machine")).alias("h"))) == [
-        ("GCEMYGATT12", "afmfe2.att.com"), ("GCEMYGEOTB6", "preview6.geotab.com"),
-        ("GCEMYGEOTP468", "my468.geotab.com"), ("GCEMYGEOTT5", "support5.geotab.com"),
-        ("GCEMYGGOV33", "gov3.geotab.com"), ("GCEMYGMIRT7", "mirror7.geotab.com"),
-        ("gcemygeotp1", None), ("other", None),
+        ("CLOUDHATT12", "afmfe2.example.net"), ("CLOUDHGOV33", "gov3.example.com"),
+        ("CLOUDHMIRT7", "mirror7.example.com"), ("CLOUDHOSTB6", "preview6.example.com"),
+        ("CLOUDHOSTP468", "my468.example.com"), ("CLOUDHOSTT5", "support5.example.com"),
+        ("cloudhostp1", None), ("other", None),
     ]
 
 
 def test_names(frame):
-    today = frame("machine string", ("my12_mygeotab",), ("my12xmygeotab",), ("MY12_mygeotab",), ("my12_mygeotab",))
+    today = frame("machine string", ("my12_alias",), ("my12xalias",), ("MY12_alias",), ("my12_alias",))
     assert rows(usage.active_name_map(today)) == [
-        ("MY12_mygeotab", "MY12_mygeotab"), ("my12_mygeotab", "GCEMYGEOTP12"), ("my12xmygeotab", "GCEMYGEOTP12"),
+        ("MY12_alias", "MY12_alias"), ("my12_alias", "CLOUDHOSTP12"), ("my12xalias", "CLOUDHOSTP12"),
     ]
 
 
-NAMES = ("machine string, entry string", ("my1_mygeotab", "GCEMYGEOTP1"), ("GCEMYGEOTP1", "GCEMYGEOTP1"), ("q", "q"))
+NAMES = ("machine string, entry string", ("my1_alias", "CLOUDHOSTP1"), ("CLOUDHOSTP1", "CLOUDHOSTP1"), ("q", "q"))
 
 
 def test_performance_seconds(frame):
     time = frame(
         "machine string, ts timestamp_ntz, source string, action string, cpu_seconds double, seconds double",
-        ("my1_mygeotab", DAY(1), "a", "x", 1, -1), ("gcemygeotp1", DAY(1), "a", "x", 1, -0.5),
-        ("my1_mygeotab", DAY(1), "a", None, 50, 50), ("my1_mygeotab", DAY(1), "a", "", 50, 50),
+        ("my1_alias", DAY(1), "a", "x", 1, -1), ("cloudhostp1", DAY(1), "a", "x", 1, -0.5),
+        ("my1_alias", DAY(1), "a", None, 50, 50), ("my1_alias", DAY(1), "a", "", 50, 50),
         ("Q", DAY(1), "b", "x", None, 2), ("silent", DAY(1), "a", "x", 9, 9),
     )
     got = rows(usage.performance_seconds(time, frame(*NAMES)), "machine", "source", "cpu_seconds", "actual_seconds")
-    assert got == [("gcemygeotp1", "a", 2.0, 0.0), ("q", "b", None, 2.0)]
+    assert got == [("cloudhostp1", "a", 2.0, 0.0), ("q", "b", None, 2.0)]
 
 
 def test_top_calls(frame):
@@ -79,11 +79,11 @@ def test_top_calls(frame):
     api = frame(
         "machine string, ts timestamp_ntz, call string, size_kb double, seconds double",
         *[("q", f"2024-01-01 00:0{i % 2}:3{i % 10}", c, 1, 2) for i, c in enumerate(calls)],
-        *[("my1_mygeotab", DAY(1), "z", 1, 2), ("nobody", DAY(1), "z", 1, 2)],
+        *[("my1_alias", DAY(1), "z", 1, 2), ("nobody", DAY(1), "z", 1, 2)],
     )
     df = usage.api_usage_top_calls(api, frame(*NAMES), k=2)
     got = rows(df.groupBy("machine", "call").agg(F.sum("calls"), F.sum("total_size"), F.sum("total_secs")))
-    assert got == [("gcemygeotp1", "z", 1, 1.0, 2.0), ("q", "a", 5, 5.0, 10.0), ("q", "b", 3, 3.0, 6.0)]
+    assert got == [("cloudhostp1", "z", 1, 1.0, 2.0), ("q", "a", 5, 5.0, 10.0), ("q", "b", 3, 3.0, 6.0)]
     assert rows(df.filter("call = 'a'"), "minute", "calls") == [
         (datetime(2024, 1, 1, 0, 0), 3), (datetime(2024, 1, 1, 0, 1), 2),
     ]
@@ -134,21 +134,22 @@ def test_lag(frame):
         ("db2", "Processing Time"),
     ]
     biggest = frame("server string, database string", ("s", "db2"), ("t", "db2"), ("u", "none"))
-    for bound in (None, 3):
-        got = lag.lag_of_biggest_database(values, biggest, bound)
-        assert rows(got, "server", "action", "average_value") == [
-            ("s", "Processing Time", 4.0), ("t", "Processing Time", 4.0),
-        ]
+    got = lag.lag_of_biggest_database(values, biggest)
+    assert rows(got, "server", "action", "average_value") == [
+        ("s", "Processing Time", 4.0), ("t", "Processing Time", 4.0),
+    ]
+    own = lag.lag_by_action(values, ["Other"], "none", {"Other": "Shown"})
+    assert rows(own, "action") == [("Shown",)]
 
 
 def test_stage_one(frame):
     hit = "{u'ReleaseChannel', u'Value': u'StageOne2104.3'}"
     instances = frame(
         "name string, project string, metadata string",
-        ("my12-a-b", "Geotab-MyFed1", hit), ("my13-a", "other", hit), ("my14-a", "geotab-myfed", "u'stageone2104"),
-        ("my15-a", "geotab-myfed", hit.replace("2104", "2105")),
+        ("my12-a-b", "Example-Fleet1", hit), ("my13-a", "other", hit), ("my14-a", "example-fleet", "u'stageone2104"),
+        ("my15-a", "example-fleet", hit.replace("2104", "2105")),
     )
-    assert rows(servers.stage_one_servers(instances, "2104")) == [("GCEMYGEOTP12",)]
+    assert rows(servers.stage_one_servers(instances, "2104")) == [("CLOUDHOSTP12",)]
 
 
 def test_pivot(frame):
