@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -193,6 +193,30 @@ class Index:
         return sorted(out)
 
 
+def _blocks(
+    docs: DataFrame, benchmark: DataFrame, window: int, windows_at_once: int
+) -> list[Callable[[], tuple[Index, Canonical]]]:
+    """What loads each block of the benchmark in a task; a block is broadcast as texts."""
+    items = benchmark.filter(F.trim("text") != "").filter("item_id is not null")
+    items = items.select("item_id", "text")
+    size = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    # A word takes two characters or more, so a block has no more windows than asked for, about.
+    blocks = 1 + int(size) // (2 * windows_at_once)
+    found = []
+    for block in range(blocks):
+        mine = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
+        some = sorted((r["item_id"], r["text"]) for r in mine.collect())
+        shared = docs.sparkSession.sparkContext.broadcast(some)
+        key = ("benchmark", xxhash.xxh64_hexdigest(repr(some)), window)
+
+        def load(shared=shared, key=key) -> tuple[Index, Canonical]:
+            index = worker_state(key, lambda: Index(shared.value, window))
+            return index, worker_state("canonical", Canonical)
+
+        found.append(load)
+    return found
+
+
 def contaminated(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -211,16 +235,12 @@ def contaminated(
     its windows do not count. A pair is returned when windows that count are at least ``share``
     of the item's. ``reparameterised`` tells that a slot has another value.
 
-    The benchmark is the query set: it is read in blocks of about ``windows_at_once`` windows,
-    each broadcast (24 bytes a window and the texts) and looked up in one pass over the documents.
-    Null or empty texts match nothing; items of fewer words than a window are one window. Equal
-    items are found each; repeated documents give repeated rows. No items give no rows.
+    The benchmark is the query set: it is read in blocks of at most about ``windows_at_once``
+    windows, each broadcast and looked up in one pass over the documents. Null or empty texts
+    match nothing; items of fewer words than a window are one window; items without id are not
+    searched for. Equal items are found each; repeated documents give repeated rows. No items give
+    no rows. Other columns are not read.
     """
-    items = benchmark.filter(F.trim("text") != "").select("item_id", "text")
-    size = F.length("text")
-    blocks = 1 + int(items.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]) // (
-        2 * windows_at_once
-    )
     schema = pa.schema(
         [("doc_id", pa.int64()), ("item_id", pa.int64()), ("n_windows", pa.int64()),
          ("n_item_windows", pa.int64()), ("reparameterised", pa.bool_())]
@@ -228,10 +248,9 @@ def contaminated(
     kinds = "doc_id long, item_id long, n_windows long, n_item_windows long, reparameterised boolean"
     rows = docs.select("doc_id", "text")
 
-    def look_up(shared, key):
+    def look_up(load):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = worker_state(key, lambda: Index(shared.value, window))
-            canonical = worker_state("canonical", Canonical)
+            index, canonical = load()
             for part in slices(batches):
                 out = []
                 for doc_id, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
@@ -243,11 +262,33 @@ def contaminated(
         return run
 
     found = None
-    for block in range(blocks):
-        mine = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
-        some = sorted((r["item_id"], r["text"]) for r in mine.filter("item_id is not null").collect())
-        shared = docs.sparkSession.sparkContext.broadcast(some)
-        key = ("benchmark", xxhash.xxh64_hexdigest(repr(some)), window)
-        pairs = rows.mapInArrow(look_up(shared, key), kinds)
+    for load in _blocks(docs, benchmark, window, windows_at_once):
+        pairs = rows.mapInArrow(look_up(load), kinds)
         found = pairs if found is None else found.unionByName(pairs)
     return found
+
+
+def clean(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    *,
+    window: int = WINDOW,
+    share: float = SHARE,
+    windows_at_once: int = WINDOWS_AT_ONCE,
+) -> DataFrame:
+    """The rows of ``docs``, with all columns, that :func:`contaminated` finds no item in."""
+    at = docs.columns.index("text")
+
+    def look_up(load):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            index, canonical = load()
+            for part in slices(batches):
+                texts = part.column(at).to_pylist()
+                kept = [not (x and index.matches(x, canonical, share)) for x in texts]
+                yield part.filter(pa.array(kept, pa.bool_()))
+
+        return run
+
+    for load in _blocks(docs, benchmark, window, windows_at_once):
+        docs = docs.mapInArrow(look_up(load), docs.schema)
+    return docs
