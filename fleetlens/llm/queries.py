@@ -116,4 +116,42 @@ QUERIES = {
     "op9_chat_format": op9_chat_format,
     "op10_substring_dedup": op10_substring_dedup,
 }
-SQL: dict[str, str] = {}
+_WORDS = r"""
+    SELECT doc_id, list_filter(regexp_split_to_array(coalesce({text}, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+    FROM documents"""
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_LOWERED = f"translate(text, '{_UPPER}', '{_UPPER.lower()}')"
+
+SQL: dict[str, str] = {
+    "op5_jaccard_join": f"""
+        WITH RECURSIVE words AS ({_WORDS.format(text=_LOWERED)}),
+        runs AS (
+          SELECT DISTINCT doc_id, array_to_string(list_slice(w, k, k + 2), ' ') AS s
+          FROM words, unnest(range(1, greatest(len(w) - 1, 2))) t(k) WHERE len(w) > 0),
+        sizes AS (SELECT doc_id, count(*) AS n FROM runs GROUP BY doc_id),
+        links AS (
+          SELECT p.a, p.b FROM (
+            SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM runs x JOIN runs y ON x.s = y.s AND x.doc_id < y.doc_id
+            GROUP BY 1, 2) p JOIN sizes m ON m.doc_id = p.a JOIN sizes n ON n.doc_id = p.b
+          WHERE 100 * c >= 90 * (m.n + n.n - c)),
+        either AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+        reach AS (SELECT doc_id AS a, doc_id AS b FROM words UNION SELECT r.a, e.b FROM reach r JOIN either e ON r.b = e.a)
+        SELECT w.doc_id, coalesce(z.n, 0) AS n_shingles, min(r.b) AS component_id
+        FROM words w JOIN reach r ON r.a = w.doc_id LEFT JOIN sizes z ON z.doc_id = w.doc_id GROUP BY 1, 2""",
+    "op10_substring_dedup": f"""
+        WITH words AS ({_WORDS.format(text="text")}),
+        edges AS (
+          SELECT doc_id, k, array_to_string(list_slice(w, k, k + 19), ' ') AS s
+          FROM words, unnest(range(1, len(w) - 18)) t(k) WHERE len(w) >= 20),
+        again AS (
+          SELECT doc_id, k FROM (SELECT doc_id, k, row_number() OVER (PARTITION BY s ORDER BY doc_id, k) AS rn FROM edges)
+          WHERE rn > 1),
+        gone AS (SELECT DISTINCT doc_id, p FROM again, unnest(range(k, k + 20)) t(p)),
+        placed AS (SELECT doc_id, p, w[p] AS word FROM words, unnest(range(1, len(w) + 1)) t(p)),
+        kept AS (
+          SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS text, count(*) AS n
+          FROM placed ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+        SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed,
+          sha256(coalesce(text, '')) AS kept_sha256
+        FROM words w LEFT JOIN kept USING (doc_id)""",
+}
