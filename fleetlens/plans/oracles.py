@@ -2,13 +2,69 @@
 
 from __future__ import annotations
 
-from fleetlens.functions import fixed
 from fleetlens.plans.bindings import (
     AS_OF, BASE_URL, COUNTERS, EXPECTED_CUSTOMER, EXPECTED_ITEMS, HOSTS, MACHINES, REPORTED, TOKEN,
 )
 
 TODAY = AS_OF.strftime("%Y%m%d")
 
+# Written out once more, so that a wrong default in the library shows as a difference.
+ALIAS_PATTERN = "my%_alias"
+AUTHENTICATION_STATUS = "Authentication Error. Please check username and password"
+CPU_COUNTERS = {"checkmate_windows": "Process_CheckmateServer____Processor_Time",
+ "checkmate_linux": "Process__Total____Processor_Time_mygeotab",
+ "maintenance": "Process__Total____Processor_Time_postgres_maintenance",
+ "nodejs": "Process__node____Processor_Time",
+ "total": "Processor__Total____Processor_Time",
+ "postgres": "Process__Total____Processor_Time_postgres"}
+EXCLUDED_CALLS = ("Authenticate",
+ "DatabaseExists",
+ "GetVersion",
+ "Subscribe",
+ "GetServerInfo",
+ "GetSystemTimeUTC",
+ "Unsubscribe",
+ "TraceText",
+ "GetXMLServerSettings",
+ "AuthenticateSaml",
+ "GetSystemTimeUtc",
+ "Get<SystemSettings>")
+EXCLUDED_QUERY_PATTERNS = ("%commit%", "%begin%", "%discard%", "%vacuum%", "%pg_database_size%", "%pg_stat%", "%processlock%")
+LAG_ACTIONS = ("UploaderLagTime", "UploaderFileLengthKB", "UploaderFileCount")
+LAG_DROPPED_TEXT = "DDIS."
+LAG_PATTERN = "DDIS.LagTime%"
+MEMORY_COUNTERS = {"available": {"Memory___Available_MBytes": 1024},
+ "checkmate": {"Process_CheckmateServer__Working_Set": 1073741824, "Memory___Used_MBytes_mygeotab": 1024},
+ "allocated": {"Process_CheckmateServer__Private_Bytes": 1073741824,
+               "Memory___Available_MBytes_mygeotab": 1024},
+ "postgres": {"Memory___Used_MBytes_postgres": 1024}}
+PANELS = {1: "CPU Plot",
+ 2: "Memory Plot",
+ 3: "CPU Seconds Plot",
+ 4: "Actual Seconds Plot",
+ 5: "API Call Volume Plot",
+ 6: "API Call Size Plot",
+ 7: "API Call Time Plot",
+ 8: "Query Volume Plot",
+ 9: "Sec Per Query Plot",
+ 10: "Total Query Time Plot",
+ 11: "Bad File Count",
+ 12: "Lag Time Plot - "}
+PRODUCTION_PREFIX = "CLOUDHOSTP"
+QUERY_KEY_LENGTH = 200
+QUERY_LABEL_LENGTH = 50
+QUERY_USER_PATTERN = "gu_%"
+REFUSED_STATUS = "REFUSED"
+REFUSED_TEXT = "Connection refused"
+STAGE_PROJECT_PATTERN = "example-fleet%"
+TOP_CALLS = 8
+TOP_QUERIES = 100
+UNKNOWN_STATUS = "Unknown Status"
+UNKNOWN_VERSION = "X.X.XXXX.XXX"
+UNRESOLVED_STATUS = "Does not resolve"
+UNRESOLVED_TEXT = "Name or service not known"
+USER_NOT_FOUND = "User not found"
+
 
 def _list(values) -> str:
     return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
@@ -127,12 +183,12 @@ def _sum_of(counter: str) -> str:
 
 
 def _memory(name: str) -> str:
-    return " + ".join(f"{_sum_of(c)} / {d}" for c, d in fixed.MEMORY_COUNTERS[name].items())
+    return " + ".join(f"{_sum_of(c)} / {d}" for c, d in MEMORY_COUNTERS[name].items())
 
 
-_C = {name: _sum_of(counter) for name, counter in fixed.CPU_COUNTERS.items()}
+_C = {name: _sum_of(counter) for name, counter in CPU_COUNTERS.items()}
 _DIGITS = "regexp_replace(machine, '[^0-9]+', '', 'g')"
-_QUERY_OK = " AND ".join(f"lower(query) NOT LIKE '{p}'" for p in fixed.EXCLUDED_QUERY_PATTERNS)
+_QUERY_OK = " AND ".join(f"lower(query) NOT LIKE '{p}'" for p in EXCLUDED_QUERY_PATTERNS)
 
 # Intermediate results, each from inputs or from earlier ones.
 STEPS = {
@@ -165,8 +221,8 @@ STEPS = {
           SELECT *, row_number() OVER (PARTITION BY server ORDER BY first_seen DESC, version) AS rn FROM first_seen)
         WHERE rn = 1""",
     "names": f"""
-        SELECT DISTINCT machine, CASE WHEN machine LIKE '{fixed.ALIAS_PATTERN}'
-          THEN '{fixed.PRODUCTION_PREFIX}' || {_DIGITS} ELSE machine END AS entry
+        SELECT DISTINCT machine, CASE WHEN machine LIKE '{ALIAS_PATTERN}'
+          THEN '{PRODUCTION_PREFIX}' || {_DIGITS} ELSE machine END AS entry
         FROM performance_time WHERE strftime(ts, '%Y%m%d') = '{TODAY}'""",
     "entries": "SELECT DISTINCT lower(machine) AS reported, lower(entry) AS entry FROM names",
     "seconds": """
@@ -179,8 +235,8 @@ STEPS = {
         SELECT entry, call FROM (
           SELECT entry, call, row_number() OVER (PARTITION BY entry ORDER BY count(*) DESC, call) AS rn
           FROM api_usage JOIN entries ON lower(machine) = reported
-          WHERE call NOT IN {_in(fixed.EXCLUDED_CALLS)} GROUP BY entry, call)
-        WHERE rn <= {fixed.TOP_CALLS}""",
+          WHERE call NOT IN {_in(EXCLUDED_CALLS)} GROUP BY entry, call)
+        WHERE rn <= {TOP_CALLS}""",
     "calls": """
         SELECT e.entry AS machine, date_trunc('minute', ts) AS minute, u.call,
           CAST(sum(size_kb) AS DOUBLE) AS total_size, CAST(sum(seconds) AS DOUBLE) AS total_secs, count(*) AS calls
@@ -188,17 +244,17 @@ STEPS = {
         WHERE (e.entry, u.call) IN (SELECT (entry, call) FROM top_calls) GROUP BY 1, 2, 3""",
     "totals": f"""
         SELECT lower(machine) AS machine, date_trunc('hour', ts) AS hour,
-          substr(lower(query), 1, {fixed.QUERY_KEY_LENGTH}) AS key,
+          substr(lower(query), 1, {QUERY_KEY_LENGTH}) AS key,
           CAST(sum(time_ms) AS DOUBLE) AS total_time_ms, CAST(sum(calls) AS BIGINT) AS total_calls
-        FROM query_statistics WHERE user_name LIKE '{fixed.QUERY_USER_PATTERN}' AND {_QUERY_OK}
+        FROM query_statistics WHERE user_name LIKE '{QUERY_USER_PATTERN}' AND {_QUERY_OK}
         GROUP BY 1, 2, 3""",
     "top_queries": f"""
         SELECT machine, key FROM (
           SELECT *, row_number() OVER (PARTITION BY machine ORDER BY total_time_ms DESC, key, hour) AS rn
           FROM totals WHERE total_calls > 1)
-        WHERE rn <= {fixed.TOP_QUERIES}""",
+        WHERE rn <= {TOP_QUERIES}""",
     "queries": f"""
-        SELECT t.machine, t.hour, substr(lower(t.key), 1, {fixed.QUERY_LABEL_LENGTH}) AS short_query,
+        SELECT t.machine, t.hour, substr(lower(t.key), 1, {QUERY_LABEL_LENGTH}) AS short_query,
           t.total_time_ms, t.total_calls, (t.total_time_ms / 1000) / nullif(t.total_calls, 0) AS sec_per_call
         FROM totals t RIGHT JOIN top_queries q ON t.machine = q.machine AND t.key = q.key""",
     "bad_files": """
@@ -213,8 +269,8 @@ STEPS = {
         WHERE pos = 1""",
     "lag": f"""
         SELECT ts, database, CASE WHEN action = 'UploaderLagTime' THEN 'Processing Time'
-          ELSE replace(action, '{fixed.LAG_DROPPED_TEXT}', '') END AS action, average_value
-        FROM performance_value WHERE action IN {_in(fixed.LAG_ACTIONS)} OR action LIKE '{fixed.LAG_PATTERN}'""",
+          ELSE replace(action, '{LAG_DROPPED_TEXT}', '') END AS action, average_value
+        FROM performance_value WHERE action IN {_in(LAG_ACTIONS)} OR action LIKE '{LAG_PATTERN}'""",
     "big_lag": """
         SELECT b.server, b.database, l.ts, l.action, l.average_value
         FROM lag l JOIN biggest b ON lower(l.database) = b.database""",
@@ -258,7 +314,7 @@ STEPS = {
             WHEN panel_no = 2 THEN max(CASE WHEN series = 'AllocatedMemoryMean' THEN top END) ELSE max(top) END AS hi
         FROM (SELECT machine, panel_no, series, max(y) AS top FROM points GROUP BY 1, 2, 3) GROUP BY 1, 2""",
     "panel_titles": "SELECT * FROM (VALUES {}) t(panel_no, title)".format(
-        ", ".join(f"({n}, '{t}')" for n, t in fixed.PANELS.items())
+        ", ".join(f"({n}, '{t}')" for n, t in PANELS.items())
     ),
     "panels": f"""
         SELECT p.machine, p.panel_no, CASE WHEN p.panel_no = 12 THEN title || coalesce(b.database, '') ELSE title END AS panel,
@@ -266,7 +322,7 @@ STEPS = {
         FROM (
           SELECT machine, panel_no, 'series' AS kind, series, x, y FROM points
           UNION ALL
-          SELECT e.machine, e.panel_no, 'marker', coalesce(v.version, '{fixed.UNKNOWN_VERSION}'), v.first_seen,
+          SELECT e.machine, e.panel_no, 'marker', coalesce(v.version, '{UNKNOWN_VERSION}'), v.first_seen,
             unnest([lo, hi]) FROM ends e JOIN machines m USING (machine) LEFT JOIN newest_version v ON v.server = m.host) p
         JOIN panel_titles t ON p.panel_no = t.panel_no JOIN machines m ON p.machine = m.machine
         LEFT JOIN biggest b ON b.server = m.host""",
@@ -301,10 +357,10 @@ STEPS = {
     "probe_rows": f"""
         SELECT src, dst, port_order, CASE WHEN error IS NULL THEN port ELSE 'N/A' END AS port,
           CASE WHEN error = 'name' THEN port || ' is not reachable'
-            WHEN error = 'auth' THEN '{fixed.AUTHENTICATION_STATUS}'
-            WHEN output LIKE '%{fixed.REFUSED_TEXT}%' THEN '{fixed.REFUSED_STATUS}'
-            WHEN output LIKE '%{fixed.UNRESOLVED_TEXT}%' THEN '{fixed.UNRESOLVED_STATUS}'
-            WHEN len(lines) > 1 THEN trim(lines[-1]) ELSE '{fixed.UNKNOWN_STATUS}' END AS status
+            WHEN error = 'auth' THEN '{AUTHENTICATION_STATUS}'
+            WHEN output LIKE '%{REFUSED_TEXT}%' THEN '{REFUSED_STATUS}'
+            WHEN output LIKE '%{UNRESOLVED_TEXT}%' THEN '{UNRESOLVED_STATUS}'
+            WHEN len(lines) > 1 THEN trim(lines[-1]) ELSE '{UNKNOWN_STATUS}' END AS status
         FROM (SELECT *, string_split(trim(output, ' ' || chr(10)), chr(10)) AS lines FROM probe_outputs) o
         WHERE NOT EXISTS (SELECT 1 FROM probe_outputs e WHERE e.src = o.src AND e.dst = o.dst
           AND e.port_order < o.port_order AND e.error IS NOT NULL)""",
@@ -372,7 +428,7 @@ SQL = {
     "first_seen_versions": _with(("server_info", "first_seen"), "SELECT * FROM first_seen"),
     "latest_version_marker": _with(
         ("newest_version",),
-        f"""SELECT h.server, coalesce(v.version, '{fixed.UNKNOWN_VERSION}') AS version, v.first_seen AS last_upgrade
+        f"""SELECT h.server, coalesce(v.version, '{UNKNOWN_VERSION}') AS version, v.first_seen AS last_upgrade
         FROM (SELECT unnest({_list([*HOSTS, 'my99.example.com'])}) AS server) h LEFT JOIN newest_version v USING (server)""",
     ),
     "active_name_map": _with(("performance_time", "names"), "SELECT * FROM names"),
@@ -381,7 +437,7 @@ SQL = {
     "query_profile": _with(("queries",), "SELECT * FROM queries"),
     "query_profile_dedup": _with(
         ("queries",),
-        f"""SELECT machine, hour, substr(key, 1, {fixed.QUERY_LABEL_LENGTH}) AS short_query, total_time_ms, total_calls,
+        f"""SELECT machine, hour, substr(key, 1, {QUERY_LABEL_LENGTH}) AS short_query, total_time_ms, total_calls,
           (total_time_ms / 1000) / nullif(total_calls, 0) AS sec_per_call
         FROM totals WHERE (machine, key) IN (SELECT (machine, key) FROM top_queries)""",
     ),
@@ -395,8 +451,8 @@ SQL = {
     ),
     "stage_one_servers": _with(
         ("instances",),
-        f"""SELECT '{fixed.PRODUCTION_PREFIX}' || substr(split_part(name, '-', 1), 3) AS machine FROM instances
-        WHERE dt = '{TODAY}' AND lower(project) LIKE '{fixed.STAGE_PROJECT_PATTERN}'
+        f"""SELECT '{PRODUCTION_PREFIX}' || substr(split_part(name, '-', 1), 3) AS machine FROM instances
+        WHERE dt = '{TODAY}' AND lower(project) LIKE '{STAGE_PROJECT_PATTERN}'
           AND lower(metadata) LIKE '%u''releasechannel'', u''value'': u''stageone2104%'""",
     ),
     "series_pivot": "SELECT date_trunc('hour', ts) AS x, "
@@ -473,7 +529,7 @@ SQL = {
     "user_lookup": _with(
         ("states",),
         f"""SELECT c_custkey AS user_id, s.username, s.password,
-          CASE WHEN s.user_id IS NULL THEN '{fixed.USER_NOT_FOUND}' END AS error
+          CASE WHEN s.user_id IS NULL THEN '{USER_NOT_FOUND}' END AS error
         FROM customer LEFT JOIN states s ON c_custkey = s.user_id""",
     ),
     "command_responses": _with(
@@ -488,7 +544,7 @@ SQL = {
             CASE WHEN c.token IS NULL OR c.token <> '{TOKEN}' THEN 'Unauthorized'
               WHEN c.op NOT IN ('create', 'update', 'delete') THEN 'unknown command'
               WHEN c.op <> 'create' AND c.user_id IS NULL THEN 'user_id is missing'
-              WHEN c.op = 'update' AND (l.user_id IS NULL OR l.created > c.seq OR l.deleted < c.seq) THEN '{fixed.USER_NOT_FOUND}'
+              WHEN c.op = 'update' AND (l.user_id IS NULL OR l.created > c.seq OR l.deleted < c.seq) THEN '{USER_NOT_FOUND}'
               WHEN c.op <> 'delete' AND (c.username IS NULL OR c.password IS NULL) THEN 'username or password is missing'
             END AS reason
           FROM commands c LEFT JOIN lives l ON c.user_id = l.user_id LEFT JOIN created n ON n.created = c.seq)""",
