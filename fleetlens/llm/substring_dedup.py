@@ -142,12 +142,13 @@ def _identified(docs: DataFrame) -> DataFrame:
     rows = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", "text")
     text = F.xxhash64(F.coalesce("text", F.lit("")))
     many = rows.groupBy("doc_id").agg(F.min(text).alias("_a"), F.max(text).alias("_b"))
-    again = rows.join(many.filter("_a != _b").select("doc_id"), "doc_id")
+    many = stored(many.filter("_a != _b").select("doc_id"), "copies")
+    if not many.head(1):  # nothing to number, so texts need not be joined
+        return rows.select("doc_id", F.lit(0).alias("copy"), "text")
+    again = rows.join(many, "doc_id")
     again = again.select(F.col("doc_id").alias("_id"), text.alias("_text")).distinct()
     number = F.dense_rank().over(Window.partitionBy("_id").orderBy("_text")) - 1
-    again = stored(again.select("_id", "_text", number.alias("_copy")), "copies")
-    if not again.head(1):
-        return rows.select("doc_id", F.lit(0).alias("copy"), "text")
+    again = again.select("_id", "_text", number.alias("_copy"))
     same = (F.col("doc_id") == F.col("_id")) & (text == F.col("_text"))
     return rows.join(again, same, "left").select(
         "doc_id", F.coalesce("_copy", F.lit(0)).alias("copy"), "text"
