@@ -22,11 +22,31 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, purpose: str) -> DataFrame:
-    """The rows of ``df``, computed now and kept as a table in the folder that executors share."""
-    path = shared_folder(df.sparkSession, purpose)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """The rows of ``df``, computed now and kept as a table in the folder that executors share.
+
+    Shuffle files of the job go when it is done, since later reads need the table only.
+    """
+    spark = df.sparkSession
+    path, before = shared_folder(spark, purpose), spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    kept = spark.read.schema(df.schema).parquet(path)
+    kept._kept_at = path
+    return kept
+
+
+def discard(kept: DataFrame) -> None:
+    """Deletes a table that :func:`stored` made, once nothing will read it any more."""
+    spark = kept.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(kept._kept_at)
+    path.getFileSystem(spark._jsc.sc().hadoopConfiguration()).delete(path, True)
 
 
 def bucket(doc_id: str, buckets: int) -> Column:

@@ -10,7 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from fleetlens.llm.common import record_batch, slices, stored, worker_state
+from fleetlens.llm.common import discard, record_batch, slices, stored, worker_state
 from fleetlens.llm.components import components
 
 NGRAM, PERCENT = 3, 90
@@ -275,15 +275,17 @@ def near_components(docs: DataFrame, *, n: int = NGRAM, percent: int = PERCENT)
         F.min("doc_id").alias("doc_id")
     )
     most = interval(max(BOUNDARIES) + 1, max(BOUNDARIES), percent)[2]
-    short = rows.filter(F.length("text") <= 64 * (most + n)).dropDuplicates(["text"])
+    short = rows.filter(F.length("text") <= 64 * (most + n))
     boundary = choose_boundary(short, n, percent)
 
-    keys = _keys(rows, n, (boundary,), percent).select("key", "node")
+    # Kept, since the lists are read twice and making them costs more than reading.
+    keys = stored(_keys(rows, n, (boundary,), percent).select("key", "node"), "lists")
     hubs = keys.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("_last"))
     hubs = hubs.filter("hub != _last").drop("_last")
     meets = keys.join(hubs, "key").filter("node != hub")
-    edges = meets.select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+    edges = meets.select(F.col("node").alias("a"), F.col("hub").alias("b"))
     families = stored(components(edges), "families")
+    discard(keys)
 
     links = stored(_family_links(rows, families, first, n, percent), "links")
     linked = components(links)
