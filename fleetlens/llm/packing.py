@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from fleetlens.llm.common import record_batch, slices, stored
-from fleetlens.llm.encoding import encoder
+from fleetlens.llm.encoding import ROWS_ENCODED, encoder
 
 PARTITION_PIECES = 4096
 FAN_IN = 8
@@ -87,10 +87,9 @@ def token_pieces(
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer)
-        for rows in slices(batches):
-            texts = [x or "" for x in rows.column(1).to_pylist()]
-            out = []
-            for doc_id, ids in zip(rows.column(0).to_pylist(), encode.batch(texts), strict=True):
+        for rows in slices(batches, ROWS_ENCODED):
+            out, found = [], encode.batch(rows.column(1))
+            for doc_id, ids in zip(rows.column(0).to_pylist(), found, strict=True):
                 ids += end
                 for piece, at in enumerate(range(0, len(ids), step)):
                     part = ids[at : at + step]

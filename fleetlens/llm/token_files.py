@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from fleetlens.llm.common import record_batch, slices
-from fleetlens.llm.encoding import encoder
+from fleetlens.llm.encoding import ROWS_ENCODED, encoder
 
 MASK_DELTA = 0xA282EAD8
 FRAME = 8 + 4 + 4
@@ -105,7 +105,8 @@ def write_token_files(
 ) -> DataFrame:
     """Encodes ``docs`` (doc_id, text; other columns are not read) and writes them to ``folder``.
 
-    Shards follow each other in ascending doc_id order, documents of equal id by text. A null
+    Shards follow each other in ascending doc_id order, documents of equal id by
+    a hash of the text. A null
     text is empty and gives the end id alone; rows without an id are not written. Rows are dealt
     by ranges of doc_id, so ids lie next to each other and no task holds more than a range; a
     task writes as it reads and starts a new shard after ``shard_bytes``. A repeated task writes
@@ -122,9 +123,9 @@ def write_token_files(
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer, width)
         part, seq, shard = TaskContext.get().partitionId(), 0, None
-        for rows in slices(batches):
-            texts = rows.column(1).to_pylist()
-            for doc_id, ids in zip(rows.column(0).to_pylist(), encode.batch(texts), strict=True):
+        for rows in slices(batches, ROWS_ENCODED):
+            found = encode.batch(rows.column(1))
+            for doc_id, ids in zip(rows.column(0).to_pylist(), found, strict=True):
                 shard = shard or ShardWriter(folder, part, seq, width)
                 shard.add(doc_id, ids + end)
                 if shard.offset >= shard_bytes:
@@ -136,7 +137,13 @@ def write_token_files(
     rows = docs.filter(F.col("doc_id").isNotNull()).select(
         "doc_id", F.coalesce("text", F.lit("")).alias("text")
     )
-    ordered = rows.repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
+    # Range limits are found from a sample of the sort key, which so must not hold texts.
+    ordered = (
+        rows.withColumn("_hash", F.xxhash64("text"))
+        .repartitionByRange("doc_id", "_hash")
+        .sortWithinPartitions("doc_id", "_hash", "text")
+        .drop("_hash")
+    )
     ordered.mapInArrow(write, MANIFEST).write.parquet(f"{folder}/manifest")
     return read_manifest(docs.sparkSession, folder)
 
@@ -189,7 +196,8 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
                 if out:
                     yield record_batch(schema, list(zip(*out, strict=True)))
 
-    tasks = shards.select("shard", "n_docs", "width", "base").repartition("shard")
+    tasks = shards.select("shard", "n_docs", "width", "base")
+    tasks = tasks.repartition(max(1, shards.count()), "shard")
     return tasks.mapInArrow(read, "doc_id long, start long, n_tokens long, ids binary")
 
 
@@ -232,7 +240,8 @@ def read_documents(spark: SparkSession, folder: str, doc_ids: DataFrame) -> Data
             ids = [x.tobytes() for x in found]
             yield record_batch(out, [rows.column(0).to_pylist(), ids])
 
-    shards = read_manifest(spark, folder).select("shard", "width").repartition("shard")
+    shards = read_manifest(spark, folder).select("shard", "width")
+    shards = shards.repartition(max(1, shards.count()), "shard")
     index = shards.mapInArrow(entries, "doc_id long, shard string, offset long, width int")
     wanted = index.join(doc_ids.select("doc_id").distinct(), "doc_id")
     return wanted.mapInArrow(pick, "doc_id long, ids binary")
