@@ -53,9 +53,17 @@ class Model:
 
 
 def learn_dictionary(docs: DataFrame, sample_docs: int, words: int) -> list[str]:
-    """Words of three letters or more in the most documents of a bounded sample, ties by word."""
+    """Words of three letters or more in the most documents of a bounded sample, ties by word.
+
+    The sample is the ``sample_docs`` distinct texts first by hash. The last hash is found without
+    the texts, so no task gathers more than it.
+    """
     some = docs.filter(F.col("text").isNotNull()).select(F.xxhash64("text").alias("_hash"), "text")
-    some = some.orderBy("_hash", "text").limit(sample_docs)
+    first = some.select("_hash").distinct().orderBy("_hash").limit(sample_docs)
+    last = first.agg(F.max("_hash")).first()[0]
+    if last is None:
+        return []
+    some = some.filter(F.col("_hash") <= last).groupBy("_hash").agg(F.min("text").alias("text"))
     word = F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+")))
     counts = some.select(word.alias("word")).filter(F.length("word") >= 3).groupBy("word").count()
     top = counts.filter("count >= 2").orderBy(F.desc("count"), "word").limit(words)
