@@ -9,7 +9,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from fleetlens.llm.common import record_batch, slices, stored, worker_state
+from fleetlens.llm.common import discard, record_batch, slices, stored, worker_state
 
 #: Words of an edge; words of the seeds by which edges meet.
 EDGE, SEED = 20, 6
@@ -80,7 +80,7 @@ def nonbranching_runs(h: np.ndarray, ends: np.ndarray):
     keyed = (seeds & ~place) | np.arange(len(seeds), dtype=np.uint64)
     least = sliding_minimum(keyed, EDGE - SEED + 1)
     at = np.arange(len(edges))
-    document_end = ends[np.searchsorted(ends, at, "right")]
+    document_end = np.repeat(ends, np.diff(ends, prepend=0))[: len(at)]
     starts = at[at + EDGE <= document_end]
     if not len(starts):
         return none, none, none, none, none
@@ -177,18 +177,6 @@ def _runs(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, kinds)
 
 
-def _seeds(docs: DataFrame) -> DataFrame:
-    schema = pa.schema([("seed", pa.int64())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = worker_state("graph words", WordHashes)
-        for part in slices(batches):
-            for _, _, _, seed, _, _ in _document_runs(part.column(2).to_pylist(), known):
-                yield record_batch(schema, [seed])
-
-    return docs.mapInArrow(run, "seed long")
-
-
 def _edges(docs: DataFrame, asked: DataFrame) -> DataFrame:
     """edge, check, doc_id, copy, start of the edges in the asked runs (doc_id, copy, start, n)."""
     lists = asked.groupBy("doc_id", "copy").agg(
@@ -243,7 +231,8 @@ def repeated_paths(docs: DataFrame, runs: DataFrame) -> DataFrame:
         .select("doc_id", "copy", "start", "n", "_first")
     )
     asked = kinds.join(several, "seed", "left_semi").select("_first.*", "n")
-    edges = _edges(docs, asked)
+    asked = stored(asked, "asked")
+    edges = stored(_edges(docs, asked), "edges")
     least = edges.groupBy("edge", "check").agg(F.min(place).alias("_first"), F.max(place).alias("_last"))
     least = least.filter("_first != _last").drop("_last")
     single = (
@@ -288,21 +277,23 @@ def dedup(docs: DataFrame) -> DataFrame:
        Two independent 64-bit hashes must agree at the passage and at its source.
     3. Paths come back to their documents, where those that follow each other become one.
 
-    Texts are shuffled by document once, and used twice. Rows that share an id but not the text
+    Texts are shuffled by document twice, for the edges and for the result; each step is kept as a
+    table and its shuffle files go before the next begins. Rows that share an id but not the text
     count as documents of their own, in the order of a hash; equal rows are one document and are
     returned each. Rows without id stay whole and are no source. Null and empty texts, and those
     under 20 words, lose nothing.
     """
     known = _identified(docs)
-    seeds = _seeds(known).groupBy("seed").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    every = stored(_runs(known), "runs")
+    seeds = every.groupBy("seed").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
     seeds = stored(seeds.select("seed"), "seeds")
-    runs = stored(_runs(known).join(seeds, "seed", "left_semi"), "runs")
-    placed = known.repartition("doc_id", "copy")
-    found = repeated_paths(placed, runs)
+    runs = stored(every.join(seeds, "seed", "left_semi"), "runs")
+    discard(every)
+    found = stored(repeated_paths(known, runs), "paths")
     lists = found.groupBy("doc_id", "copy").agg(
         F.collect_list(F.struct("start", "n", "from_id", "from_copy", "from_start")).alias("_paths")
     )
-    rows = placed.join(lists, ["doc_id", "copy"], "left").select("doc_id", "text", "_paths")
+    rows = known.join(lists, ["doc_id", "copy"], "left").select("doc_id", "text", "_paths")
     nameless = docs.filter(F.col("doc_id").isNull()).select("doc_id", "text")
     nameless = nameless.withColumn("_paths", F.lit(None).cast(rows.schema["_paths"].dataType))
     schema = pa.schema(
@@ -317,14 +308,15 @@ def dedup(docs: DataFrame) -> DataFrame:
             out: list[list] = [[], [], [], [], []]
             ids, texts, lists = (c.to_pylist() for c in part.columns)
             for doc_id, text, paths in zip(ids, texts, lists, strict=True):
-                words = words_of(text)
-                gone = np.zeros(len(words) + 1, np.int64)
-                merged = compacted(paths or [])
-                for start, n, _, _ in merged:
-                    gone[start] += 1
-                    gone[start + n + EDGE - 1] -= 1
-                kept = np.cumsum(gone)[:-1] == 0
-                left = [w for w, keep in zip(words, kept.tolist(), strict=True) if keep]
+                left = words = words_of(text)
+                merged = compacted(paths) if paths else []
+                if merged:
+                    gone = np.zeros(len(words) + 1, np.int64)
+                    for start, n, _, _ in merged:
+                        gone[start] += 1
+                        gone[start + n + EDGE - 1] -= 1
+                    kept = np.cumsum(gone)[:-1] == 0
+                    left = [w for w, keep in zip(words, kept.tolist(), strict=True) if keep]
                 spans = [
                     {"start": a, "n_words": n + EDGE - 1, "from_id": source[0], "from_start": b}
                     for a, n, source, b in merged
