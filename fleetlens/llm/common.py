@@ -6,7 +6,9 @@ import sys
 from collections.abc import Callable, Iterator
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from fleetlens.session import shared_folder
@@ -16,6 +18,7 @@ SPACES = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of an Arrow batch that are worked on at a time, so that lists of words stay small.
 ROWS_AT_ONCE = 256
+TEXT_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -60,6 +63,22 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = ROWS_AT_ONCE) -> Itera
             yield batch.slice(start, rows)
 
 
+def text_slices(
+    batches: Iterator[pa.RecordBatch], column: int, rows: int, size: int = TEXT_BYTES
+) -> Iterator[pa.RecordBatch]:
+    """At most ``rows`` rows and about ``size`` bytes of text at a time; a longer text comes alone."""
+    for batch in batches:
+        lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0)
+        ends = np.cumsum(lengths.to_numpy(zero_copy_only=False).astype(np.int64))
+        start = 0
+        while start < batch.num_rows:
+            before = ends[start - 1] if start else 0
+            end = int(np.searchsorted(ends, before + size, "right"))
+            end = min(max(end, start + 1), start + rows)
+            yield batch.slice(start, end - start)
+            start = end
+
+
 def worker_state(key: Any, make: Callable[[], Any]) -> Any:
     """Something costly to make, kept as long as the Python worker lives (not pickled)."""
     kept = sys.__dict__.setdefault("_fleetlens_llm_state", {})

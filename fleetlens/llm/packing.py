@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from fleetlens.llm.common import record_batch, slices, stored
+from fleetlens.llm.common import record_batch, stored, text_slices
 from fleetlens.llm.encoding import ROWS_ENCODED, encoder
 
 PARTITION_PIECES = 4096
@@ -87,7 +87,7 @@ def token_pieces(
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer)
-        for rows in slices(batches, ROWS_ENCODED):
+        for rows in text_slices(batches, 1, ROWS_ENCODED):
             out, found = [], encode.batch(rows.column(1))
             for doc_id, ids in zip(rows.column(0).to_pylist(), found, strict=True):
                 ids += end

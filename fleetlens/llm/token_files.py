@@ -25,7 +25,7 @@ import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from fleetlens.llm.common import record_batch, slices
+from fleetlens.llm.common import record_batch, slices, text_slices
 from fleetlens.llm.encoding import ROWS_ENCODED, encoder
 
 MASK_DELTA = 0xA282EAD8
@@ -123,7 +123,7 @@ def write_token_files(
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer, width)
         part, seq, shard = TaskContext.get().partitionId(), 0, None
-        for rows in slices(batches, ROWS_ENCODED):
+        for rows in text_slices(batches, 1, ROWS_ENCODED):
             found = encode.batch(rows.column(1))
             for doc_id, ids in zip(rows.column(0).to_pylist(), found, strict=True):
                 shard = shard or ShardWriter(folder, part, seq, width)
