@@ -18,7 +18,7 @@ SPACES = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of an Arrow batch that are worked on at a time, so that lists of words stay small.
 ROWS_AT_ONCE = 256
-TEXT_BYTES = 8 << 20
+TEXT_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

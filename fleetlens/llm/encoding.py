@@ -12,14 +12,14 @@ import pyarrow.compute as pc
 from fleetlens.llm.common import worker_state
 
 #: Words remembered in a generation; what the one before knew and is met again moves on.
-MOST_WORDS = 400_000
+MOST_WORDS = 150_000
 #: Letters that no normalizer changes in number, so a run of them is one piece of any text.
 PLAIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
 #: Marks that may follow a word; a run of them is one piece (an apostrophe may begin another).
 MARKS = re.escape(".,!?;:|*$%&#")
 WORDS_AT_ONCE = 500
 #: Texts encoded together; more share more words, fewer take less memory.
-ROWS_ENCODED = 1024
+ROWS_ENCODED = 512
 #: A blank at the start or after white space of any kind.
 ODD = (
     r"(?:^|[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
