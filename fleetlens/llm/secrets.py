@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.ml.classification import RandomForestClassifier, RandomForestClassificationModel
@@ -12,8 +13,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from fleetlens.llm.common import stored
 from fleetlens.operators.ranking import top_per_group
 
-#: Bounds of what the model is fitted on: findings of each label, documents and words of the dictionary.
-SAMPLE_FINDINGS, SAMPLE_DOCS, DICTIONARY_WORDS = 10_000, 2_000, 5_000
+#: Bound of the findings of each label that the model is fitted on.
+SAMPLE_FINDINGS = 10_000
+#: A dictionary word is in at least this share of the distinct texts, and in two of them.
+LEAST_SHARE = 0.001
 TREES, DEPTH, SEED = 40, 8, 7
 LEAST = 0.5
 REDACTED = "[SECRET]"
@@ -52,22 +55,25 @@ class Model:
     dictionary: list[str]
 
 
-def learn_dictionary(docs: DataFrame, sample_docs: int, words: int) -> list[str]:
-    """Words of three letters or more in the most documents of a bounded sample, ties by word.
+def learn_dictionary(docs: DataFrame, least_share: float = LEAST_SHARE) -> list[str]:
+    """Words of three letters or more in at least ``least_share`` of all distinct texts, sorted.
 
-    The sample is the ``sample_docs`` distinct texts first by hash. The last hash is found without
-    the texts, so no task gathers more than it.
+    Each kept word takes its characters from so many texts that all of them together have at
+    most the mean length of a text divided by ``least_share``, however large the table is.
     """
     some = docs.filter(F.col("text").isNotNull()).select(F.xxhash64("text").alias("_hash"), "text")
-    first = some.select("_hash").distinct().orderBy("_hash").limit(sample_docs)
-    last = first.agg(F.max("_hash")).first()[0]
-    if last is None:
+    some = some.groupBy("_hash").agg(F.min("text").alias("text"))
+    # The empty word, once in each text, counts the texts.
+    words = F.array_append(F.split(F.lower("text"), r"[^\p{L}]+"), "")
+    counts = some.select(F.explode(F.array_distinct(words)).alias("word"))
+    counts = counts.filter("length(word) >= 3 or word = ''").groupBy("word").count()
+    counts = stored(counts.filter("count >= 2 or word = ''"), "words")
+    total = counts.filter("word = ''").first()
+    if total is None:
         return []
-    some = some.filter(F.col("_hash") <= last).groupBy("_hash").agg(F.min("text").alias("text"))
-    word = F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+")))
-    counts = some.select(word.alias("word")).filter(F.length("word") >= 3).groupBy("word").count()
-    top = counts.filter("count >= 2").orderBy(F.desc("count"), "word").limit(words)
-    return [r["word"] for r in top.collect()]
+    least = max(2, math.ceil(least_share * total["count"]))
+    kept = counts.filter((F.col("count") >= least) & (F.col("word") != "")).select("word")
+    return sorted(kept.toArrow().column("word").to_pylist())
 
 
 def _share(value: Column, pattern: str) -> Column:
@@ -220,7 +226,7 @@ def scan(docs: DataFrame, labelled: DataFrame | None = None, path: str = "source
     findings get equal answers; other columns are not read.
     """
     rows = docs.select("doc_id", "text", *([path] if path in docs.columns else []))
-    dictionary = learn_dictionary(rows, SAMPLE_DOCS, DICTIONARY_WORDS)
+    dictionary = learn_dictionary(rows)
     found = stored(findings(rows, dictionary, path), "findings")
     known = found.withColumn("label", rule_labels()) if labelled is None else labelled
     return classify(found, fit(known, dictionary))
