@@ -14,6 +14,8 @@ from fleetlens.llm.common import record_batch, slices, worker_state
 
 #: Words of a template window, and the share of an item's windows that a document must hold.
 WINDOW, SHARE = 8, 0.5
+#: Words of an item that contaminate, whatever their share, when they stand in a row unchanged.
+RUN = 13
 #: Benchmark windows that are looked up at a time; more go over the documents in more passes.
 WINDOWS_AT_ONCE = 1_000_000
 # Unit words (in lower case) that a template replaces.
@@ -127,6 +129,12 @@ def consistent(kinds, values, other_kinds, other_values) -> bool:
     return True
 
 
+def longest_run(same: np.ndarray) -> int:
+    """Length of the longest run of true values."""
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], same.astype(np.int8), [0]])))
+    return int((edges[1::2] - edges[::2]).max(initial=0))
+
+
 class Index:
     """Windows of some benchmark items: sorted hashes with item and position, and a bit filter."""
 
@@ -154,7 +162,7 @@ class Index:
         self.bits = np.zeros(1 << 24, bool)
         self.bits[(self.keys >> np.uint64(40)).astype(np.int64)] = True
 
-    def matches(self, text: str, canonical: Canonical, share: float) -> list[tuple]:
+    def matches(self, text: str, canonical: Canonical, share: float, run: int) -> list[tuple]:
         """(item_id, windows found, windows of the item, slots differ) of contaminating items."""
         ids, kinds, values = canonical.text(text)
         held: dict[int, dict[int, list[int]]] = {}
@@ -177,18 +185,24 @@ class Index:
             item_id, item_kinds, item_values, width = self.items[number]
             total = len(item_kinds) - width + 1
             # Pieces of an item may stand apart, so windows count over all shifts that hold
-            # their slots; each shift is checked by itself.
+            # their slots; each shift is checked by itself. Where slots disagree, windows
+            # without any changed value still count.
             good: set[int] = set()
-            differ = False
+            differ, longest = False, 0
             for shift, found in lines.items():
                 covered = np.unique(np.concatenate([np.arange(p, p + width) for p in set(found)]))
                 here = covered + shift
+                same = np.zeros(len(item_kinds), bool)
+                same[covered] = item_values[covered] == values[here]
+                longest = max(longest, longest_run(same))
                 if consistent(
                     item_kinds[covered], item_values[covered], kinds[here], values[here]
                 ):
                     good.update(found)
-                    differ |= bool((item_values[covered] != values[here]).any())
-            if good and len(good) >= share * total:
+                    differ |= not same[covered].all()
+                else:
+                    good.update(p for p in found if same[p : p + width].all())
+            if good and (len(good) >= share * total or longest >= run):
                 out.append((item_id, len(good), total, differ))
         return sorted(out)
 
@@ -223,6 +237,7 @@ def contaminated(
     *,
     window: int = WINDOW,
     share: float = SHARE,
+    run: int = RUN,
     windows_at_once: int = WINDOWS_AT_ONCE,
 ) -> DataFrame:
     """Pairs of documents and benchmark items they hold: doc_id, item_id, n_windows, n_item_windows,
@@ -232,8 +247,9 @@ def contaminated(
     slots, other words are in lower case without marks at their ends. Windows of ``window``
     template words are joined by hash. For each alignment that windows propose, slots must agree
     one to one (equal values in the item stand where equal values stand in the document), else
-    its windows do not count. A pair is returned when windows that count are at least ``share``
-    of the item's. ``reparameterised`` tells that a slot has another value.
+    only its windows without any changed value count. A pair is returned when windows that count
+    are at least ``share`` of the item's, or when ``run`` words of the item stand in a row with
+    the same values. ``reparameterised`` tells that a slot has another value.
 
     The benchmark is the query set: it is read in blocks of at most about ``windows_at_once``
     windows, each broadcast and looked up in one pass over the documents. Null or empty texts
@@ -249,17 +265,17 @@ def contaminated(
     rows = docs.select("doc_id", "text")
 
     def look_up(load):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index, canonical = load()
             for part in slices(batches):
                 out = []
                 for doc_id, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
                     if text:
-                        out += [(doc_id, *m) for m in index.matches(text, canonical, share)]
+                        out += [(doc_id, *m) for m in index.matches(text, canonical, share, run)]
                 if out:
                     yield record_batch(schema, list(zip(*out, strict=True)))
 
-        return run
+        return find
 
     found = None
     for load in _blocks(docs, benchmark, window, windows_at_once):
@@ -274,20 +290,21 @@ def clean(
     *,
     window: int = WINDOW,
     share: float = SHARE,
+    run: int = RUN,
     windows_at_once: int = WINDOWS_AT_ONCE,
 ) -> DataFrame:
     """The rows of ``docs``, with all columns, that :func:`contaminated` finds no item in."""
     at = docs.columns.index("text")
 
     def look_up(load):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index, canonical = load()
             for part in slices(batches):
                 texts = part.column(at).to_pylist()
-                kept = [not (x and index.matches(x, canonical, share)) for x in texts]
+                kept = [not (x and index.matches(x, canonical, share, run)) for x in texts]
                 yield part.filter(pa.array(kept, pa.bool_()))
 
-        return run
+        return find
 
     for load in _blocks(docs, benchmark, window, windows_at_once):
         docs = docs.mapInArrow(look_up(load), docs.schema)
