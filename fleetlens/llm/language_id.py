@@ -15,6 +15,8 @@ from fleetlens.operators.ranking import top_per_group
 
 #: Bounds of the sample a dictionary is made of, per language: documents, characters of each.
 SAMPLE_DOCS, SAMPLE_CHARS = 300, 1_000
+#: Places of a longer text that its characters are taken from, evenly from beginning to end.
+PIECES = 10
 #: Bytes of a text that are compressed at a time, so that a long text cannot teach itself.
 BLOCK_BYTES = 16_384
 LEVEL = 5
@@ -30,6 +32,17 @@ def letters(text: str) -> str:
     return OTHER.sub(" ", text.lower())
 
 
+def pieces(chars: int) -> Column:
+    """The whole text, or ``PIECES`` parts from all over it that make ``chars`` characters."""
+    text, size = F.col("text"), max(1, chars // PIECES)
+    last = F.length(text) - size
+    some = [
+        F.substring(text, (1 + F.floor(last * i / (PIECES - 1))).cast("int"), F.lit(size))
+        for i in range(PIECES)
+    ]
+    return F.when(F.length(text) <= chars, text).otherwise(F.concat_ws(" ", *some))
+
+
 def learn_dictionaries(
     docs: DataFrame,
     learn: Column,
@@ -39,25 +52,23 @@ def learn_dictionaries(
 ) -> dict[str, bytes]:
     """Raw-content dictionaries by language from the rows (doc_id, text, lang) that ``learn`` names.
 
-    A bounded sample: per language the ``sample_docs`` rows first by a hash of the text, equal
-    texts once, and of each the first ``sample_chars`` characters, letters only. Rows without text
-    or language teach nothing. Spark cuts each task to the sample before the shuffle, and the
-    driver gets the bounded sample only. Languages come in the order of their rows, most first,
+    A bounded sample: per language the ``sample_docs`` distinct texts first by hash, and of each
+    ``sample_chars`` characters from all over it, letters only. Rows without text or language
+    teach nothing. Hashes are made distinct and chosen without the texts, and the driver gets
+    the bounded sample only. Languages come in the order of their rows, most first,
     which decides ties. A table without such rows gives no dictionary.
     """
     rows = docs.filter(learn & F.col("lang").isNotNull() & (F.trim("text") != "")).select(
-        F.col("lang"),
-        F.xxhash64("text").alias("_hash"),
-        F.substring("text", 1, sample_chars).alias("_text"),
+        "lang", F.xxhash64("text").alias("_hash"), "text"
     )
     size = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    order = [F.col("_hash"), F.col("_text")]
-    sample = top_per_group(rows, ["lang"], order, sample_docs).collect()
+    hashes = rows.select("lang", "_hash").distinct()
+    first = F.broadcast(top_per_group(hashes, ["lang"], [F.col("_hash")], sample_docs))
+    chosen = rows.join(first, ["lang", "_hash"])
+    sample = chosen.select("lang", "_hash", pieces(sample_chars).alias("_text")).distinct().collect()
     found: dict[str, list[str]] = {}
     for row in sorted(sample, key=lambda r: (r["_hash"], r["_text"])):
-        texts = found.setdefault(row["lang"], [])
-        if row["_text"] not in texts[-1:]:
-            texts.append(row["_text"])
+        found.setdefault(row["lang"], []).append(row["_text"])
     order = sorted(found, key=lambda k: (-size[k], k))
     return {k: " ".join(map(letters, found[k])).encode("utf-8", "replace") for k in order}
 
