@@ -5,6 +5,7 @@ import random
 import re
 import struct
 import zlib
+from collections import Counter
 from itertools import product
 
 import numpy as np
@@ -418,6 +419,28 @@ def nearest_is_exact(model, rng):
         assert [i for _, i in model.nearest(terms, weights, 5)] == order
 
 
+def test_toxicity_vectors_hold_all_terms(spark):
+    rng = random.Random(12)
+    rows = [(i, " ".join(f"u{rng.randrange(60)}" for _ in range(12)) + (" vilest" if i % 4 == 0 else ""))
+            for i in range(80)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(80)], "doc_id long, toxic int")
+    model = toxicity.learn(table, marks, F.col("doc_id") < 60)
+    counts = {i: Counter(t for w in text.split() for t in toxicity.word_terms(w)) for i, text in rows}
+    examples = {t for i in range(60) for t in counts[i]}
+    assert set(model.terms.tolist()) == set(map(toxicity.term_hash, examples))  # clean words too
+    df = Counter(t for c in counts.values() for t in c)
+    vectors = {}
+    for i, c in counts.items():
+        v = {t: (np.log(81 / (1 + df[t])) + 1) * (1 + np.log(n)) for t, n in c.items() if t in examples}
+        norm = np.sqrt(sum(x * x for x in v.values()))
+        vectors[i] = {t: x / norm for t, x in v.items()}
+    for r in toxicity.score(table, model).collect():
+        mine = vectors[r["doc_id"]]
+        cosine = sorted((sum(x * vectors[i].get(t, 0) for t, x in mine.items()) for i in range(60)), reverse=True)
+        assert np.allclose([e["similarity"] for e in r["evidence"]], cosine[:3])
+
+
 def test_decontamination(spark, docs):
     item = "A train leaves Rome at 45 miles per hour and covers 90 km while Anna walks 45 steps to Rome"
     other = "Which of these four colours is made when blue paint is mixed with yellow paint in equal parts"
