@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fleetlens.llm import (
-    chat, decontamination, jaccard, language_id, packing, quality, secrets,
+    chat, conversation_repair, decontamination, jaccard, language_id, packing, quality, secrets,
     substring_dedup, token_files, toxicity,
 )
 from fleetlens.llm.common import bucket, table
@@ -104,6 +104,11 @@ def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", digest)
 
 
+def op13_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    turns = table(spark, folder, "conversations")
+    return conversation_repair.report(conversation_repair.damaged(turns), turns, "copies")
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_language_id": op2_language_id,
@@ -115,6 +120,7 @@ QUERIES = {
     "op8_secret_scan": op8_secret_scan,
     "op9_chat_format": op9_chat_format,
     "op10_substring_dedup": op10_substring_dedup,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 _WORDS = r"""
     SELECT doc_id, list_filter(regexp_split_to_array(coalesce({text}, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
