@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fleetlens.llm import (
-    chat, conversation_repair, decontamination, jaccard, language_id, packing, quality, secrets,
-    substring_dedup, token_files, toxicity,
+    alignment, chat, conversation_repair, decontamination, jaccard, language_id, license_scan, packing, quality,
+    secrets, substring_dedup, token_files, toxicity,
 )
 from fleetlens.llm.common import bucket, table
 from fleetlens.session import shared_folder
@@ -104,6 +104,17 @@ def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", digest)
 
 
+def op11_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    found = license_scan.scan(table(spark, folder, "documents"))
+    return found.drop("matches")
+
+
+def op12_tokenizer_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    paths = [tokenizer_path(x) for x in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
+    return alignment.alignment(docs, *paths)
+
+
 def op13_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
     turns = table(spark, folder, "conversations")
     return conversation_repair.report(conversation_repair.damaged(turns), turns, "copies")
@@ -120,6 +131,8 @@ QUERIES = {
     "op8_secret_scan": op8_secret_scan,
     "op9_chat_format": op9_chat_format,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_license_scan": op11_license_scan,
+    "op12_tokenizer_alignment": op12_tokenizer_alignment,
     "op13_conversation_repair": op13_conversation_repair,
 }
 _WORDS = r"""
@@ -160,4 +173,5 @@ SQL: dict[str, str] = {
         SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed,
           sha256(coalesce(text, '')) AS kept_sha256
         FROM words w LEFT JOIN kept USING (doc_id)""",
+    "op11_license_scan": license_scan.sql(),
 }
