@@ -4,14 +4,13 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import groupby
 from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from fleetlens.llm.common import SPACES, record_batch, slices, stored
+from fleetlens.llm.common import SPACES, record_batch, slices, stored, worker_state
 
 #: Costs of an edit; a truncated message that stays costs one more.
 RELABEL, DELETE, INSERT, TRUNCATED = 2, 3, 2, 1
@@ -34,6 +33,7 @@ LEGAL_PAIRS = {"su", "ua", "au"}
 ROWS = 4096
 #: Steps of runs of up to 2**CACHED_BITS messages are remembered.
 CACHED_BITS = 12
+REMEMBERED = 1 << 13
 
 Costs = tuple[int, ...]
 Matrix = tuple[Costs, ...]
@@ -107,92 +107,115 @@ IDENTITY: Matrix = tuple(
 )
 
 
-@lru_cache(maxsize=None)
-def power(symbol: int, k: int) -> Matrix:
-    """Least costs from state to state over 2**k equal messages, insertions before each included."""
-    if k:
-        half = power(symbol, k - 1)
-        return min_plus(half, half)
-    costs = [[FOREVER] * N_STATES for _ in range(N_STATES)]
-    for state in range(N_STATES):
-        for _, _, cost, to in edits(symbol, state):
-            costs[state][to] = min(costs[state][to], cost)
-    return min_plus(INSERTIONS, tuple(map(tuple, costs)))
-
-
 def bits(length: int) -> list[int]:
     """Powers of two that make up ``length``, largest first."""
     return [k for k in range(length.bit_length() - 1, -1, -1) if length >> k & 1]
 
 
-def normal(costs: Costs) -> tuple[Costs, int]:
+def normal(costs: Costs) -> Costs:
+    """Only differences of costs matter."""
     least = min(costs)
-    return tuple(min(c - least, FOREVER) for c in costs), least
-
-
-@lru_cache(maxsize=1 << 14)
-def before_run(symbol: int, length: int, after: Costs) -> Costs:
-    """Least costs before a run of equal messages; of ``after`` only differences matter."""
-    for k in reversed(bits(length)):
-        after = applied(power(symbol, k), after)
-    return normal(after)[0]
-
-
-def run_matrix(runs: list[tuple[int, int]]) -> Matrix:
-    total = IDENTITY
-    for symbol, length in runs:
-        for k in bits(length):
-            total = min_plus(total, power(symbol, k))
-    return total
-
-
-def unrolled(symbol: int, k: int, state: int, after: Costs) -> tuple[str, int]:
-    """Codes of the steps over 2**k equal messages from ``state``, and the state they lead to.
-
-    ``after`` are the least costs from each state after them. Of the cheapest letters the least in
-    ASCII order come out: at each place the least letter that can still be completed at least cost.
-    """
-    if k:
-        half = unrolled_cached if k <= CACHED_BITS else unrolled
-        first, middle = half(symbol, k - 1, state, normal(applied(power(symbol, k - 1), after))[0])
-        second, last = half(symbol, k - 1, middle, after)
-        return first + second, last
-    best, before = applied(power(symbol, 0), after), ""
-    while True:
-        choices = edits(symbol, state)
-        # D comes before I, and I before K and R.
-        for letter, initial, cost, to in choices:
-            if letter != "D" and best[state] == INSERT + best[inserted(state)[1]]:
-                initial, state = inserted(state)
-                before += initial
-                break
-            if best[state] == cost + after[to]:
-                return CODES[Step(before, letter, initial)], to
+    return tuple(c - least for c in costs)
+
+
+class Runs:
+    """Ways through runs of equal messages; what was found stays remembered, up to a number of entries."""
+
+    def __init__(self):
+        self.powers: dict[tuple[int, int], Matrix] = {}
+        self.costs: dict[tuple[int, int, Costs], Costs] = {}
+        self.steps: dict[tuple[int, int, int, Costs], tuple[str, int]] = {}
+
+    def power(self, symbol: int, k: int) -> Matrix:
+        """Least costs from state to state over 2**k equal messages, insertions before each included."""
+        key = symbol, k
+        if key not in self.powers:
+            if k:
+                half = self.power(symbol, k - 1)
+                self.powers[key] = min_plus(half, half)
+            else:
+                costs = [[FOREVER] * N_STATES for _ in range(N_STATES)]
+                for state in range(N_STATES):
+                    for _, _, cost, to in edits(symbol, state):
+                        costs[state][to] = min(costs[state][to], cost)
+                self.powers[key] = min_plus(INSERTIONS, tuple(map(tuple, costs)))
+        return self.powers[key]
+
+    def before(self, symbol: int, length: int, after: Costs) -> Costs:
+        """Least costs before a run, from those after it."""
+        key = symbol, length, after
+        if key not in self.costs:
+            if len(self.costs) >= REMEMBERED:
+                self.costs.clear()
+            for k in reversed(bits(length)):
+                after = normal(applied(self.power(symbol, k), after))
+            self.costs[key] = after
+        return self.costs[key]
+
+    def matrix(self, runs: list[tuple[int, int]]) -> Matrix:
+        total = IDENTITY
+        for symbol, length in runs:
+            for k in bits(length):
+                total = min_plus(total, self.power(symbol, k))
+        return total
+
+    def unrolled(self, symbol: int, k: int, state: int, after: Costs) -> tuple[str, int]:
+        """Codes of the steps over 2**k equal messages from ``state``, and the state they lead to.
+
+        ``after`` are the least costs from each state after them. Of the cheapest letters the least
+        in ASCII order come out: at each place the least that can still be completed at least cost.
+        """
+        key = symbol, k, state, after
+        if key in self.steps:
+            return self.steps[key]
+        if k:
+            middle = normal(applied(self.power(symbol, k - 1), after))
+            first, between = self.unrolled(symbol, k - 1, state, middle)
+            second, last = self.unrolled(symbol, k - 1, between, after)
+            found = first + second, last
         else:
+            found = self.one(symbol, state, after)
+        if k <= CACHED_BITS:
+            if len(self.steps) >= REMEMBERED:
+                self.steps.clear()
+            self.steps[key] = found
+        return found
+
+    def one(self, symbol: int, state: int, after: Costs) -> tuple[str, int]:
+        best, before = applied(self.power(symbol, 0), after), ""
+        while True:
+            # D comes before I, and I before K and R.
+            for letter, initial, cost, to in edits(symbol, state):
+                if letter != "D" and best[state] == INSERT + best[inserted(state)[1]]:
+                    break
+                if best[state] == cost + after[to]:
+                    return CODES[Step(before, letter, initial)], to
             initial, state = inserted(state)
             before += initial
 
 
-unrolled_cached = lru_cache(maxsize=1 << 13)(unrolled)
+def runs_state() -> Runs:
+    return worker_state("conversation-runs", Runs)
+
+
+def run_matrix(runs: list[tuple[int, int]]) -> Matrix:
+    return runs_state().matrix(runs)
 
 
 def unroll(runs: list[tuple[int, int]], state: int, after: Costs) -> tuple[str, int]:
     """Codes of the steps of a sequence of runs from ``state``, and the state they lead to."""
-    ends = [normal(after)[0]]
+    known = runs_state()
+    ends = [normal(after)]
     for symbol, length in reversed(runs):
-        ends.append(before_run(symbol, length, ends[-1]))
+        ends.append(known.before(symbol, length, ends[-1]))
     ends.pop()
     out = []
     for symbol, length in runs:
-        rest, parts = ends.pop(), bits(length)
-        vectors = [rest]
-        for k in reversed(parts):
-            vectors.append(normal(applied(power(symbol, k), vectors[-1]))[0])
-        vectors.pop()
+        vectors, parts = [ends.pop()], bits(length)
+        for k in reversed(parts[1:]):
+            vectors.append(normal(applied(known.power(symbol, k), vectors[-1])))
         for k in parts:
-            codes, state = (unrolled_cached if k < CACHED_BITS else unrolled)(
-                symbol, k, state, vectors.pop()
-            )
+            codes, state = known.unrolled(symbol, k, state, vectors.pop())
             out.append(codes)
     return "".join(out), state
 
@@ -381,7 +404,7 @@ def _costs_after(borders: DataFrame) -> DataFrame:
             out.append((r["conv_id"], r["part"], after, previous, n == 0, n == len(some) - 1))
             flat = r["matrix"]
             matrix = tuple(tuple(flat[i : i + N_STATES]) for i in range(0, len(flat), N_STATES))
-            after = normal(applied(matrix, after))[0]
+            after = normal(applied(matrix, after))
         return pa.Table.from_batches([record_batch(_AFTER, list(zip(*out, strict=True)))])
 
     light = borders.select("conv_id", "part", "matrix", F.expr("initials[size(initials) - 1]").alias("last_initial"))
