@@ -1,4 +1,4 @@
-"""Top rows per group, and consecutive numbers without a single-task sort."""
+"""Top rows per group, consecutive numbers and total orders without a single-task sort."""
 
 from __future__ import annotations
 
@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from fleetlens.session import written
+
 BLOCK_BITS = 21
 
 
@@ -47,3 +49,41 @@ def consecutive(df: DataFrame, seq: str, number: str) -> DataFrame:
         .withColumn(number, F.col("_start") + in_block)
         .drop("_block", "_start")
     )
+
+
+def total_order(df: DataFrame, group: Sequence[str], order: Sequence[Column], number: str) -> DataFrame:
+    """Rows with their place 1, 2, 3, ... in the order of several keys within each group.
+
+    Rows are dealt by ranges of (group, order), sorted in their part and kept as a table. A row's
+    place is that in its part, plus the rows of its group in the parts before, which takes one row per
+    part and group. No task sorts more than a part, also if one group has most of all rows. Ties
+    are broken by a hash of the row, so that rows with equal keys spread as well. An empty ``group``
+    is one order of all rows.
+    """
+    hashed = F.xxhash64(*df.columns)
+    keys = [*[F.col(c).asc_nulls_first() for c in group], *order, hashed.asc()]
+    rows = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    kept = written(rows.withColumn("_id", F.monotonically_increasing_id()), "ordered")
+    part = F.shiftright("_id", 33)
+    counts = kept.groupBy(*group, part.alias("_part")).agg(
+        F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n")
+    )
+    before = Window.partitionBy(*(group or [F.lit(0)])).orderBy("_part")
+    before = before.rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(
+        *[F.col(c).alias(f"_{c}") for c in group],
+        "_part",
+        (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first") + 1).alias("_shift"),
+    )
+    same = part == F.col("_part")
+    for c in group:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    found = kept.join(starts, same).withColumn(number, F.col("_id") + F.col("_shift"))
+    return found.select(*df.columns, number)
+
+
+def write_in_order(numbered: DataFrame, group: str, number: str, path: str) -> None:
+    """Writes a folder per ``group`` whose files, by name, and their rows are in the order of ``number``."""
+    keys = [F.col(group).asc_nulls_first(), F.col(number).asc()]
+    rows = numbered.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    rows.write.partitionBy(group).parquet(path)

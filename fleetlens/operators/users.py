@@ -92,6 +92,40 @@ def user_state(commands: DataFrame, token: str) -> DataFrame:
     )
 
 
+def state_changes(commands: DataFrame, users: DataFrame, token: str, n_created: int) -> DataFrame:
+    """What a batch of commands changes: user_id, username, password, deleted.
+
+    ``users`` are those alive before it (user_id, username, password), at least the ones that the
+    batch names; ``n_created`` is the number of creates applied so far. All commands of the batch come
+    after all of the batches before it. Users that stay as they are have no row.
+    """
+    number = F.col("user_id") + F.lit(n_created)
+    created = _created(commands, token).withColumn("user_id", number)
+    always = F.lit(-(1 << 63)).cast("long").alias("created")
+    changes = _changes(commands, created.unionByName(users.select("user_id", always)), token)
+    first = created.join(_names(commands, token), "created").drop("created")
+    known = first.withColumn("_is_new", F.lit(True)).unionByName(
+        users.select("user_id", "username", "password", F.lit(False).alias("_is_new"))
+    )
+    changed = F.col("_is_new") | F.col("deleted").isNotNull() | F.col("new").isNotNull()
+    new_digest = digest(F.col("new.username"), F.col("new.password"))
+    return known.join(changes, "user_id", "left").filter(changed).select(
+        "user_id",
+        F.coalesce("new.username", "username").alias("username"),
+        F.coalesce(new_digest, "password").alias("password"),
+        F.col("deleted").isNotNull().alias("deleted"),
+    )
+
+
+def named_ids(commands: DataFrame) -> DataFrame:
+    """Ids that updates and deletes of a batch name."""
+    return commands.filter("user_id is not null").select("user_id").distinct()
+
+
+def applied_creates(commands: DataFrame, token: str) -> int:
+    return _creates(commands, token).count()
+
+
 def user_lookup(users: DataFrame, keys: DataFrame | None = None) -> DataFrame:
     """Users asked for by ``user_id``, with an error for ids nobody has; without keys all users.
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from fleetlens.functions import fixed
+from fleetlens.sources.json_arrays import read_json_arrays
 
 CSV_OPTIONS = {
     "header": "true",
@@ -39,14 +40,12 @@ def read_records(
 ) -> DataFrame:
     """Records as text columns in the declared order; missing keys are empty, others an error.
 
-    With ``array_per_file`` every file is one JSON array, read whole by one task; it has to be
-    far smaller than 2 GB. A large export should be lines of objects (the default), which Spark
-    reads in parts of a file. Booleans, numbers and lists become their JSON text.
+    With ``array_per_file`` every file is one JSON array, else lines of objects (the default). Either
+    form is read by as many tasks as a file has splits. Booleans, numbers and lists become their
+    JSON text.
     """
     if array_per_file:
-        whole = spark.read.text(path, wholetext=True)
-        record = F.explode(F.from_json("value", "array<string>", {"mode": "FAILFAST"}))
-        lines = whole.select(record.alias("value"))
+        lines = read_json_arrays(spark, path)
     else:
         lines = spark.read.text(path).filter(F.trim("value") != "")
     return lines.select(*_strict_fields(F.col("value"), columns))
