@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +18,8 @@ NGRAM, PERCENT = 3, 90
 #: Boundaries between light and heavy sets whose cost is compared, and the cost of a pair of rows
 #: in one list in units of the cost of sending a row.
 BOUNDARIES, PAIR_COST = (0, 9, 18, 28), 0.5
+#: Subsets of a light set; a boundary is not tried where a set of its size would have more.
+MOST_SUBSETS = 500
 #: Shingles that one task compares at most, about; a larger family is compared block by block.
 FAMILY_SHINGLES = 2_000_000
 MIX = np.array([xxhash.xxh64_intdigest(f"mix{i}") | 1 for i in range(64)], dtype=np.uint64)
@@ -130,6 +133,17 @@ def light_keys(shingles: np.ndarray, boundary: int, percent: int) -> list[int]:
     return sorted(keys)
 
 
+def n_subsets(size: int, percent: int) -> int:
+    """How many subsets a light set of this size has, for partners up to its own size."""
+    sizes = {-(-percent * (size + t) // (100 + percent)) for t in partners(size, percent) if 1 <= t <= size}
+    return sum(comb(size, shared) for shared in sizes if shared <= size)
+
+
+def boundaries(percent: int) -> tuple[int, ...]:
+    """Boundaries to compare: the lower the similarity, the fewer sizes have few subsets."""
+    return tuple(b for b in BOUNDARIES if n_subsets(b, percent) <= MOST_SUBSETS)
+
+
 def list_keys(shingles: np.ndarray, boundary: int, percent: int) -> list[int]:
     """Keys under which a set meets every set that it links to."""
     size = len(shingles)
@@ -185,10 +199,11 @@ def link_roots(sets: list[np.ndarray], percent: int) -> list[int]:
 
 
 def _classes(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, n_shingles and set_id (128-bit hash of the set; null without set or id) per row."""
+    """doc_id, n_shingles, set_id (128-bit hash of the set; null without set or id), text_hash per row."""
     schema = pa.schema(
-        [("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_id", pa.binary())]
-    )
+        [("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_id", pa.binary()),
+         ("text_hash", pa.int64())]
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = worker_state("words", WordHashes)
@@ -198,10 +213,10 @@ def _classes(docs: DataFrame, n: int) -> DataFrame:
                 xxhash.xxh3_128_digest(x.tobytes()) if len(x) and doc_id is not None else None
                 for x, doc_id in zip(sets, part.column(0).to_pylist(), strict=True)
             ]
-            yield record_batch(schema, [part.column(0), [len(x) for x in sets], ids])
+            yield record_batch(schema, [part.column(0), [len(x) for x in sets], ids, part.column(2)])
 
-    rows = docs.select("doc_id", "text")
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, set_id binary")
+    rows = docs.select("doc_id", "text", F.xxhash64("text"))
+    return rows.mapInArrow(run, "doc_id long, n_shingles long, set_id binary, text_hash long")
 
 
 def node(set_id: bytes) -> int:
@@ -235,20 +250,23 @@ def _keys(docs: DataFrame, n: int, boundaries, percent: int, most: int | None =
 
 
 def choose_boundary(short: DataFrame, n: int, percent: int) -> int:
-    """Boundary of least cost among ``BOUNDARIES``, from the keys of ``short`` documents.
+    """Boundary of least cost among :func:`boundaries`, from the keys of ``short`` documents.
 
     The boundary changes only what sets up to a little over the largest one emit. Its cost is
     the number of rows sent plus ``PAIR_COST`` for each pair of rows that meet in a list.
     """
-    most = interval(max(BOUNDARIES) + 1, max(BOUNDARIES), percent)[2]
-    keys = _keys(short, n, BOUNDARIES, percent, most)
+    tried = boundaries(percent)
+    most = interval(max(tried) + 1, max(tried), percent)[2]
+    keys = _keys(short, n, tried, percent, most)
     lists = keys.groupBy("boundary", "key").agg(F.count(F.lit(1)).cast("double").alias("n"))
     cost = F.sum(F.col("n") + PAIR_COST * F.col("n") * (F.col("n") - 1) / 2)
     rows = lists.groupBy("boundary").agg(cost.alias("cost")).collect()
     return min(((r["cost"], -r["boundary"]) for r in rows), default=(0, 0))[1] * -1
 
 
-def near_components(docs: DataFrame, *, n: int = NGRAM, percent: int = PERCENT) -> DataFrame:
+def near_components(
+    docs: DataFrame, *, n: int = NGRAM, percent: int = PERCENT, text_hash: bool = False
+) -> DataFrame:
     """doc_id, n_shingles, component_id of each row of ``docs`` (doc_id, text); exact.
 
     A document's set holds the distinct runs of ``n`` words, A-Z in lower case; a shorter text is
@@ -267,14 +285,16 @@ def near_components(docs: DataFrame, *, n: int = NGRAM, percent: int = PERCENT)
     5. Components of these links are the result.
 
     Rows that share an id keep their own set; the id then stands for each of them. Rows without
-    an id link with nothing, and their component is null.
+    an id link with nothing, and their component is null. ``text_hash`` adds the column of that name,
+    xxhash64 of the text, by which rows with one id are told apart.
     """
     rows = docs.select("doc_id", "text")
     classes = stored(_classes(rows, n), "sets")
     first = classes.filter("set_id is not null").groupBy("set_id", "n_shingles").agg(
         F.min("doc_id").alias("doc_id")
     )
-    most = interval(max(BOUNDARIES) + 1, max(BOUNDARIES), percent)[2]
+    largest = max(boundaries(percent))
+    most = interval(largest + 1, largest, percent)[2]
     short = rows.filter(F.length("text") <= 64 * (most + n))
     boundary = choose_boundary(short, n, percent)
 
@@ -296,7 +316,8 @@ def near_components(docs: DataFrame, *, n: int = NGRAM, percent: int = PERCENT)
     named = named.join(least, "root").select("set_id", "component_id")
     full = classes.join(named, "set_id", "left")
     component = F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return full.select("doc_id", "n_shingles", component.alias("component_id"))
+    names = ["doc_id", "n_shingles", component.alias("component_id")]
+    return full.select(*names, *(["text_hash"] if text_hash else []))
 
 
 def _family_links(

@@ -215,11 +215,11 @@ def test_label_model_finds_accuracies():
     assert model.log_odds((0, 0, 0)) == pytest.approx(np.log(model.prior / (1 - model.prior)))
 
 
-def brute_components(rows, percent=90):
+def brute_components(rows, percent=90, n=3):
     sets = []
     for i, t in rows:
         w = WORD.findall(re.sub("[A-Z]", lambda m: m.group().lower(), t or ""))
-        runs = [tuple(w[k : k + 3]) for k in range(len(w) - 2)] if len(w) > 2 else [tuple(w)] if w else []
+        runs = [tuple(w[k : k + n]) for k in range(len(w) - n + 1)] if len(w) >= n else [tuple(w)] if w else []
         sets.append((i, frozenset(runs)))
     parent = list(range(len(sets)))
 
@@ -567,7 +567,7 @@ def test_pipeline_stages(spark):
         after = {(r["doc_id"], r["text"]) for r in kept.collect()}
         assert kept.columns == names and {i for i, _ in after} <= {i for i, _ in before}
         if name == "jaccard_join":
-            groups = brute_components(sorted(before))
+            groups = brute_components(sorted(before), 80, 5)
             assert {i for i, _ in after} == {i for i, _, c in groups if i == c}
         if name == "language_id":
             assert len(after) >= 0.95 * len(before)
