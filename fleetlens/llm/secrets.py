@@ -61,12 +61,12 @@ def learn_dictionary(docs: DataFrame, least_share: float = LEAST_SHARE) -> list[
     Each kept word takes its characters from so many texts that all of them together have at
     most the mean length of a text divided by ``least_share``, however large the table is.
     """
-    some = docs.filter(F.col("text").isNotNull()).select(F.xxhash64("text").alias("_hash"), "text")
-    some = some.groupBy("_hash").agg(F.min("text").alias("text"))
-    # The empty word, once in each text, counts the texts.
+    some = docs.filter(F.col("text").isNotNull())
+    # The empty word, once in each text, counts the texts. Copies of a text count once, by its hash.
     words = F.array_append(F.split(F.lower("text"), r"[^\p{L}]+"), "")
-    counts = some.select(F.explode(F.array_distinct(words)).alias("word"))
-    counts = counts.filter("length(word) >= 3 or word = ''").groupBy("word").count()
+    counts = some.select(F.explode(F.array_distinct(words)).alias("word"), F.xxhash64("text").alias("_hash"))
+    counts = counts.filter("length(word) >= 3 or word = ''").groupBy("word")
+    counts = counts.agg(F.count_distinct("_hash").alias("count"))
     counts = stored(counts.filter("count >= 2 or word = ''"), "words")
     total = counts.filter("word = ''").first()
     if total is None:
@@ -82,7 +82,9 @@ def _share(value: Column, pattern: str) -> Column:
 
 
 def _known(word: Column, dictionary: list[str]) -> Column:
-    return F.lower(word).isin(*dictionary) if dictionary else F.lit(False)
+    """The words go to the plan as one text, which Spark turns into one array."""
+    words = F.split(F.lit("\n".join(dictionary)), "\n")
+    return F.array_contains(words, F.lower(word)) & (word != "")
 
 
 def findings(docs: DataFrame, dictionary: list[str], path: str = "source") -> DataFrame:
