@@ -22,6 +22,8 @@ BOUNDARIES, PAIR_COST = (0, 9, 18, 28), 0.5
 MOST_SUBSETS = 500
 #: Shingles that one task compares at most, about; a larger family is compared block by block.
 FAMILY_SHINGLES = 2_000_000
+#: Sets whose copies a task leaves out.
+SEEN_SETS = 100_000
 MIX = np.array([xxhash.xxh64_intdigest(f"mix{i}") | 1 for i in range(64)], dtype=np.uint64)
 
 
@@ -249,6 +251,42 @@ def _keys(docs: DataFrame, n: int, boundaries, percent: int, most: int | None =
     return rows.mapInArrow(run, "boundary int, key long, node long")
 
 
+def _linkable(rows: DataFrame, first: DataFrame, n: int, percent: int) -> DataFrame:
+    """Those of the distinct sets ``first`` that may link: no other set has few enough of their elements.
+
+    A set links to another only if all but some of its elements are in it, so not if more than these
+    are in no other set at all. Of the elements, those with an even hash are looked at, which is
+    enough for sets that have little in common with any other, and never wrong.
+    """
+    schema = pa.schema([("element", pa.int64()), ("node", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, seen = worker_state("words", WordHashes), set()
+        for part in slices(batches, 32):
+            elements, nodes = [], []
+            for text in part.column(0).to_pylist():
+                own = shingle_set(text, n, known)
+                name = node(xxhash.xxh3_128_digest(own.tobytes()))
+                if len(own) and name not in seen:
+                    if len(seen) >= SEEN_SETS:
+                        seen.clear()
+                    seen.add(name)
+                    some = own[own & np.uint64(1) == 0].astype(np.int64)
+                    elements.append(some)
+                    nodes.append(np.full(len(some), name))
+            if elements:
+                yield record_batch(schema, [np.concatenate(elements), np.concatenate(nodes)])
+
+    found = rows.filter("doc_id is not null").select("text").mapInArrow(run, "element long, node long")
+    # Most elements are in one set only, so tasks send them as they are; copies are left out above.
+    owners = found.repartition("element").groupBy("element").agg(F.min("node").alias("node"), F.max("node").alias("_last"))
+    alone = owners.filter("node = _last").groupBy("node").agg(F.count(F.lit(1)).alias("_alone"))
+    name = F.conv(F.hex(F.substring("set_id", 1, 8)), 16, -10).cast("long")
+    every = first.withColumn("_node", name).join(alone, F.col("_node") == F.col("node"), "left")
+    spared = F.col("n_shingles") - F.ceil(F.col("n_shingles") * percent / 100)
+    return every.filter(F.coalesce("_alone", F.lit(0)) <= spared).select("doc_id").distinct()
+
+
 def choose_boundary(short: DataFrame, n: int, percent: int) -> int:
     """Boundary of least cost among :func:`boundaries`, from the keys of ``short`` documents.
 
@@ -265,7 +303,12 @@ def choose_boundary(short: DataFrame, n: int, percent: int) -> int:
 
 
 def near_components(
-    docs: DataFrame, *, n: int = NGRAM, percent: int = PERCENT, text_hash: bool = False
+    docs: DataFrame,
+    *,
+    n: int = NGRAM,
+    percent: int = PERCENT,
+    text_hash: bool = False,
+    sift: bool = False,
 ) -> DataFrame:
     """doc_id, n_shingles, component_id of each row of ``docs`` (doc_id, text); exact.
 
@@ -286,7 +329,9 @@ def near_components(
 
     Rows that share an id keep their own set; the id then stands for each of them. Rows without
     an id link with nothing, and their component is null. ``text_hash`` adds the column of that name,
-    xxhash64 of the text, by which rows with one id are told apart.
+    xxhash64 of the text, by which rows with one id are told apart. ``sift`` first counts how many
+    elements of a set no other has, and makes lists only of sets that may link: one more shuffle, worth
+    it where the similarity is so low that sets with a common passage would meet in many lists.
     """
     rows = docs.select("doc_id", "text")
     classes = stored(_classes(rows, n), "sets")
@@ -298,8 +343,12 @@ def near_components(
     short = rows.filter(F.length("text") <= 64 * (most + n))
     boundary = choose_boundary(short, n, percent)
 
+    listed = rows
+    if sift:
+        may = stored(_linkable(rows, first, n, percent), "linkable")
+        listed = rows.join(may, "doc_id", "left_semi")
     # Kept, since the lists are read twice and making them costs more than reading.
-    keys = stored(_keys(rows, n, (boundary,), percent).select("key", "node"), "lists")
+    keys = stored(_keys(listed, n, (boundary,), percent).select("key", "node"), "lists")
     hubs = keys.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("_last"))
     hubs = hubs.filter("hub != _last").drop("_last")
     meets = keys.join(hubs, "key").filter("node != hub")

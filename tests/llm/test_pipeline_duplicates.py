@@ -27,6 +27,8 @@ def test_components_at_lower_similarity(spark, n, percent):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted(map(tuple, jaccard.near_components(docs, n=n, percent=percent).collect()), key=repr)
     wanted = brute_components(rows, percent, n)
+    sifted = jaccard.near_components(docs, n=n, percent=percent, sift=True).collect()
+    assert sorted(map(tuple, sifted), key=repr) == wanted
     assert got == wanted and any(i != c for i, _, c in wanted)
 
 
