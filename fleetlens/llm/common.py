@@ -79,11 +79,19 @@ def text_slices(
             start = end
 
 
+#: States that an operator uses at the same time, at most.
+STATES = 2
+
+
 def worker_state(key: Any, make: Callable[[], Any]) -> Any:
-    """Something costly to make, kept as long as the Python worker lives (not pickled)."""
+    """Something costly to make, kept by the Python worker (not pickled) while it is in use.
+
+    Workers go on to other jobs, so only the last ``STATES`` that were asked for are kept.
+    """
     kept = sys.__dict__.setdefault("_fleetlens_llm_state", {})
-    if key not in kept:
-        kept[key] = make()
+    kept[key] = kept.pop(key) if key in kept else make()
+    while len(kept) > STATES:
+        del kept[next(iter(kept))]
     return kept[key]
 
 
