@@ -95,6 +95,11 @@ def worker_state(key: Any, make: Callable[[], Any]) -> Any:
     return kept[key]
 
 
+def drop_states() -> None:
+    """Gives up what :func:`worker_state` kept, in a job that needs none of it."""
+    sys.__dict__.pop("_fleetlens_llm_state", None)
+
+
 def record_batch(schema: pa.Schema, columns: list) -> pa.RecordBatch:
     arrays = [pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)]
     return pa.RecordBatch.from_arrays(arrays, schema=schema)

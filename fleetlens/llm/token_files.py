@@ -25,7 +25,7 @@ import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from fleetlens.llm.common import record_batch, slices, text_slices
+from fleetlens.llm.common import drop_states, record_batch, slices, text_slices
 from fleetlens.llm.encoding import ROWS_ENCODED, encoder
 
 MASK_DELTA = 0xA282EAD8
@@ -168,6 +168,7 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
     )
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_states()
         fs, root = open_folder(folder)
         for batch in batches:
             for row in batch.to_pylist():
