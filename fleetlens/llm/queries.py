@@ -34,7 +34,7 @@ def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     model = toxicity.learn(docs, labels, bucket("doc_id", 3) != 1)
     scored = toxicity.score(docs, model)
     predicted = (F.col("score") >= TOXIC_SCORE).cast("int").alias("predicted")
-    return scored.select("doc_id", held_out(3, 1), "score", predicted, "evidence")
+    return scored.select("doc_id", held_out(3, 1), "score", predicted, "evidence", "passages")
 
 
 def learned_language(docs: DataFrame):

@@ -1,9 +1,9 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Texts are compared by windows of ``WINDOW`` words, since a few words among hundreds hardly change
-the cosine of a whole text. Every word of a text is weighed by the most that one of its terms speaks
-for toxic labels; the ``WINDOWS`` heaviest windows without a common word are looked up, and their
-votes are averaged. A text of at most ``WINDOW`` words is one window.
+A text is one query with all its words, wherever they stand, and an example is the whole text of a
+labelled row. A few words among hundreds hardly change a plain cosine, so in texts of over ``WINDOW``
+words a term that speaks for toxic labels weighs more, by the root of the number of words
+(:func:`stretch`); its share of the vector then does not fade in long texts.
 """
 
 from __future__ import annotations
@@ -15,28 +15,37 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import chain, islice
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from fleetlens.llm.common import record_batch, slices, stored, worker_state
+from fleetlens.llm.common import ROWS_AT_ONCE, record_batch, slices, stored, text_slices, worker_state
 from fleetlens.operators.ranking import top_per_group
 
 #: Bounds of the sample of labelled rows, per class; neighbours that vote.
 SAMPLE_TOXIC, SAMPLE_CLEAN = 1_000, 2_000
-NEIGHBOURS, BLOCK = 25, 64
+NEIGHBOURS, BLOCK = 25, 256
 #: Blocks that a search opens at first; each next step opens four times as many.
-OPEN = 16
+OPEN = 4
+#: Terms with the longest lists, whose weights are a matrix; the others are lists in blocks.
+HEAD = 256
+#: Terms of all examples together; of a sample with more, the longest texts are no examples.
+MOST_POSTINGS = 4_000_000
 #: Frequent terms whose presence orders the examples, so that like ones share blocks.
 ORDER_TERMS = 24
 PREFIXES = range(4, 9)
 #: Vote of the base rate, in neighbours of similarity 1.
 PRIOR_VOTE = 0.01
-#: Words of a window, windows of a text that are looked up.
-WINDOW, WINDOWS = 16, 3
+#: Words of a text that is compared plainly, and how fast telling terms gain in longer ones.
+WINDOW, STRETCH = 16, 0.5
+#: Passages of ``WINDOW`` words shown of a text, and the score from which on they are.
+WINDOWS, SHOWN = 3, 0.5
+#: Bytes of text that are worked on at a time.
+TEXT_BYTES = 1 << 20
 #: Lots of labelled rows from which the sample is chosen.
 DEALT = 16
 #: Standard errors a term's log odds lose, and terms kept whose rest is above 0 (the greatest).
@@ -82,6 +91,11 @@ def word_hashes(word: str) -> list[int]:
     return [term_hash(core), *[prefix_hash(core[:n]) for n in range(PREFIXES[0], longest + 1)]]
 
 
+def stretch(words: np.ndarray | int) -> np.ndarray:
+    """What a telling term gains, per unit that it speaks for toxic, in a text of so many words."""
+    return STRETCH * np.maximum(np.sqrt(np.maximum(words, 1) / WINDOW) - 1, 0)
+
+
 def telling_terms(sample: DataFrame, sizes: dict[int, int]) -> dict[str, float]:
     """The terms that speak for toxic (``abc-`` is a beginning), and how much each does.
 
@@ -147,10 +161,9 @@ def document_counts(docs: DataFrame, terms: np.ndarray) -> tuple[int, np.ndarray
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = TermFinder(shared.value)
         total = np.zeros(size + 1, np.int64)
-        for part in slices(batches):
-            for text in part.column(0).to_pylist():
-                total[-1] += 1
-                total[finder(text)[0]] += 1
+        for part in text_slices(batches, 0, ROWS_AT_ONCE, TEXT_BYTES):
+            total[-1] += part.num_rows
+            np.add.at(total, finder.batch(part.column(0))[0], 1)
         at = np.flatnonzero(total)
         yield record_batch(schema, [at, total[at]])
 
@@ -163,7 +176,7 @@ def document_counts(docs: DataFrame, terms: np.ndarray) -> tuple[int, np.ndarray
 
 
 class TermFinder:
-    """Terms of words that the examples have, and the windows of a text that say most.
+    """Terms of words that the examples have, and the passages of a text that say most.
 
     ``terms`` (sorted hashes) hold every beginning of a word that they hold, so a word's search ends at
     the first beginning they lack. Words seen before are remembered up to a number of bytes.
@@ -173,6 +186,7 @@ class TermFinder:
 
     def __init__(self, terms: np.ndarray, telling: dict[str, float] | None = None):
         self.terms, self.weight = terms, Weights(telling or {})
+        self.numbers = dict(zip(terms.tolist(), range(len(terms)), strict=True))
         self.known, self.marks, self.starts, self.held = {}, {}, {}, 0
 
     def room(self, new: list[str]) -> None:
@@ -186,8 +200,7 @@ class TermFinder:
             self.held = 0
 
     def find(self, term: int) -> int:
-        at = int(self.terms.searchsorted(term))
-        return at if at < len(self.terms) and self.terms[at] == term else -1
+        return self.numbers.get(term, -1)
 
     def learn(self, words: list[str]) -> None:
         starts, first, last = self.starts, PREFIXES[0], PREFIXES[-1]
@@ -217,8 +230,7 @@ class TermFinder:
     def windows(self, text: str) -> list[tuple[list[str], bool]]:
         """The heaviest windows, heaviest first; ties to the longer words, then to the first.
 
-        With each, whether it is looked up: the first, and those with a word that speaks for toxic. The
-        others vote as the base rate, but are examples.
+        With each, whether it is the first or has a word that speaks for toxic.
         """
         words = text.split()
         if len(words) <= WINDOW:
@@ -256,6 +268,40 @@ class TermFinder:
         return terms, np.bincount(place, times, minlength=len(terms)).astype(np.int64)
 
 
+    def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of every text (null: empty) all terms, ascending, and how often each is there.
+
+        Both one text after another, then the numbers of terms and of words of each text.
+        """
+        self.age()
+        lists = pc.utf8_split_whitespace(pc.fill_null(texts, ""))
+        size = np.diff(lists.offsets.to_numpy())
+        encoded = lists.flatten().dictionary_encode()
+        words = encoded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        # A text's place in the batch and a word's number are one key; then the same with its terms.
+        key = np.repeat(np.arange(len(size)), size) * len(words) + encoded.indices.to_numpy()
+        key, times = np.unique(key, return_counts=True)
+        owner, word = np.divmod(key, max(1, len(words)))
+        filled = np.fromiter(map(bool, words), bool, len(words))[word]
+        n_words = np.bincount(owner, times * filled, minlength=len(size)).astype(np.int64)
+
+        known = self.known
+        if new := [w for w in words if w not in known]:
+            self.learn(new)
+        found = list(map(known.__getitem__, words))
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        flat = np.fromiter(chain.from_iterable(found), np.int64, int(sizes.sum()))
+        last = np.cumsum(sizes)[word]
+        each = sizes[word]
+        key = np.repeat(owner, each) * len(self.terms) + flat[spans(last - each, last)]
+        order = np.argsort(key)
+        key, times = key[order], np.repeat(times, each)[order]
+        first = np.flatnonzero(np.diff(key, prepend=-1))
+        times = np.add.reduceat(times, first) if len(first) else times
+        owner, terms = np.divmod(key[first], max(1, len(self.terms)))
+        return terms, times, np.bincount(owner, minlength=len(size)), n_words
+
+
 def spans(begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """The numbers from each begin up to its end, one range after another."""
     sizes = ends - begins
@@ -280,6 +326,8 @@ class Model:
     at: np.ndarray  # examples, ascending in each list
     times: np.ndarray  # how often the example has the term
     telling: dict[str, float]  # terms that speak for toxic, and how much
+    speaks: np.ndarray  # the same per term, 0 for the others
+    words: np.ndarray  # per example: words of the text
     slope: float = 1.0
     offset: float = 0.0
 
@@ -298,19 +346,17 @@ class Model:
         return self
 
     def loader(self):
-        """What gives a task the model, its term finder and the answers it remembers."""
+        """What gives a task the model and its term finder."""
         name, shared, slope, offset = self.name, self.shared, self.slope, self.offset
 
         def make():
             kept = Model.__new__(Model)
             kept.__dict__.update(shared.value)
-            return kept, TermFinder(kept.terms, kept.telling), {}
+            return kept, TermFinder(kept.terms, kept.telling)
 
         def load():
             state = worker_state(("toxicity", name), make)
-            if (state[0].slope, state[0].offset) != (slope, offset):
-                state[0].slope, state[0].offset = slope, offset
-                state[2].clear()
+            state[0].slope, state[0].offset = slope, offset
             return state
 
         return load
@@ -319,6 +365,9 @@ class Model:
         """Weights, and the part of each list in one block: its block, greatest weight and begin."""
         self.at = self.at.astype(np.int32)
         self.weight = np.repeat(self.idf, np.diff(self.begins)) * (1 + np.log(self.times.astype(float)))
+        spoken = np.flatnonzero(np.repeat(self.speaks, np.diff(self.begins)))
+        speaks = np.repeat(self.speaks, np.diff(self.begins))[spoken]
+        self.weight[spoken] *= 1 + stretch(self.words)[self.at[spoken]] * speaks
         square = np.bincount(self.at, self.weight * self.weight, minlength=len(self.ids))
         self.weight /= np.sqrt(square)[self.at]
         block = self.at // BLOCK
@@ -330,31 +379,72 @@ class Model:
         self.block_max = np.maximum.reduceat(self.weight, starts) if len(starts) else self.weight
         self.block_begins = np.append(starts, len(self.at))
         self.term_blocks = np.searchsorted(starts, self.begins)
+        longest = np.argsort(-np.diff(self.begins), kind="stable")[:HEAD]
+        self.row = np.full(len(self.terms), -1)
+        self.row[longest] = np.arange(len(longest))
+        self.head = np.zeros((len(longest), len(self.ids)))
+        for row, term in enumerate(longest.tolist()):
+            places = slice(self.begins[term], self.begins[term + 1])
+            self.head[row, self.at[places]] = self.weight[places]
         return self
 
-    def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    def vector(self, counts: dict[int, int], words: int = 0) -> tuple[np.ndarray, np.ndarray]:
         terms = np.array(sorted(counts), np.int64)
-        return terms, self.weights(terms, np.array([counts[t] for t in terms.tolist()], np.int64))
-
-    def weights(self, terms: np.ndarray, times: np.ndarray) -> np.ndarray:
+        times = np.array([counts[t] for t in terms.tolist()], np.int64)
+        return terms, self.weights(terms, times, np.array([len(terms)]), np.array([words]))
+
+    def weights(
+        self, terms: np.ndarray, times: np.ndarray, sizes: np.ndarray, words: np.ndarray
+    ) -> np.ndarray:
+        """Of texts one after another, with ``sizes`` terms and ``words`` words; each of norm 1."""
+        owner = np.repeat(np.arange(len(sizes)), sizes)
         weights = self.idf[terms] * (1 + np.log(times))
-        norm = math.sqrt(float(weights @ weights))
-        return weights / norm if norm else weights
+        weights *= 1 + stretch(words)[owner] * self.speaks[terms]
+        square = np.bincount(owner, weights * weights, minlength=len(sizes))
+        return weights / np.sqrt(square)[owner]
 
     def nearest(
         self, terms: np.ndarray, weights: np.ndarray, k: int = NEIGHBOURS
     ) -> list[tuple[float, int]]:
-        """The ``k`` examples of greatest cosine above 0, exactly; ties by number.
+        return self.nearest_of_each(terms, weights, np.array([len(terms)]), k)[0]
 
-        Blocks are opened in the order of the most that any of their examples could reach, some
-        at a time, and the search ends when that is less than the k-th best found.
+    def nearest_of_each(
+        self, terms: np.ndarray, weights: np.ndarray, sizes: np.ndarray, k: int = NEIGHBOURS
+    ) -> list[list[tuple[float, int]]]:
+        """Per text the ``k`` examples of greatest cosine above 0, exactly; ties by number.
+
+        What the terms with the longest lists give is one product of matrices for all texts.
         """
         if "block" not in self.__dict__:
             self.prepare()
+        row, owner = self.row[terms], np.repeat(np.arange(len(sizes)), sizes)
+        head, tail = row >= 0, np.flatnonzero(row < 0)
+        own = np.zeros((len(sizes), len(self.head)))
+        own[owner[head], row[head]] = weights[head]
+        begun = own @ self.head
+        ends = np.searchsorted(owner[tail], np.arange(len(sizes) + 1))
+        limits = zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)
+        rest, weights = terms[tail], weights[tail]
+        return [
+            self.search(rest[a:b], weights[a:b], score, k)
+            for (a, b), score in zip(limits, begun, strict=True)
+        ]
+
+    def search(
+        self, terms: np.ndarray, weights: np.ndarray, score: np.ndarray, k: int
+    ) -> list[tuple[float, int]]:
+        """:meth:`nearest` where ``score`` has what other terms give each example.
+
+        Blocks are opened in the order of the most that any of their examples could reach, some
+        at a time, and the search ends when that is less than the k-th best found.
+        """
+        if not len(score):
+            return []
         first, last = self.term_blocks[terms], self.term_blocks[terms + 1]
         parts, own = spans(first, last), np.repeat(weights, last - first)
         blocks = self.block[parts]
-        bound = np.bincount(blocks, own * self.block_max[parts])
+        bound = np.maximum.reduceat(score, np.arange(0, len(score), BLOCK))
+        bound = bound + np.bincount(blocks, own * self.block_max[parts], minlength=len(bound))
         order = np.argsort(-bound, kind="stable")
         best_at, best = np.empty(0, np.int64), np.empty(0)
         done, step = 0, OPEN
@@ -369,9 +459,13 @@ class Model:
             here = opened[blocks]
             a, b = self.block_begins[parts[here]], self.block_begins[parts[here] + 1]
             places = spans(a, b)
-            score = np.bincount(self.at[places], np.repeat(own[here], b - a) * self.weight[places])
-            found = np.flatnonzero(score > 0)
-            best_at, best = np.concatenate([best_at, found]), np.concatenate([best, score[found]])
+            found = np.repeat(own[here], b - a) * self.weight[places]
+            total = score + np.bincount(self.at[places], found, minlength=len(score))
+            at = np.flatnonzero(np.repeat(opened, BLOCK)[: len(total)] & (total > max(0.0, least - 1e-11)))
+            best_at, best = np.concatenate([best_at, at]), np.concatenate([best, total[at]])
+            if len(best) > k:
+                near = np.flatnonzero(best >= np.partition(best, len(best) - k)[len(best) - k] - 1e-11)
+                best_at, best = best_at[near], best[near]
             rank = np.lexsort((best_at, -np.round(best, 12)))[:k]
             best_at, best = best_at[rank], best[rank]
             done, step = done + step, step * 4
@@ -403,14 +497,9 @@ class Model:
         x = math.log(max(vote, 1e-6) / max(1 - vote, 1e-6))
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.slope * x + self.offset))))
 
-    def score(self, windows: list[tuple[np.ndarray, np.ndarray]]) -> tuple[float, list[tuple[float, int]]]:
-        """Score of a text by its windows' terms and counts, and all neighbours, nearest first."""
-        if not any(len(t) for t, _ in windows):
-            return self.empty_rate, []
-        found = [self.nearest(t, self.weights(t, n)) if len(t) else [] for t, n in windows]
-        vote = sum(map(self.vote, found)) / len(found)
-        best = sorted({(-round(x, 12), at): (x, at) for some in found for x, at in some}.items())
-        return self.calibrated(vote), [one for _, one in best]
+    def score(self, found: list[tuple[float, int]]) -> float:
+        """Score of a text with terms by its neighbours."""
+        return self.calibrated(self.vote(found))
 
 
 def platt(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
@@ -442,10 +531,10 @@ def learn(
 
     A bounded sample: per class the rows first by a hash of the id, ``sample_toxic`` and
     ``sample_clean`` of them, of near copies (equal least shingle hash) one; each stands for as
-    many rows as its class has for one of the sample. Examples are the heaviest windows of the
-    sample's texts; terms are all their words, toxic or clean, and their beginnings. Document
-    frequencies are counted over all of ``docs``. Votes are calibrated on the sample, each row without
-    its own label. Labels of one id that differ count as toxic when half or more are. None when
+    many rows as its class has for one of the sample. Examples are the whole texts of the sample
+    (the shortest of them that have ``MOST_POSTINGS`` terms together); terms are all their words, toxic
+    or clean, and their beginnings. Document frequencies are counted over all of ``docs``. Votes are
+    calibrated on the sample, each row without its own label. Labels of one id that differ count as toxic when half or more are. None when
     the labels hold fewer than two classes.
     """
     label = labels.filter(use & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
@@ -486,10 +575,13 @@ def _fit(docs: DataFrame, sample: DataFrame, sizes: dict) -> Model | None:
     n = {r["_label"]: r["n"] for r in distinct.groupBy("_label").agg(F.count("*").alias("n")).collect()}
     if not n.get(0) or not n.get(1):
         return None
-    unit = (sizes[0] / n[0], sizes[1] / n[1])
     telling = telling_terms(distinct, n)
-    vectors = stored(_vectors(distinct, telling), "vectors")
-    rows = vectors.toArrow()  # rows, windows and terms of a window are bounded
+    vectors = examples_that_fit(stored(_vectors(distinct), "vectors"))
+    rows = vectors.toArrow()  # rows and all their terms are bounded
+    n = Counter(rows.column("label").to_pylist())
+    if not n[0] or not n[1]:
+        return None
+    unit = (sizes[0] / n[0], sizes[1] / n[1])
     terms = np.unique(rows.column("terms").combine_chunks().values.to_numpy())
     total, with_term = document_counts(docs, terms)
     idf = np.log((1 + total) / (1 + with_term)) + 1
@@ -501,30 +593,19 @@ def _fit(docs: DataFrame, sample: DataFrame, sizes: dict) -> Model | None:
 
     def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = load()[0]
-        for part in slices(batches):
-            out = []
-            columns = [c.to_pylist() for c in part.columns[:2]]
-            for i, (doc_id, label) in enumerate(zip(*columns, strict=True)):
-                hashes, times, ends = (part.column(c)[i].values.to_numpy() for c in (2, 3, 4))
-                at = np.searchsorted(kept.terms, hashes)
-                if not len(at):
-                    continue
-                limits = zip([0, *ends.tolist()], ends.tolist(), strict=False)
-                windows = [(at[a:b], times[a:b]) for a, b in limits]
-                without: dict[int, tuple[float, float]] = {}
-                for t, c in windows:
-                    if not len(t):
-                        continue
-                    own = shared.value[vector_key(kept.terms[t], c)]
-                    no, yes = without.get(own, (0.0, 0.0))
-                    without[own] = no + (label == 0) * kept.unit[0], yes + (label == 1) * kept.unit[1]
-                k, told = NEIGHBOURS + WINDOWS, part.column(5)[i].as_py()
-                found = [
-                    kept.nearest(t, kept.weights(t, c), k) if asked and len(t) else []
-                    for (t, c), asked in zip(windows, told, strict=True)
-                ]
-                vote = sum(kept.vote(x, without) for x in found) / len(found)
-                out.append((doc_id, label, vote))
+        for part in slices(batches, 64):
+            hashes, times = (part.column(c).flatten().to_numpy() for c in (2, 3))
+            size = pc.list_value_length(part.column(2)).to_numpy()
+            at = np.searchsorted(kept.terms, hashes)
+            weights = kept.weights(at, times, size, part.column(4).to_numpy())
+            found = kept.nearest_of_each(at, weights, size, NEIGHBOURS + 1)
+            out, ends = [], np.cumsum(size)
+            for i, (doc_id, label) in enumerate(zip(*(c.to_pylist() for c in part.columns[:2]), strict=True)):
+                if size[i]:
+                    own = slice(ends[i] - size[i], ends[i])
+                    example = shared.value[vector_key(hashes[own], times[own])]
+                    no, yes = (label == k and kept.unit[k] for k in (0, 1))
+                    out.append((doc_id, label, kept.vote(found[i], {example: (no, yes)})))
             if out:
                 yield record_batch(vote_schema, list(zip(*out, strict=True)))
 
@@ -542,50 +623,54 @@ def vector_key(hashes: np.ndarray, counts: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(both.tobytes())
 
 
-def _vectors(distinct: DataFrame, telling: dict[str, float]) -> DataFrame:
-    """doc_id, label, term hashes and counts of each text's windows, where each ends, if it is looked up."""
-    shared = distinct.sparkSession.sparkContext.broadcast(telling)
+def _vectors(distinct: DataFrame) -> DataFrame:
+    """doc_id, label, term hashes and counts and number of words of each whole text."""
     schema = pa.schema(
         [("doc_id", pa.int64()), ("label", pa.int32()), ("terms", pa.list_(pa.int64())),
-         ("counts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32())),
-         ("told", pa.list_(pa.bool_()))]
+         ("counts", pa.list_(pa.int32())), ("words", pa.int64())]
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = TermFinder(np.empty(0, np.int64), shared.value)
         for part in slices(batches, 64):
-            columns = [[], [], [], []]
+            terms, counts, words = [], [], []
             for text in part.column(2).to_pylist():
-                windows = finder.windows(text)
-                found = [
-                    np.unique([h for w in words for h in word_hashes(w)], return_counts=True)
-                    for words, _ in windows
-                ]
-                columns[0].append(np.concatenate([t.astype(np.int64) for t, _ in found]))
-                columns[1].append(np.concatenate([c for _, c in found]).astype(np.int32))
-                columns[2].append(np.cumsum([len(t) for t, _ in found]).astype(np.int32))
-                columns[3].append([told for _, told in windows])
-            yield record_batch(schema, [part.column(0), part.column(1), *columns])
-
-    kinds = "doc_id long, label int, terms array<long>, counts array<int>, ends array<int>, told array<boolean>"
+                held = Counter(text.split())
+                found: Counter = Counter()
+                for word, n in held.items():
+                    for term in word_hashes(word):
+                        found[term] += n
+                terms.append(sorted(found))
+                counts.append([found[t] for t in terms[-1]])
+                words.append(held.total())
+            yield record_batch(schema, [part.column(0), part.column(1), terms, counts, words])
+
+    kinds = "doc_id long, label int, terms array<long>, counts array<int>, words long"
     return distinct.select("doc_id", "_label", "_text").mapInArrow(run, kinds)
 
 
+def examples_that_fit(vectors: DataFrame) -> DataFrame:
+    """The rows of fewest terms that have at most ``MOST_POSTINGS`` together."""
+    sizes = vectors.select(F.size("terms").alias("n"), "doc_id").toArrow()
+    n, ids = (sizes.column(c).to_numpy() for c in ("n", "doc_id"))
+    order = np.lexsort((ids, n))
+    dropped = order[np.cumsum(n[order].astype(np.int64)) > MOST_POSTINGS]
+    return vectors.filter(~F.col("doc_id").isin(ids[dropped].tolist())) if len(dropped) else vectors
+
+
 def _model(
     rows: pa.Table, hashes: np.ndarray, idf: np.ndarray, sizes: dict, unit: tuple, telling: dict
 ) -> tuple[Model, dict[bytes, int]]:
     """The model without calibration, and the number of each example by its key."""
-    ids, labels = (rows.column(c).to_pylist() for c in ("doc_id", "label"))
-    every, times, ends = (rows.column(c).combine_chunks() for c in ("terms", "counts", "ends"))
+    ids, labels, words = (rows.column(c).to_pylist() for c in ("doc_id", "label", "words"))
+    every, times = (rows.column(c).combine_chunks() for c in ("terms", "counts"))
     empty, by_key = [0.0, 0.0], {}
     for i in sorted(range(len(ids)), key=lambda i: (ids[i], labels[i])):
-        found, n, limits = (x[i].values.to_numpy() for x in (every, times, ends))
+        found, n = (x[i].values.to_numpy() for x in (every, times))
         if not len(found):
             empty[labels[i]] += unit[labels[i]]
-        for a, b in zip([0, *limits.tolist()], limits.tolist(), strict=False):
-            if b > a:
-                one = found[a:b], n[a:b], ids[i], [0.0, 0.0]
-                by_key.setdefault(vector_key(*one[:2]), one)[3][1 - labels[i]] += unit[labels[i]]
+            continue
+        one = found, n, ids[i], [0.0, 0.0], words[i]
+        by_key.setdefault(vector_key(found, n), one)[3][1 - labels[i]] += unit[labels[i]]
     base_rate = sizes[1] / (sizes[0] + sizes[1])
     keys = sorted(by_key)
     picked = [by_key[k] for k in keys]
@@ -605,54 +690,66 @@ def _model(
 
     by_term = np.lexsort((owner, terms))
     begins = np.concatenate([[0], np.cumsum(np.bincount(terms, minlength=len(hashes)))])
+    speaks = np.zeros(len(hashes))
+    told = {term_hash(term): value for term, value in telling.items()}
+    if told:
+        names = np.array(list(told), np.int64)
+        at = np.minimum(np.searchsorted(hashes, names), len(hashes) - 1)
+        speaks[at[hashes[at] == names]] = np.array(list(told.values()))[hashes[at] == names]
     votes = np.array([picked[i][3] for i in order.tolist()]).reshape(-1, 2)
     model = Model(
         hashes, idf, base_rate, empty[1] / sum(empty) if sum(empty) else base_rate, votes,
         [picked[i][2] for i in order.tolist()], begins.astype(np.int64),
         *(x[by_term].astype(np.min_scalar_type(int(x.max(initial=0)))) for x in (owner, counts)),
-        telling,
+        telling, speaks, np.array([picked[i][4] for i in order.tolist()], np.int64),
     )
     model.unit = unit
     return model, {key: int(position[i]) for i, key in enumerate(keys)}
 
 
 def score(docs: DataFrame, model: Model | None, evidence: int = 3) -> DataFrame:
-    """doc_id, score and evidence (doc_id, similarity of the nearest examples) of whole texts.
+    """doc_id, score, evidence (doc_id, similarity of the nearest examples), passages of whole texts.
 
-    Scores are 0 to 1, from the heaviest windows of the text. A text with no term of any example (also a null or empty one) gets the rate
-    of toxic rows among examples without any; without a model every score is 0. Repeated rows are
-    scored each. Other columns of ``docs`` are not read.
+    Scores are 0 to 1, from all words of the text. A text with no term of any example (also a null or
+    empty one) gets the rate of toxic rows among examples without any; without a model every score
+    is 0. From a score of ``SHOWN`` on, ``passages`` are the heaviest ones with a word that speaks for
+    toxic. Repeated rows are scored each. Other columns of ``docs`` are not read.
     """
     schema = pa.schema(
         [("doc_id", pa.int64()), ("score", pa.float64()),
-         ("evidence", pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64())])))]
+         ("evidence", pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64())]))),
+         ("passages", pa.list_(pa.string()))]
     )
-    kinds = "doc_id long, score double, evidence array<struct<doc_id: long, similarity: double>>"
+    kinds = (
+        "doc_id long, score double, evidence array<struct<doc_id: long, similarity: double>>, "
+        "passages array<string>"
+    )
     rows = docs.select("doc_id", "text")
-    load = model.loader() if model else lambda: (None, None, {})
+    load = model.loader() if model else lambda: (None, None)
+
+    def judged(kept: Model, finder: TermFinder, texts: pa.Array) -> list[tuple]:
+        terms, times, sizes, words = finder.batch(texts)
+        found = kept.nearest_of_each(terms, kept.weights(terms, times, sizes, words), sizes)
+        out = []
+        for i, (near, size) in enumerate(zip(found, sizes.tolist(), strict=True)):
+            value, shown = kept.score(near) if size else kept.empty_rate, []
+            if size and value >= SHOWN:
+                shown = [
+                    " ".join(w) for w, _ in finder.windows(texts[i].as_py())
+                    if any(finder.weight(x) > 0 for x in w)
+                ]
+            named = [{"doc_id": kept.ids[at], "similarity": s} for s, at in near[:evidence]]
+            out.append((value, named, shown))
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept, finder, seen = load()
-        for part in slices(batches):
-            scores, nearest = [], []
-            for text in part.column(1).to_pylist():
-                if kept is None:
-                    scores.append(0.0)
-                    nearest.append([])
-                    continue
-                text = text or ""
-                name = xxhash.xxh3_128_digest(text.encode("utf-8", "surrogatepass"))
-                if name not in seen:
-                    if len(seen) > 50_000:
-                        seen.clear()
-                    value, found = kept.score([finder.counts(w if told else []) for w, told in finder.windows(text)])
-                    best: dict[int, float] = {}
-                    for similarity, at in found:
-                        best.setdefault(kept.ids[at], similarity)
-                    seen[name] = value, list(islice(best.items(), evidence))
-                value, found = seen[name]
-                scores.append(value)
-                nearest.append([{"doc_id": d, "similarity": s} for d, s in found])
-            yield record_batch(schema, [part.column(0), scores, nearest])
+        kept, finder = load()
+        for part in text_slices(batches, 1, ROWS_AT_ONCE, TEXT_BYTES):
+            # Copies in one slice are judged once.
+            texts = pc.fill_null(part.column(1), "").dictionary_encode()
+            some = judged(kept, finder, texts.dictionary) if kept else [(0.0, [], [])] * len(texts.dictionary)
+            each = [some[i] for i in texts.indices.to_pylist()]
+            if each:
+                yield record_batch(schema, [part.column(0), *zip(*each, strict=True)])
 
     return rows.mapInArrow(run, kinds)
