@@ -34,7 +34,8 @@ def all_pairs(left: DataFrame, right: DataFrame, parts: int | None = None) -> Da
     Both sides are cut into about the square root of ``parts`` (default: four per shuffle
     partition) by row hash, and each pair of cuts is one join key. No task holds a whole side,
     unlike a cartesian or a nested-loop join. Equal rows are counted before and dealt out in
-    lots of ``COPIES_AT_ONCE``, so a row that is repeated very often spreads as well.
+    lots of ``COPIES_AT_ONCE``, so a row that is repeated very often spreads as well. Where one side
+    is small and broadcast, the other comes in ``parts`` parts by its columns.
     """
     if parts is None:
         parts = 4 * int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -47,6 +48,8 @@ def all_pairs(left: DataFrame, right: DataFrame, parts: int | None = None) -> Da
         size = F.least(F.lit(COPIES_AT_ONCE).cast("long"), n - F.col("_lot") * COPIES_AT_ONCE)
         hashed = F.pmod(F.xxhash64(*df.columns, "_lot"), F.lit(side)).cast("int")
         each = F.explode(F.sequence(F.lit(0), F.lit(side - 1)))
+        # A number of partitions that is given stays: Spark would see few rows and make one task of them.
+        rows = rows.repartition(parts, *df.columns)
         rows = rows.withColumns({own: hashed, f"_n{own}": size}).withColumn(other, each)
         return rows.drop("_n", "_lot")
 

@@ -4,6 +4,7 @@ from types import SimpleNamespace
 
 import pytest
 from conftest import plan, rows
+from pyspark.sql import functions as F
 
 from fleetlens.operators import probes, records, users
 from fleetlens.session import shared_folder
@@ -233,6 +234,16 @@ def test_probe_status(frame):
     ]
 
 
+def test_probes_of_many_hosts_are_many_tasks(spark, tmp_path):
+    spark.range(3000).selectExpr("concat('host', id) as src").write.parquet(str(tmp_path / "src"))
+    spark.range(25).selectExpr("concat('to', id) as dst").write.parquet(str(tmp_path / "dst"))
+    matrix = probes.probe_matrix(*(spark.read.parquet(str(tmp_path / n)) for n in ("src", "dst")), "22 80 443")
+    outputs = matrix.selectExpr("*", "'up\n0' as output", "if(port = 80 and src like '%7', 'auth', null) as error")
+    status = probes.probe_status(outputs)
+    sizes = [r["count"] for r in status.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 3000 * 25 * 3 - 300 * 25 and max(sizes) < sum(sizes) / 8
+
+
 class ClusterSession:
     """The part of a session that tells where the shared folder is."""
 
