@@ -23,16 +23,16 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from fleetlens.llm.common import ROWS_AT_ONCE, record_batch, slices, stored, text_slices, worker_state
+from fleetlens.llm.common import record_batch, slices, stored, text_slices, worker_state
 from fleetlens.operators.ranking import top_per_group
 
 #: Bounds of the sample of labelled rows, per class; neighbours that vote.
 SAMPLE_TOXIC, SAMPLE_CLEAN = 1_000, 2_000
-NEIGHBOURS, BLOCK = 25, 256
+NEIGHBOURS, BLOCK = 25, 512
 #: Blocks that a search opens at first; each next step opens four times as many.
-OPEN = 4
+OPEN = 3
 #: Terms with the longest lists, whose weights are a matrix; the others are lists in blocks.
-HEAD = 256
+HEAD = 2048
 #: Terms of all examples together; of a sample with more, the longest texts are no examples.
 MOST_POSTINGS = 4_000_000
 #: Frequent terms whose presence orders the examples, so that like ones share blocks.
@@ -45,11 +45,13 @@ WINDOW, STRETCH = 16, 0.5
 #: Passages of ``WINDOW`` words shown of a text, and the score from which on they are.
 WINDOWS, SHOWN = 3, 0.5
 #: Bytes of text that are worked on at a time.
-TEXT_BYTES = 1 << 20
+TEXT_BYTES, ROWS = 4 << 20, 1024
 #: Lots of labelled rows from which the sample is chosen.
 DEALT = 16
 #: Standard errors a term's log odds lose, and terms kept whose rest is above 0 (the greatest).
 ERRORS, TELLING, LONGEST = 3.0, 50_000, 64
+#: ASCII characters that are neither letter nor digit.
+MARKS = "".join(c for c in map(chr, range(128)) if not c.isalnum())
 EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 SHINGLE = 5
 
@@ -82,6 +84,11 @@ def core_of(word: str) -> str:
     return core if core.isalnum() else EDGES.sub("", core)
 
 
+def term_name(term: str) -> str:
+    """The term, or a digest of a term with a word of over ``LONGEST`` letters."""
+    return term if len(term) <= LONGEST else f"{xxhash.xxh3_128_hexdigest(term)}\0"
+
+
 def word_hashes(word: str) -> list[int]:
     """Hashes of :func:`word_terms`; those of beginnings are remembered, a bounded number of them."""
     core = core_of(word)
@@ -152,16 +159,17 @@ class Weights:
         return max(most, self.words.get(core, 0.0))
 
 
-def document_counts(docs: DataFrame, terms: np.ndarray) -> tuple[int, np.ndarray]:
+def document_counts(docs: DataFrame, terms: np.ndarray, names: pa.Array) -> tuple[int, np.ndarray]:
     """Rows with text and, per term of the examples, those that hold it, over all of ``docs``."""
-    shared = docs.sparkSession.sparkContext.broadcast(terms)
+    shared = docs.sparkSession.sparkContext.broadcast((terms, names))
     schema = pa.schema([("term", pa.int64()), ("n", pa.int64())])
     size = len(terms)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = TermFinder(shared.value)
+        terms, names = shared.value
+        finder = TermFinder(terms, names=names)
         total = np.zeros(size + 1, np.int64)
-        for part in text_slices(batches, 0, ROWS_AT_ONCE, TEXT_BYTES):
+        for part in text_slices(batches, 0, ROWS, TEXT_BYTES):
             total[-1] += part.num_rows
             np.add.at(total, finder.batch(part.column(0))[0], 1)
         at = np.flatnonzero(total)
@@ -184,9 +192,11 @@ class TermFinder:
 
     MOST_BYTES = 48 << 20
 
-    def __init__(self, terms: np.ndarray, telling: dict[str, float] | None = None):
+    def __init__(
+        self, terms: np.ndarray, telling: dict[str, float] | None = None, names: pa.Array | None = None
+    ):
         self.terms, self.weight = terms, Weights(telling or {})
-        self.numbers = dict(zip(terms.tolist(), range(len(terms)), strict=True))
+        self.names = pa.array([], pa.string()) if names is None else names
         self.known, self.marks, self.starts, self.held = {}, {}, {}, 0
 
     def room(self, new: list[str]) -> None:
@@ -200,7 +210,8 @@ class TermFinder:
             self.held = 0
 
     def find(self, term: int) -> int:
-        return self.numbers.get(term, -1)
+        at = int(self.terms.searchsorted(term))
+        return at if at < len(self.terms) and self.terms[at] == term else -1
 
     def learn(self, words: list[str]) -> None:
         starts, first, last = self.starts, PREFIXES[0], PREFIXES[-1]
@@ -268,29 +279,54 @@ class TermFinder:
         return terms, np.bincount(place, times, minlength=len(terms)).astype(np.int64)
 
 
+    def terms_of_each(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the known terms of each word, one word after another, and how many they are.
+
+        As :meth:`learn` finds them, for many words at once: Arrow looks up all cores and beginnings.
+        """
+        ascii = pc.string_is_ascii(words)
+        cores = pc.ascii_trim(pc.ascii_lower(words), MARKS)
+        if other := [core_of(w) for w in words.filter(pc.invert(ascii)).to_pylist()]:
+            cores = pc.replace_with_mask(cores, pc.invert(ascii), pa.array(other, pa.string()))
+        encoded = cores.dictionary_encode()
+        cores, which = encoded.dictionary, encoded.indices.to_numpy()
+        length = pc.utf8_length(cores).to_numpy()
+        long = np.flatnonzero(length > LONGEST)
+        names, owners = [cores], [(np.arange(len(cores)), np.arange(len(cores)))]
+        if len(long):
+            digests = [term_name(w) for w in cores.take(pa.array(long)).to_pylist()]
+            names = [pc.replace_with_mask(cores, pa.array(length > LONGEST), pa.array(digests, pa.string()))]
+        for n in PREFIXES:
+            at = np.flatnonzero(length >= n)
+            starts = pc.utf8_slice_codeunits(cores.take(pa.array(at)), 0, n).dictionary_encode()
+            names.append(pc.binary_join_element_wise(starts.dictionary, "-", ""))
+            owners.append((at, starts.indices.to_numpy()))
+        every = pc.fill_null(pc.index_in(pa.concat_arrays(names), value_set=self.names), -1).to_numpy()
+        ends = np.cumsum([len(x) for x in names])
+        found = np.concatenate([every[end - len(x) : end][at] for end, x, (_, at) in zip(ends, names, owners, strict=True)])
+        owner = np.concatenate([at for at, _ in owners])[found >= 0]
+        order = np.argsort(owner, kind="stable")
+        flat, sizes = found[found >= 0][order].astype(np.int64), np.bincount(owner, minlength=len(cores))
+        last = np.cumsum(sizes)[which]
+        return flat[spans(last - sizes[which], last)], sizes[which]
+
     def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of every text (null: empty) all terms, ascending, and how often each is there.
 
         Both one text after another, then the numbers of terms and of words of each text.
         """
-        self.age()
         lists = pc.utf8_split_whitespace(pc.fill_null(texts, ""))
         size = np.diff(lists.offsets.to_numpy())
         encoded = lists.flatten().dictionary_encode()
-        words = encoded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        words = encoded.dictionary
         # A text's place in the batch and a word's number are one key; then the same with its terms.
         key = np.repeat(np.arange(len(size)), size) * len(words) + encoded.indices.to_numpy()
         key, times = np.unique(key, return_counts=True)
         owner, word = np.divmod(key, max(1, len(words)))
-        filled = np.fromiter(map(bool, words), bool, len(words))[word]
-        n_words = np.bincount(owner, times * filled, minlength=len(size)).astype(np.int64)
+        filled = pc.binary_length(words).to_numpy() > 0
+        n_words = np.bincount(owner, times * filled[word], minlength=len(size)).astype(np.int64)
 
-        known = self.known
-        if new := [w for w in words if w not in known]:
-            self.learn(new)
-        found = list(map(known.__getitem__, words))
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter(chain.from_iterable(found), np.int64, int(sizes.sum()))
+        flat, sizes = self.terms_of_each(words)
         last = np.cumsum(sizes)[word]
         each = sizes[word]
         key = np.repeat(owner, each) * len(self.terms) + flat[spans(last - each, last)]
@@ -317,6 +353,7 @@ class Model:
     """
 
     terms: np.ndarray  # sorted hashes
+    names: pa.Array  # what a text's terms are found by, in the same order
     idf: np.ndarray
     base_rate: float
     empty_rate: float
@@ -352,7 +389,7 @@ class Model:
         def make():
             kept = Model.__new__(Model)
             kept.__dict__.update(shared.value)
-            return kept, TermFinder(kept.terms, kept.telling)
+            return kept, TermFinder(kept.terms, kept.telling, kept.names)
 
         def load():
             state = worker_state(("toxicity", name), make)
@@ -375,10 +412,10 @@ class Model:
         new[1:] = block[1:] != block[:-1]
         new[self.begins[:-1][self.begins[:-1] < len(new)]] = True
         starts = np.flatnonzero(new)
-        self.block = block[starts]
-        self.block_max = np.maximum.reduceat(self.weight, starts) if len(starts) else self.weight
-        self.block_begins = np.append(starts, len(self.at))
-        self.term_blocks = np.searchsorted(starts, self.begins)
+        most = np.maximum.reduceat(self.weight, starts) if len(starts) else self.weight
+        # One row per part, so that a search reads one place of memory for it.
+        self.parts = np.column_stack([block[starts], most, starts, np.append(starts[1:], len(self.at))[: len(starts)]])
+        self.term_parts = np.searchsorted(starts, self.begins)
         longest = np.argsort(-np.diff(self.begins), kind="stable")[:HEAD]
         self.row = np.full(len(self.terms), -1)
         self.row[longest] = np.arange(len(longest))
@@ -415,7 +452,7 @@ class Model:
 
         What the terms with the longest lists give is one product of matrices for all texts.
         """
-        if "block" not in self.__dict__:
+        if "parts" not in self.__dict__:
             self.prepare()
         row, owner = self.row[terms], np.repeat(np.arange(len(sizes)), sizes)
         head, tail = row >= 0, np.flatnonzero(row < 0)
@@ -440,11 +477,11 @@ class Model:
         """
         if not len(score):
             return []
-        first, last = self.term_blocks[terms], self.term_blocks[terms + 1]
-        parts, own = spans(first, last), np.repeat(weights, last - first)
-        blocks = self.block[parts]
+        first, last = self.term_parts[terms], self.term_parts[terms + 1]
+        parts, own = self.parts.take(spans(first, last), 0), np.repeat(weights, last - first)
+        blocks, limits = parts[:, 0].astype(np.int64), parts[:, 2:].astype(np.int64)
         bound = np.maximum.reduceat(score, np.arange(0, len(score), BLOCK))
-        bound = bound + np.bincount(blocks, own * self.block_max[parts], minlength=len(bound))
+        bound = bound + np.bincount(blocks, own * parts[:, 1], minlength=len(bound))
         order = np.argsort(-bound, kind="stable")
         best_at, best = np.empty(0, np.int64), np.empty(0)
         done, step = 0, OPEN
@@ -456,11 +493,11 @@ class Model:
                 break
             opened = np.zeros(len(bound), bool)
             opened[some] = True
-            here = opened[blocks]
-            a, b = self.block_begins[parts[here]], self.block_begins[parts[here] + 1]
+            here = np.flatnonzero(opened[blocks])
+            a, b = limits[here].T
             places = spans(a, b)
-            found = np.repeat(own[here], b - a) * self.weight[places]
-            total = score + np.bincount(self.at[places], found, minlength=len(score))
+            found = np.repeat(own[here], b - a) * self.weight.take(places)
+            total = score + np.bincount(self.at.take(places), found, minlength=len(score))
             at = np.flatnonzero(np.repeat(opened, BLOCK)[: len(total)] & (total > max(0.0, least - 1e-11)))
             best_at, best = np.concatenate([best_at, at]), np.concatenate([best, total[at]])
             if len(best) > k:
@@ -577,15 +614,18 @@ def _fit(docs: DataFrame, sample: DataFrame, sizes: dict) -> Model | None:
         return None
     telling = telling_terms(distinct, n)
     vectors = examples_that_fit(stored(_vectors(distinct), "vectors"))
-    rows = vectors.toArrow()  # rows and all their terms are bounded
+    rows = vectors.drop("names").toArrow()  # rows and all their terms are bounded
     n = Counter(rows.column("label").to_pylist())
     if not n[0] or not n[1]:
         return None
     unit = (sizes[0] / n[0], sizes[1] / n[1])
-    terms = np.unique(rows.column("terms").combine_chunks().values.to_numpy())
-    total, with_term = document_counts(docs, terms)
+    pairs = vectors.select(F.explode(F.arrays_zip("terms", "names")).alias("one")).select("one.*")
+    pairs = pairs.distinct().toArrow().combine_chunks().sort_by("terms")
+    terms = pairs.column("terms").to_numpy()
+    names = pa.concat_arrays(pairs.column("names").chunks) if len(terms) else pa.array([], pa.string())
+    total, with_term = document_counts(docs, terms, names)
     idf = np.log((1 + total) / (1 + with_term)) + 1
-    model, place = _model(rows, terms, idf, sizes, unit, telling)
+    model, place = _model(rows, terms, names, idf, sizes, unit, telling)
     load, shared = model.share(docs).loader(), docs.sparkSession.sparkContext.broadcast(place)
     vote_schema = pa.schema(
         [("doc_id", pa.int64()), ("label", pa.int32()), ("vote", pa.float64())]
@@ -624,27 +664,31 @@ def vector_key(hashes: np.ndarray, counts: np.ndarray) -> bytes:
 
 
 def _vectors(distinct: DataFrame) -> DataFrame:
-    """doc_id, label, term hashes and counts and number of words of each whole text."""
+    """doc_id, label, term hashes and counts, number of words and names of terms of each whole text."""
     schema = pa.schema(
         [("doc_id", pa.int64()), ("label", pa.int32()), ("terms", pa.list_(pa.int64())),
-         ("counts", pa.list_(pa.int32())), ("words", pa.int64())]
+         ("counts", pa.list_(pa.int32())), ("words", pa.int64()), ("names", pa.list_(pa.string()))]
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 64):
-            terms, counts, words = [], [], []
+            terms, counts, words, names = [], [], [], []
             for text in part.column(2).to_pylist():
                 held = Counter(text.split())
                 found: Counter = Counter()
+                named: dict[int, str] = {}
                 for word, n in held.items():
-                    for term in word_hashes(word):
-                        found[term] += n
+                    for term in word_terms(word):
+                        number = term_hash(term)
+                        found[number] += n
+                        named[number] = term_name(term)
                 terms.append(sorted(found))
                 counts.append([found[t] for t in terms[-1]])
                 words.append(held.total())
-            yield record_batch(schema, [part.column(0), part.column(1), terms, counts, words])
+                names.append([named[t] for t in terms[-1]])
+            yield record_batch(schema, [part.column(0), part.column(1), terms, counts, words, names])
 
-    kinds = "doc_id long, label int, terms array<long>, counts array<int>, words long"
+    kinds = "doc_id long, label int, terms array<long>, counts array<int>, words long, names array<string>"
     return distinct.select("doc_id", "_label", "_text").mapInArrow(run, kinds)
 
 
@@ -658,7 +702,7 @@ def examples_that_fit(vectors: DataFrame) -> DataFrame:
 
 
 def _model(
-    rows: pa.Table, hashes: np.ndarray, idf: np.ndarray, sizes: dict, unit: tuple, telling: dict
+    rows: pa.Table, hashes: np.ndarray, names: pa.Array, idf: np.ndarray, sizes: dict, unit: tuple, telling: dict
 ) -> tuple[Model, dict[bytes, int]]:
     """The model without calibration, and the number of each example by its key."""
     ids, labels, words = (rows.column(c).to_pylist() for c in ("doc_id", "label", "words"))
@@ -693,12 +737,12 @@ def _model(
     speaks = np.zeros(len(hashes))
     told = {term_hash(term): value for term, value in telling.items()}
     if told:
-        names = np.array(list(told), np.int64)
-        at = np.minimum(np.searchsorted(hashes, names), len(hashes) - 1)
-        speaks[at[hashes[at] == names]] = np.array(list(told.values()))[hashes[at] == names]
+        numbers = np.array(list(told), np.int64)
+        at = np.minimum(np.searchsorted(hashes, numbers), len(hashes) - 1)
+        speaks[at[hashes[at] == numbers]] = np.array(list(told.values()))[hashes[at] == numbers]
     votes = np.array([picked[i][3] for i in order.tolist()]).reshape(-1, 2)
     model = Model(
-        hashes, idf, base_rate, empty[1] / sum(empty) if sum(empty) else base_rate, votes,
+        hashes, names, idf, base_rate, empty[1] / sum(empty) if sum(empty) else base_rate, votes,
         [picked[i][2] for i in order.tolist()], begins.astype(np.int64),
         *(x[by_term].astype(np.min_scalar_type(int(x.max(initial=0)))) for x in (owner, counts)),
         telling, speaks, np.array([picked[i][4] for i in order.tolist()], np.int64),
@@ -744,7 +788,7 @@ def score(docs: DataFrame, model: Model | None, evidence: int = 3) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept, finder = load()
-        for part in text_slices(batches, 1, ROWS_AT_ONCE, TEXT_BYTES):
+        for part in text_slices(batches, 1, ROWS, TEXT_BYTES):
             # Copies in one slice are judged once.
             texts = pc.fill_null(part.column(1), "").dictionary_encode()
             some = judged(kept, finder, texts.dictionary) if kept else [(0.0, [], [])] * len(texts.dictionary)

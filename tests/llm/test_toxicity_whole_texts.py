@@ -16,10 +16,11 @@ def terms_of(text):
 
 def test_terms_of_a_batch_are_those_of_each_whole_text():
     rng = random.Random(5)
-    words = ["Idiot!", "idiocy", "(the)", "the", "-", "straße", "İstanbul", "x1", "unknownword", "ab"]
+    words = ["Idiot!", "idiocy", "(the)", "the", "-", "straße", "İstanbul", "x1", "unknownword", "ab", "_" + "Long" * 40, "é" * 70]
     texts = [None, "", "  \n", *(" \t".join(rng.choices(words, k=n)) for n in (1, 3, 900)), " the the\x1cthe "]
-    hashes = np.unique([toxicity.term_hash(t) for w in words if w != "unknownword" for t in toxicity.word_terms(w)])
-    finder = toxicity.TermFinder(hashes)
+    held = {toxicity.term_hash(t): t for w in words if w != "unknownword" for t in toxicity.word_terms(w)}
+    hashes = np.array(sorted(held))
+    finder = toxicity.TermFinder(hashes, names=pa.array([toxicity.term_name(held[h]) for h in hashes.tolist()]))
     terms, times, sizes, n_words = finder.batch(pa.array(texts))
     ends = np.cumsum(sizes)
     for i, text in enumerate(texts):
@@ -55,8 +56,7 @@ def test_similarity_is_that_of_all_words(spark, monkeypatch):
         monkeypatch.setattr(toxicity, "HEAD", head)
         monkeypatch.setattr(toxicity, "BLOCK", block)
         fresh = toxicity.Model(**{f: getattr(model, f) for f in toxicity.Model.__dataclass_fields__ if f != "unit"})
-        fresh.__dict__.pop("block", None)
-        finder = toxicity.TermFinder(model.terms, model.telling)
+        finder = toxicity.TermFinder(model.terms, model.telling, model.names)
         terms, times, sizes, words = finder.batch(pa.array([text for _, text in rows]))
         found = fresh.nearest_of_each(terms, fresh.weights(terms, times, sizes, words), sizes)
         for (i, _), near in zip(rows, found, strict=True):
