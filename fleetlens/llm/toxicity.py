@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from fleetlens.llm.common import record_batch, slices, stored, text_slices, worker_state
+from fleetlens.llm.common import drop_states, record_batch, slices, stored, text_slices, worker_state
 from fleetlens.operators.ranking import top_per_group
 
 #: Bounds of the sample of labelled rows, per class; neighbours that vote.
@@ -32,7 +32,7 @@ NEIGHBOURS, BLOCK = 25, 512
 #: Blocks that a search opens at first; each next step opens four times as many.
 OPEN = 3
 #: Terms with the longest lists, whose weights are a matrix; the others are lists in blocks.
-HEAD = 2048
+HEAD = 1024
 #: Terms of all examples together; of a sample with more, the longest texts are no examples.
 MOST_POSTINGS = 4_000_000
 #: Frequent terms whose presence orders the examples, so that like ones share blocks.
@@ -45,7 +45,7 @@ WINDOW, STRETCH = 16, 0.5
 #: Passages of ``WINDOW`` words shown of a text, and the score from which on they are.
 WINDOWS, SHOWN = 3, 0.5
 #: Bytes of text that are worked on at a time.
-TEXT_BYTES, ROWS = 4 << 20, 1024
+TEXT_BYTES, ROWS = 2 << 20, 512
 #: Lots of labelled rows from which the sample is chosen.
 DEALT = 16
 #: Standard errors a term's log odds lose, and terms kept whose rest is above 0 (the greatest).
@@ -166,6 +166,7 @@ def document_counts(docs: DataFrame, terms: np.ndarray, names: pa.Array) -> tupl
     size = len(terms)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_states()  # an earlier model, so that a worker never holds two
         terms, names = shared.value
         finder = TermFinder(terms, names=names)
         total = np.zeros(size + 1, np.int64)
