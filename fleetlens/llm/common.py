@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import sys
 from collections.abc import Callable, Iterator
 from typing import Any
@@ -57,10 +59,19 @@ def bucket(doc_id: str, buckets: int) -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % buckets
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: a Python worker waits for its next task beside others at work."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = ROWS_AT_ONCE) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for start in range(0, batch.num_rows, rows):
             yield batch.slice(start, rows)
+        del batch
+        give_back()
 
 
 def text_slices(
@@ -77,27 +88,28 @@ def text_slices(
             end = min(max(end, start + 1), start + rows)
             yield batch.slice(start, end - start)
             start = end
-
-
-#: States that an operator uses at the same time, at most.
-STATES = 2
+        del batch, lengths
+        give_back()
 
 
 def worker_state(key: Any, make: Callable[[], Any]) -> Any:
     """Something costly to make, kept by the Python worker (not pickled) while it is in use.
 
-    Workers go on to other jobs, so only the last ``STATES`` that were asked for are kept.
+    Workers go on to other jobs, so only the last one that was asked for is kept, and an earlier one
+    goes before the next is made.
     """
-    kept = sys.__dict__.setdefault("_fleetlens_llm_state", {})
-    kept[key] = kept.pop(key) if key in kept else make()
-    while len(kept) > STATES:
-        del kept[next(iter(kept))]
-    return kept[key]
+    if key not in sys.__dict__.get("_fleetlens_llm_state", {}):
+        drop_states()
+        sys.__dict__["_fleetlens_llm_state"] = {key: make()}
+    return sys.__dict__["_fleetlens_llm_state"][key]
 
 
 def drop_states() -> None:
     """Gives up what :func:`worker_state` kept, in a job that needs none of it."""
-    sys.__dict__.pop("_fleetlens_llm_state", None)
+    if "_fleetlens_llm_state" in sys.__dict__:
+        del sys.__dict__["_fleetlens_llm_state"]
+        gc.collect()
+        give_back()
 
 
 def record_batch(schema: pa.Schema, columns: list) -> pa.RecordBatch:

@@ -38,7 +38,7 @@ MARKS, ENDS = frozenset(".,;:!?"), frozenset(".!?:|")
 class Canonical(dict):
     """Number of each word, with what a template needs to know of it, remembered up to a bound."""
 
-    MOST = 500_000
+    MOST = 200_000
 
     def __init__(self):
         self.units = frozenset(UNITS)
@@ -224,8 +224,7 @@ def _blocks(
         key = ("benchmark", xxhash.xxh64_hexdigest(repr(some)), window)
 
         def load(shared=shared, key=key) -> tuple[Index, Canonical]:
-            index = worker_state(key, lambda: Index(shared.value, window))
-            return index, worker_state("canonical", Canonical)
+            return worker_state(key, lambda: (Index(shared.value, window), Canonical()))
 
         found.append(load)
     return found

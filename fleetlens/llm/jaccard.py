@@ -28,7 +28,7 @@ MIX = np.array([xxhash.xxh64_intdigest(f"mix{i}") | 1 for i in range(64)], dtype
 
 
 class WordHashes(dict):
-    MOST = 500_000
+    MOST = 200_000
 
     def __missing__(self, word: bytes) -> int:
         value = self[word] = xxhash.xxh64_intdigest(word)
