@@ -29,10 +29,10 @@ from fleetlens.operators.ranking import top_per_group
 #: Bounds of the sample of labelled rows, per class; neighbours that vote.
 SAMPLE_TOXIC, SAMPLE_CLEAN = 1_000, 2_000
 NEIGHBOURS, BLOCK = 25, 512
-#: Blocks that a search opens at first; each next step opens four times as many.
-OPEN = 3
+#: Blocks at most; with more examples the blocks are larger.
+MOST_BLOCKS = 8
 #: Terms with the longest lists, whose weights are a matrix; the others are lists in blocks.
-HEAD = 1024
+HEAD = 2048
 #: Terms of all examples together; of a sample with more, the longest texts are no examples.
 MOST_POSTINGS = 4_000_000
 #: Frequent terms whose presence orders the examples, so that like ones share blocks.
@@ -170,7 +170,7 @@ def document_counts(docs: DataFrame, terms: np.ndarray, names: pa.Array) -> tupl
         terms, names = shared.value
         finder = TermFinder(terms, names=names)
         total = np.zeros(size + 1, np.int64)
-        for part in text_slices(batches, 0, ROWS, TEXT_BYTES):
+        for part in text_slices(batches, 0, 2 * ROWS, 2 * TEXT_BYTES):
             total[-1] += part.num_rows
             np.add.at(total, finder.batch(part.column(0))[0], 1)
         at = np.flatnonzero(total)
@@ -400,7 +400,7 @@ class Model:
         return load
 
     def prepare(self) -> Model:
-        """Weights, and the part of each list in one block: its block, greatest weight and begin."""
+        """Weights, and of each list, per block, the greatest weight and where its part begins."""
         self.at = self.at.astype(np.int32)
         self.weight = np.repeat(self.idf, np.diff(self.begins)) * (1 + np.log(self.times.astype(float)))
         spoken = np.flatnonzero(np.repeat(self.speaks, np.diff(self.begins)))
@@ -408,15 +408,17 @@ class Model:
         self.weight[spoken] *= 1 + stretch(self.words)[self.at[spoken]] * speaks
         square = np.bincount(self.at, self.weight * self.weight, minlength=len(self.ids))
         self.weight /= np.sqrt(square)[self.at]
-        block = self.at // BLOCK
-        new = np.ones(len(self.at), bool)
-        new[1:] = block[1:] != block[:-1]
-        new[self.begins[:-1][self.begins[:-1] < len(new)]] = True
-        starts = np.flatnonzero(new)
-        most = np.maximum.reduceat(self.weight, starts) if len(starts) else self.weight
-        # One row per part, so that a search reads one place of memory for it.
-        self.parts = np.column_stack([block[starts], most, starts, np.append(starts[1:], len(self.at))[: len(starts)]])
-        self.term_parts = np.searchsorted(starts, self.begins)
+        self.block = max(BLOCK, -(-len(self.ids) // MOST_BLOCKS))
+        blocks = max(1, -(-len(self.ids) // self.block))
+        place = np.repeat(np.arange(len(self.terms)) * blocks, np.diff(self.begins)) + self.at // self.block
+        starts = np.flatnonzero(np.diff(place, prepend=-1))
+        most = np.zeros(len(self.terms) * blocks, np.float32)
+        if len(starts):
+            # Rounded up, so that a bound is never too small.
+            greatest = np.maximum.reduceat(self.weight, starts).astype(np.float32)
+            most[place[starts]] = np.nextafter(greatest, np.float32(np.inf))
+        self.most = most.reshape(-1, blocks)
+        self.part_begins = np.searchsorted(place, np.arange(len(most) + 1)).astype(np.int32)
         longest = np.argsort(-np.diff(self.begins), kind="stable")[:HEAD]
         self.row = np.full(len(self.terms), -1)
         self.row[longest] = np.arange(len(longest))
@@ -453,7 +455,7 @@ class Model:
 
         What the terms with the longest lists give is one product of matrices for all texts.
         """
-        if "parts" not in self.__dict__:
+        if "head" not in self.__dict__:
             self.prepare()
         row, owner = self.row[terms], np.repeat(np.arange(len(sizes)), sizes)
         head, tail = row >= 0, np.flatnonzero(row < 0)
@@ -473,41 +475,31 @@ class Model:
     ) -> list[tuple[float, int]]:
         """:meth:`nearest` where ``score`` has what other terms give each example.
 
-        Blocks are opened in the order of the most that any of their examples could reach, some
-        at a time, and the search ends when that is less than the k-th best found.
+        No score falls when the lists are added, so the k-th best of ``score`` is a floor. Blocks in which
+        no example can reach it stay closed; the parts of the lists in all others are added at once.
         """
         if not len(score):
             return []
-        first, last = self.term_parts[terms], self.term_parts[terms + 1]
-        parts, own = self.parts.take(spans(first, last), 0), np.repeat(weights, last - first)
-        blocks, limits = parts[:, 0].astype(np.int64), parts[:, 2:].astype(np.int64)
-        bound = np.maximum.reduceat(score, np.arange(0, len(score), BLOCK))
-        bound = bound + np.bincount(blocks, own * parts[:, 1], minlength=len(bound))
-        order = np.argsort(-bound, kind="stable")
-        best_at, best = np.empty(0, np.int64), np.empty(0)
-        done, step = 0, OPEN
-        while done < len(order):
-            some = order[done : done + step]
-            least = best[-1] - 1e-12 if len(best) == k else 0.0
-            some = some[(bound[some] > 0) & (bound[some] >= least)]
-            if not len(some):
-                break
-            opened = np.zeros(len(bound), bool)
-            opened[some] = True
-            here = np.flatnonzero(opened[blocks])
-            a, b = limits[here].T
-            places = spans(a, b)
-            found = np.repeat(own[here], b - a) * self.weight.take(places)
-            total = score + np.bincount(self.at.take(places), found, minlength=len(score))
-            at = np.flatnonzero(np.repeat(opened, BLOCK)[: len(total)] & (total > max(0.0, least - 1e-11)))
-            best_at, best = np.concatenate([best_at, at]), np.concatenate([best, total[at]])
-            if len(best) > k:
-                near = np.flatnonzero(best >= np.partition(best, len(best) - k)[len(best) - k] - 1e-11)
-                best_at, best = best_at[near], best[near]
-            rank = np.lexsort((best_at, -np.round(best, 12)))[:k]
-            best_at, best = best_at[rank], best[rank]
-            done, step = done + step, step * 4
-        return list(zip(best.tolist(), best_at.tolist(), strict=True))
+        floor = np.partition(score, len(score) - k)[len(score) - k] if len(score) > k else 0.0
+        bound = np.maximum.reduceat(score, np.arange(0, len(score), self.block))
+        bound = bound + weights @ self.most[terms]
+        opened = np.flatnonzero(bound >= floor - 1e-11)
+        if len(opened) == len(bound):
+            begins, ends = self.begins[terms], self.begins[terms + 1]
+        else:
+            part = (terms[:, None] * len(bound) + opened).ravel()
+            begins, ends = self.part_begins[part], self.part_begins[part + 1]
+            weights = np.repeat(weights, len(opened))
+        sizes = ends - begins
+        places = spans(begins, ends)
+        found = self.weight.take(places)
+        found *= np.repeat(weights, sizes)
+        total = score + np.bincount(self.at.take(places), found, minlength=len(score))
+        least = np.partition(total, len(total) - k)[len(total) - k] if len(total) > k else 0.0
+        at = np.flatnonzero(total > max(0.0, least - 1e-11))
+        best = total[at]
+        rank = np.lexsort((at, -np.round(best, 12)))[:k]
+        return list(zip(best[rank].tolist(), at[rank].tolist(), strict=True))
 
     def vote(
         self, found: list[tuple[float, int]], without: dict[int, tuple[float, float]] | None = None
