@@ -45,7 +45,9 @@ WINDOW, STRETCH = 16, 0.5
 #: Passages of ``WINDOW`` words shown of a text, and the score from which on they are.
 WINDOWS, SHOWN = 3, 0.5
 #: Bytes of text that are worked on at a time.
-TEXT_BYTES, ROWS = 2 << 20, 512
+TEXT_BYTES, ROWS = 4 << 20, 1024
+#: Texts that are compared at a time.
+TEXTS = 256
 #: Lots of labelled rows from which the sample is chosen.
 DEALT = 16
 #: Standard errors a term's log odds lose, and terms kept whose rest is above 0 (the greatest).
@@ -170,7 +172,7 @@ def document_counts(docs: DataFrame, terms: np.ndarray, names: pa.Array) -> tupl
         terms, names = shared.value
         finder = TermFinder(terms, names=names)
         total = np.zeros(size + 1, np.int64)
-        for part in text_slices(batches, 0, 2 * ROWS, 2 * TEXT_BYTES):
+        for part in text_slices(batches, 0, ROWS, TEXT_BYTES):
             total[-1] += part.num_rows
             np.add.at(total, finder.batch(part.column(0))[0], 1)
         at = np.flatnonzero(total)
@@ -297,11 +299,19 @@ class TermFinder:
         if len(long):
             digests = [term_name(w) for w in cores.take(pa.array(long)).to_pylist()]
             names = [pc.replace_with_mask(cores, pa.array(length > LONGEST), pa.array(digests, pa.string()))]
-        for n in PREFIXES:
-            at = np.flatnonzero(length >= n)
-            starts = pc.utf8_slice_codeunits(cores.take(pa.array(at)), 0, n).dictionary_encode()
-            names.append(pc.binary_join_element_wise(starts.dictionary, "-", ""))
-            owners.append((at, starts.indices.to_numpy()))
+        # From the longest beginnings on, so that each one is cut from those before, once.
+        starts, at, which_start, found = cores.slice(0, 0), np.zeros(0, np.int64), np.zeros(0, np.int64), []
+        for n in reversed(PREFIXES):
+            more = np.flatnonzero(length == n if found else length >= n)
+            cut = pc.utf8_slice_codeunits(pa.concat_arrays([starts, cores.take(pa.array(more))]), 0, n)
+            encoded = cut.dictionary_encode()
+            each = encoded.indices.to_numpy()
+            which_start = np.concatenate([each[which_start], each[len(starts) :]])
+            at, starts = np.concatenate([at, more]), encoded.dictionary
+            found.append((pc.binary_join_element_wise(starts, "-", ""), (at, which_start)))
+        for name, owner in reversed(found):
+            names.append(name)
+            owners.append(owner)
         every = pc.fill_null(pc.index_in(pa.concat_arrays(names), value_set=self.names), -1).to_numpy()
         ends = np.cumsum([len(x) for x in names])
         found = np.concatenate([every[end - len(x) : end][at] for end, x, (_, at) in zip(ends, names, owners, strict=True)])
@@ -343,7 +353,9 @@ def spans(begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """The numbers from each begin up to its end, one range after another."""
     sizes = ends - begins
     shift = np.cumsum(sizes) - sizes
-    return np.arange(int(sizes.sum())) + np.repeat(begins - shift, sizes)
+    out = np.repeat(begins - shift, sizes)
+    out += np.arange(len(out))
+    return out
 
 
 @dataclass
@@ -453,10 +465,15 @@ class Model:
     ) -> list[list[tuple[float, int]]]:
         """Per text the ``k`` examples of greatest cosine above 0, exactly; ties by number.
 
-        What the terms with the longest lists give is one product of matrices for all texts.
+        What the terms with the longest lists give is one product of matrices for ``TEXTS`` texts at a time.
         """
         if "head" not in self.__dict__:
             self.prepare()
+        if len(sizes) > TEXTS:
+            ends = np.cumsum(sizes)[TEXTS - 1 :: TEXTS]
+            parts = (np.split(x, ends) for x in (terms, weights))
+            some = (sizes[i : i + TEXTS] for i in range(0, len(sizes), TEXTS))
+            return [x for one in zip(*parts, some, strict=False) for x in self.nearest_of_each(*one, k)]
         row, owner = self.row[terms], np.repeat(np.arange(len(sizes)), sizes)
         head, tail = row >= 0, np.flatnonzero(row < 0)
         own = np.zeros((len(sizes), len(self.head)))
