@@ -1,4 +1,7 @@
-"""Exact n-gram Jaccard join: light sets by fixed-size subsets, heavy ones by inverted lists."""
+"""Exact n-gram Jaccard join: light sets by fixed-size subsets, heavy ones by inverted lists.
+
+Where the similarity is low, sets that may link meet in the lists of their rarest elements instead.
+"""
 
 from __future__ import annotations
 
@@ -9,7 +12,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from fleetlens.llm.common import discard, record_batch, slices, stored, worker_state
 from fleetlens.llm.components import components
@@ -24,6 +27,10 @@ MOST_SUBSETS = 500
 FAMILY_SHINGLES = 2_000_000
 #: Sets whose copies a task leaves out.
 SEEN_SETS = 100_000
+#: Linked sets have to share one of so many elements among their rarest ones, and one more.
+RARE_SHARE = 16
+#: Sets in a list of rare elements whose pairs are counted; the sets of a longer one are one family.
+PAIRED_SETS = 8
 MIX = np.array([xxhash.xxh64_intdigest(f"mix{i}") | 1 for i in range(64)], dtype=np.uint64)
 
 
@@ -251,13 +258,8 @@ def _keys(docs: DataFrame, n: int, boundaries, percent: int, most: int | None =
     return rows.mapInArrow(run, "boundary int, key long, node long")
 
 
-def _linkable(rows: DataFrame, first: DataFrame, n: int, percent: int) -> DataFrame:
-    """Those of the distinct sets ``first`` that may link: no other set has few enough of their elements.
-
-    A set links to another only if all but some of its elements are in it, so not if more than these
-    are in no other set at all. Of the elements, those with an even hash are looked at, which is
-    enough for sets that have little in common with any other, and never wrong.
-    """
+def _elements(rows: DataFrame, n: int, half: bool = False) -> DataFrame:
+    """(element, node) of the sets of ``rows`` (text), or of their elements with an even hash."""
     schema = pa.schema([("element", pa.int64()), ("node", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,20 +273,80 @@ def _linkable(rows: DataFrame, first: DataFrame, n: int, percent: int) -> DataFr
                     if len(seen) >= SEEN_SETS:
                         seen.clear()
                     seen.add(name)
-                    some = own[own & np.uint64(1) == 0].astype(np.int64)
+                    some = (own[own & np.uint64(1) == 0] if half else own).astype(np.int64)
                     elements.append(some)
                     nodes.append(np.full(len(some), name))
             if elements:
                 yield record_batch(schema, [np.concatenate(elements), np.concatenate(nodes)])
 
-    found = rows.filter("doc_id is not null").select("text").mapInArrow(run, "element long, node long")
+    return rows.select("text").mapInArrow(run, "element long, node long")
+
+
+def _linkable(rows: DataFrame, first: DataFrame, n: int, percent: int) -> DataFrame:
+    """Those of the distinct sets ``first`` that may link: no other set has few enough of their elements.
+
+    A set links to another only if all but some of its elements are in it, so not if more than these
+    are in no other set at all. Of the elements, those with an even hash are looked at, which is
+    enough for sets that have little in common with any other, and never wrong.
+    """
+    found = _elements(rows.filter("doc_id is not null"), n, half=True)
     # Most elements are in one set only, so tasks send them as they are; copies are left out above.
     owners = found.repartition("element").groupBy("element").agg(F.min("node").alias("node"), F.max("node").alias("_last"))
     alone = owners.filter("node = _last").groupBy("node").agg(F.count(F.lit(1)).alias("_alone"))
     name = F.conv(F.hex(F.substring("set_id", 1, 8)), 16, -10).cast("long")
-    every = first.withColumn("_node", name).join(alone, F.col("_node") == F.col("node"), "left")
+    every = first.withColumn("node", name).join(alone, "node", "left")
     spared = F.col("n_shingles") - F.ceil(F.col("n_shingles") * percent / 100)
-    return every.filter(F.coalesce("_alone", F.lit(0)) <= spared).select("doc_id").distinct()
+    return every.filter(F.coalesce("_alone", F.lit(0)) <= spared).select("node", "n_shingles", "doc_id")
+
+
+def _rare_lists(listed: DataFrame, may: DataFrame, n: int, percent: int) -> DataFrame:
+    """(element, node, n_shingles, least): the rarest elements of each set of ``may``, of those in other sets too.
+
+    All elements are ordered by the number of sets that hold them, then by hash. Of linked sets each
+    has at least ``shared`` of its elements in the other, so the first ``least`` that two of them share
+    are, in both, among the first ``n_shingles - shared + least``. Elements of one set only come first
+    in that order and meet nothing, so a set's rarest are told by counting from its most frequent one.
+    Rows with one id and one set may send it twice, so places count distinct elements.
+    """
+    size = F.col("n_shingles")
+    shared = F.ceil(size * percent / 100)
+    least = F.least(F.floor(size / RARE_SHARE) + 1, shared).cast("int").alias("least")
+    in_all = Window.partitionBy("element")
+    found = _elements(listed, n).repartition("element").select(
+        "element", "node", F.count(F.lit(1)).over(in_all).alias("_sets"),
+        F.min("node").over(in_all).alias("_a"), F.max("node").over(in_all).alias("_b"),
+    )
+    found = found.filter("_a != _b").select("node", "element", "_sets")
+    found = found.join(may.select("node", "n_shingles").distinct(), "node")
+    order = Window.partitionBy("node").orderBy(F.desc("_sets"), F.desc("element"))
+    found = found.select("element", "node", "n_shingles", least, F.dense_rank().over(order).alias("_at"))
+    return found.filter(F.col("_at") > shared - F.col("least")).drop("_at").distinct()
+
+
+def _rare_edges(lists: DataFrame, percent: int) -> DataFrame:
+    """(a, b) that join all sets which share enough of their rarest elements into families.
+
+    Pairs of sets that meet in short lists are counted. In a longer list the sets of like size are
+    joined to the least one of them, without making pairs.
+    """
+    lengths = lists.groupBy("element").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    lists = lists.join(lengths, "element")
+    some = lists.filter(F.col("_n") <= PAIRED_SETS)
+    a = some.select("element", F.col("node").alias("a"), F.col("n_shingles").alias("_a"), F.col("least").alias("_la"))
+    b = some.select("element", F.col("node").alias("b"), F.col("n_shingles").alias("_b"), F.col("least").alias("_lb"))
+    like = (100 * F.least("_a", "_b") >= percent * F.greatest("_a", "_b")) & (F.col("a") < F.col("b"))
+    pairs = a.join(b, "element").filter(like).select("a", "b", F.least("_la", "_lb").alias("_least"))
+    pairs = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("_n"), F.min("_least").alias("_least"))
+    # Linked sets have sizes of the same or neighbouring classes, so they meet in the class of the larger one.
+    scale = F.floor(F.log("n_shingles") / float(np.log(100 / percent)) + 1e-9)
+    long = lists.filter(F.col("_n") > PAIRED_SETS).select(
+        "element", "node", F.explode(F.array(scale, scale + 1)).alias("_class")
+    )
+    hubs = long.groupBy("element", "_class").agg(F.min("node").alias("hub"), F.max("node").alias("_last"))
+    hubs = hubs.filter("hub != _last").drop("_last")
+    joined = long.join(hubs, ["element", "_class"]).filter("node != hub")
+    joined = joined.select(F.col("node").alias("a"), F.col("hub").alias("b"))
+    return pairs.filter("_n >= _least").select("a", "b").unionByName(joined)
 
 
 def choose_boundary(short: DataFrame, n: int, percent: int) -> int:
@@ -330,33 +392,39 @@ def near_components(
     Rows that share an id keep their own set; the id then stands for each of them. Rows without
     an id link with nothing, and their component is null. ``text_hash`` adds the column of that name,
     xxhash64 of the text, by which rows with one id are told apart. ``sift`` first counts how many
-    elements of a set no other has, and makes lists only of sets that may link: one more shuffle, worth
-    it where the similarity is so low that sets with a common passage would meet in many lists.
+    elements of a set no other has, and instead of step 2 makes lists of the rarest elements of the sets
+    that may link: two more shuffles, worth it where the similarity is so low that sets with a common
+    passage would meet in many lists and be one family, whose blocks grow with the square of its size.
     """
     rows = docs.select("doc_id", "text")
     classes = stored(_classes(rows, n), "sets")
     first = classes.filter("set_id is not null").groupBy("set_id", "n_shingles").agg(
         F.min("doc_id").alias("doc_id")
     )
-    largest = max(boundaries(percent))
-    most = interval(largest + 1, largest, percent)[2]
-    short = rows.filter(F.length("text") <= 64 * (most + n))
-    boundary = choose_boundary(short, n, percent)
-
     listed = rows
     if sift:
         may = stored(_linkable(rows, first, n, percent), "linkable")
-        listed = rows.join(may, "doc_id", "left_semi")
-    # Kept, since the lists are read twice and making them costs more than reading.
-    keys = stored(_keys(listed, n, (boundary,), percent).select("key", "node"), "lists")
-    hubs = keys.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("_last"))
-    hubs = hubs.filter("hub != _last").drop("_last")
-    meets = keys.join(hubs, "key").filter("node != hub")
-    edges = meets.select(F.col("node").alias("a"), F.col("hub").alias("b"))
+        # Kept, since their texts are read twice and each time all texts would be shuffled.
+        listed = stored(rows.join(may.select("doc_id").distinct(), "doc_id", "left_semi"), "listed")
+        keys = stored(_rare_lists(listed, may, n, percent), "lists")
+        edges = _rare_edges(keys, percent)
+    else:
+        largest = max(boundaries(percent))
+        most = interval(largest + 1, largest, percent)[2]
+        short = rows.filter(F.length("text") <= 64 * (most + n))
+        boundary = choose_boundary(short, n, percent)
+        # Kept, since the lists are read twice and making them costs more than reading.
+        keys = stored(_keys(rows, n, (boundary,), percent).select("key", "node"), "lists")
+        hubs = keys.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("_last"))
+        hubs = hubs.filter("hub != _last").drop("_last")
+        meets = keys.join(hubs, "key").filter("node != hub")
+        edges = meets.select(F.col("node").alias("a"), F.col("hub").alias("b"))
     families = stored(components(edges), "families")
     discard(keys)
 
-    links = stored(_family_links(rows, families, first, n, percent), "links")
+    links = stored(_family_links(listed, families, first, n, percent), "links")
+    if sift:
+        discard(listed)
     linked = components(links)
     named = first.join(linked, first["set_id"] == linked["node"], "left").select(
         "set_id", "doc_id", F.coalesce("root", "set_id").alias("root")
