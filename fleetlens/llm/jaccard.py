@@ -31,6 +31,8 @@ SEEN_SETS = 100_000
 RARE_SHARE = 16
 #: Sets in a list of rare elements whose pairs are counted; the sets of a longer one are one family.
 PAIRED_SETS = 8
+#: Ids of sets that may link, up to which every task gets them all; with more, texts are shuffled.
+SENT_IDS = 1_000_000
 MIX = np.array([xxhash.xxh64_intdigest(f"mix{i}") | 1 for i in range(64)], dtype=np.uint64)
 
 
@@ -404,8 +406,10 @@ def near_components(
     listed = rows
     if sift:
         may = stored(_linkable(rows, first, n, percent), "linkable")
-        # Kept, since their texts are read twice and each time all texts would be shuffled.
-        listed = stored(rows.join(may.select("doc_id").distinct(), "doc_id", "left_semi"), "listed")
+        # Kept, since their texts are read twice and each time all texts would be read, or shuffled.
+        ids = may.select("doc_id").distinct()
+        ids = F.broadcast(ids) if may.count() <= SENT_IDS else ids
+        listed = stored(rows.join(ids, "doc_id", "left_semi"), "listed")
         keys = stored(_rare_lists(listed, may, n, percent), "lists")
         edges = _rare_edges(keys, percent)
     else:
