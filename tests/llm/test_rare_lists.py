@@ -49,6 +49,7 @@ def test_passages_in_common_make_no_large_family(spark, monkeypatch):
 def test_rare_lists_equal_brute_force(spark, monkeypatch, paired, share, n, percent):
     monkeypatch.setattr(jaccard, "PAIRED_SETS", paired)
     monkeypatch.setattr(jaccard, "RARE_SHARE", share)
+    monkeypatch.setattr(jaccard, "SENT_IDS", share)  # ids are sent, or texts shuffled
     rng = random.Random(paired + share + n)
     rows, base = near_copies(rng) + [(1000 + i, t) for i, t in mosaics(rng, 30)], words(rng, 60, 10**6)
     rows += [(2000 + i, changed(rng, base, rng.randrange(4))) for i in range(25)]
